@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("values", "listings")
+_MODULES = ("values", "listings", "catalogue")
 
 
 def registry() -> dict:

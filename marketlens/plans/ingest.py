@@ -101,7 +101,7 @@ def merge_state(state: DataFrame, folded: DataFrame, keys: Sequence[str], policy
 
 def change_rows(diffed: DataFrame, merged: DataFrame, keys: Sequence[str], order: str, price: str, available: str | None, as_of: Column, fk: str) -> DataFrame:
     """Change-log rows of a batch. A key with many changes is the many side of this join."""
-    changed = diffed.where(F.col("change_type") != "unchanged")
+    changed = diffed.where(F.col("change_type") != "unchanged").drop(fk)
     with_id = null_safe_join(changed, merged.select(*keys, F.col("id").alias(fk)), keys)
     avail = [F.col(f"prev_{available}").alias("available_old"), F.col(available).alias("available_new")] if available else []
     return with_id.select(
