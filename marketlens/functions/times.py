@@ -22,7 +22,7 @@ def hours_between(end: Column, start: Column) -> Column:
 
 
 def age_hours(ts: Column, as_of: Column) -> Column:
-    return F.greatest(F.lit(0.0), hours_between(as_of, ts))
+    return F.when(ts.isNotNull(), F.greatest(F.lit(0.0), hours_between(as_of, ts)))
 
 
 def within_days(ts: Column, as_of: Column, days: int) -> Column:
