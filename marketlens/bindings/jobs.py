@@ -148,7 +148,7 @@ def started_at(spark, sf):
 
 def archived_runs(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("source").alias("folder"), F.concat(F.lit("#"), F.col("doc_id").cast("string"), F.lit("/run.log")).alias("path"), F.explode(F.split("text", "\n")).alias("line"))
-    return aggregates.archived_runs(rows.withColumn("line", F.regexp_replace("line", "token = ", "error: ")))
+    return aggregates.archived_runs(rows.withColumn("line", F.regexp_replace("line", "token = \"", "error:")))
 
 
 def coverage(spark, sf):
@@ -205,7 +205,7 @@ QUERIES = {
     ),
     "archived_runs": (
         archived_runs,
-        "WITH d AS (SELECT source AS folder, doc_id, regexp_matches(replace(text, 'token = ', 'error: '), '(?i)##\\[error\\]|exit code [1-9]|\\bfailed\\b|\\berror:\\s') AS failed, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rn, count(*) OVER (PARTITION BY source) AS runs FROM documents) SELECT folder, runs, doc_id AS last_run, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status FROM d WHERE rn = 1",
+        "WITH d AS (SELECT source AS folder, doc_id, regexp_matches(replace(text, 'token = \"', 'error:'), '(?i)##\\[error\\]|exit code [1-9]|\\bfailed\\b|\\berror:\\b') AS failed, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rn, count(*) OVER (PARTITION BY source) AS runs FROM documents) SELECT folder, runs, doc_id AS last_run, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status FROM d WHERE rn = 1",
     ),
     "coverage_summary": (
         coverage,

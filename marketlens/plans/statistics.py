@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketlens import catalog
@@ -95,28 +97,72 @@ def feature_value(df: DataFrame, key: str, flag: str, price: str) -> DataFrame:
     return df.groupBy(key).agg((F.avg(F.when(F.col(flag) == 1, p)) - F.avg(F.when(F.col(flag) == 0, p))).alias("feature_value"))
 
 
-def kmeans_1d(df: DataFrame, key: str, price: str, k: int = 3, max_rounds: int = 50, tolerance: float = 0.1) -> DataFrame:
+def _lloyd(prices: np.ndarray, weights: np.ndarray, k: int, max_rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids and the band of each price, for one key of bounded size."""
+    low, high = prices.min(), prices.max()
+    centroids = np.array([low + (high - low) * (i / (k - 1) if k > 1 else 0.0) for i in range(k)])
+    band = np.zeros(len(prices), dtype=int)
+    for _ in range(max_rounds):
+        band = np.abs(prices[:, None] - centroids[None, :]).argmin(axis=1)
+        total = np.bincount(band, weights=weights, minlength=k)
+        means = np.divide(np.bincount(band, weights=prices * weights, minlength=k), total, out=centroids.copy(), where=total > 0)
+        moved = np.abs(means - centroids) > tolerance
+        if not moved.any():
+            break
+        centroids = np.where(moved, means, centroids)
+    return centroids, band
+
+
+def kmeans_1d(
+    df: DataFrame, key: str, price: str, k: int = 3, max_rounds: int = 50, tolerance: float = 0.1, *, in_task: int = 1_000_000, rounds_per_job: int = 5
+) -> DataFrame:
     """Price bands per key: key, cluster, centroid, size.
 
     Centroids start evenly spaced and move only by more than ``tolerance``; groups below ``k``
-    prices become single bands. Every round is one partial aggregate over distinct prices, so a
-    key may hold any number of rows.
+    prices become single bands. Rows are first counted per distinct price. Keys of at most
+    ``in_task`` distinct prices are settled in one task each; larger ones go round by round as
+    partial aggregates over all tasks, so a key may hold any number of rows.
     """
     rows = df.where(F.col(price) > 0).select(key, F.col(price).cast("double").alias("_p"))
     points = settle(rows.groupBy(key, "_p").agg(F.count("*").alias("_c")))
-    size = points.groupBy(key).agg(F.sum("_c").alias("_n"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    step = (F.col("_hi") - F.col("_lo")) * 1.0
-    start = F.array(*[F.col("_lo") + step * F.lit(i / (k - 1) if k > 1 else 0.0) for i in range(k)])
-    current = settle(size.where(F.col("_n") >= k).select(key, start.alias("_m"), F.lit(True).alias("_moved")))
+    size = points.groupBy(key).agg(
+        F.sum("_c").alias("_n"), F.count("*").alias("_d"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi")
+    )
+    of_size = lambda test: null_safe_join(points, size.where(test).select(key), [key])
+    kind = dict(points.dtypes)[key]
+
+    def settle_key(pdf: pd.DataFrame) -> pd.DataFrame:
+        centroids, band = _lloyd(pdf["_p"].to_numpy(), pdf["_c"].to_numpy(float), k, max_rounds, tolerance)
+        total = np.bincount(band, weights=pdf["_c"].to_numpy(float), minlength=k).astype(int)
+        used = np.flatnonzero(total)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(used), "cluster": used, "centroid": centroids[used], "size": total[used]})
+
+    dense = of_size((F.col("_n") >= k) & (F.col("_d") <= in_task))
+    out = dense.groupBy(key).applyInPandas(settle_key, f"`{key}` {kind}, cluster long, centroid double, size long")
+    # Fewer than k rows per key here.
+    tiny = of_size(F.col("_n") < k).select(key, "_p", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_r"))
+    singles = tiny.groupBy(key).agg(F.sort_array(F.collect_list("_p")).alias("_ps")).select(key, F.posexplode("_ps").alias("cluster", "centroid"))
+    out = out.unionByName(singles.select(key, F.col("cluster").cast("long").alias("cluster"), "centroid", F.lit(1).cast("long").alias("size")))
+    large = size.where((F.col("_n") >= k) & (F.col("_d") > in_task))
+    if large.isEmpty():
+        return out
+    wide = _kmeans_rounds(points, large, key, k, max_rounds, tolerance, rounds_per_job)
+    return out.unionByName(wide)
+
+
+def _kmeans_rounds(points: DataFrame, size: DataFrame, key: str, k: int, max_rounds: int, tolerance: float, rounds_per_job: int) -> DataFrame:
+    spread = F.col("_hi") - F.col("_lo")
+    start = F.array(*[F.col("_lo") + spread * F.lit(i / (k - 1) if k > 1 else 0.0) for i in range(k)])
+    current = settle(size.select(key, start.alias("_m"), F.lit(True).alias("_moved")))
 
     def assigned(centroids: DataFrame) -> DataFrame:
         joined = null_safe_join(points, centroids, [key])
         gaps = F.transform("_m", lambda m: F.abs(F.col("_p") - m))
         return joined.withColumn("_j", (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int"))
 
-    for _ in range(max_rounds):
-        # The centroid table is one row per key; finished keys stay as they are.
-        sums = assigned(current.where("_moved")).groupBy(key).agg(
+    def one_round(centroids: DataFrame) -> DataFrame:
+        # One row per key; keys whose centroids rest come out as they went in.
+        sums = assigned(centroids).groupBy(key).agg(
             F.first("_m").alias("_m"),
             *[F.sum(F.when(F.col("_j") == j, F.col("_p") * F.col("_c"))).alias(f"_s{j}") for j in range(k)],
             *[F.sum(F.when(F.col("_j") == j, F.col("_c"))).alias(f"_n{j}") for j in range(k)],
@@ -126,20 +172,25 @@ def kmeans_1d(df: DataFrame, key: str, price: str, k: int = 3, max_rounds: int =
         moved = moves[0]
         for m in moves[1:]:
             moved = moved | m
-        # The last assignment is what counts, so remember the centroids it was made with.
-        nxt = sums.select(
-            key, F.array(*[F.when(moves[j], means[j]).otherwise(F.col("_m")[j]) for j in range(k)]).alias("_m"), moved.alias("_moved"),
-        )
-        current = settle(nxt.unionByName(current.where(~F.col("_moved"))))
+        return sums.select(key, F.array(*[F.when(moves[j], means[j]).otherwise(F.col("_m")[j]) for j in range(k)]).alias("_m"), moved.alias("_moved"))
+
+    # Several rounds per job: a finished key does not change, so looking less often does no harm.
+    done, before = 0, current
+    while done < max_rounds:
+        for _ in range(min(rounds_per_job, max_rounds - done)):
+            before, current = current, one_round(current)
+            done += 1
+        current = settle(current)
         if current.where("_moved").isEmpty():
+            before = current
             break
-    counted = assigned(current).groupBy(key, "_j").agg(F.sum("_c").alias("size"), F.first(F.col("_m")[F.col("_j")]).alias("centroid"))
-    bands = counted.select(key, F.col("_j").cast("long").alias("cluster"), "centroid", "size")
-    tiny = null_safe_join(points, size.where(F.col("_n") < k).select(key), [key])
-    singles = tiny.select(key, "_p", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_r"))
-    # Fewer than k rows per key here.
-    listed = singles.groupBy(key).agg(F.sort_array(F.collect_list("_p")).alias("_ps")).select(key, F.posexplode("_ps").alias("cluster", "centroid"))
-    return bands.unionByName(listed.select(key, F.col("cluster").cast("long").alias("cluster"), "centroid", F.lit(1).cast("long").alias("size")))
+    # Sizes belong to the last assignment, made with the centroids before the last move.
+    last = null_safe_join(current.drop("_moved"), before.select(key, F.col("_m").alias("_used")), [key])
+    joined = null_safe_join(points, last, [key])
+    gaps = F.transform("_used", lambda m: F.abs(F.col("_p") - m))
+    placed = joined.withColumn("_j", (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int"))
+    counted = placed.groupBy(key, "_j").agg(F.sum("_c").alias("size"), F.first(F.col("_m")[F.col("_j")]).alias("centroid"))
+    return counted.select(key, F.col("_j").cast("long").alias("cluster"), "centroid", "size")
 
 
 def price_trend(daily: DataFrame, key: str, since: Column | None = None) -> DataFrame:
