@@ -86,7 +86,8 @@ def price_summary(df: DataFrame, keys: Sequence[str], price: str) -> DataFrame:
     )
     quart = exact_quantiles(rows, keys, price, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("_n")
     if not keys:
-        return basic.crossJoin(F.broadcast(quart))  # one row each
+        one = quart.select(F.struct("q1", "median", "q3")).scalar()
+        return basic.withColumn("_q", one).select(*basic.columns, *[F.col("_q")[c].alias(c) for c in ("q1", "median", "q3")])
     return null_safe_join(basic, quart, keys)
 
 

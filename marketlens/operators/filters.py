@@ -189,11 +189,8 @@ def sold_range(df: DataFrame, day: str, days: int | None) -> DataFrame:
     dated = df.where(F.col(day).isNotNull())
     if days is None:
         return dated
-    # One row: the latest day.
-    latest = dated.agg(F.max(day).alias("_latest"))
-    return dated.crossJoin(F.broadcast(latest)).where(
-        F.col(day) >= F.date_sub("_latest", days - 1)
-    ).drop("_latest")
+    latest = dated.agg(F.max(day)).scalar()
+    return dated.where(F.col(day) >= F.date_sub(latest, days - 1))
 
 
 def _blank_or_missing(name: str) -> Column:

@@ -116,9 +116,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 def next_ids(new_rows: DataFrame, existing: DataFrame, order: Sequence[Column], key: str = "id", out: str = "id") -> DataFrame:
     """Numbers new rows after the largest existing id, in ``order``."""
-    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_top"))  # one row
-    numbered = number_rows(new_rows, order, out="_no")
-    return numbered.crossJoin(F.broadcast(top)).withColumn(out, F.col("_top") + F.col("_no")).drop("_top", "_no")
+    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
+    return number_rows(new_rows, order, out="_no").withColumn(out, top + F.col("_no")).drop("_no")
 
 
 def insert_or_ignore(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

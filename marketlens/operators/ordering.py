@@ -79,7 +79,7 @@ def previous_row(
 
 def order_statistics(
     df: DataFrame, keys: Sequence[str], value: str, targets: Sequence[tuple[float, Column, Column]],
-    *, spread: float = 0.002, accuracy: int = 10000,
+    *, spread: float = 0.002, accuracy: int = 10000, extra: Sequence[Column] = (), extra_names: Sequence[str] = (),
 ) -> DataFrame:
     """Exact values at given ranks, one row per key.
 
@@ -89,13 +89,17 @@ def order_statistics(
     below the bracket and keeps the distinct values inside it, so neither a group nor its
     values are ever gathered whole. Null values are left out.
 
-    Result: keys, ``_n`` and ``_at``, an array of structs (i, low, high, low_below, low_upto,
+    ``extra`` are further aggregates of the first pass, named ``extra_names``.
+
+    Result: keys, the extras, ``_n`` and ``_at``, an array of structs (i, low, high, low_below, low_upto,
     high_below, high_upto) in the order of ``targets``.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    valued = df.withColumn("_v", F.col(value).cast("double")).where(F.col("_v").isNotNull())
+    rows = valued.select(*keys, "_v")
     shares = [p for p, _, _ in targets]
     edges = [min(max(p + d, 0.0), 1.0) for p in shares for d in (-spread, spread)]
-    seen = rows.groupBy(*keys).agg(
+    seen = valued.groupBy(*keys).agg(
+        *extra,
         F.count("*").alias("_n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
@@ -112,8 +116,13 @@ def order_statistics(
             for i in range(len(targets))
         ]
     )
-    bounds = seen.select(*keys, "_n", brackets.alias("_b"))
-    near = null_safe_join(rows, bounds, keys) if keys else rows.crossJoin(F.broadcast(bounds))
+    # The extras depend on the key alone, so grouping by them changes nothing.
+    named = [*extra_names, "_n"]
+    if keys:
+        near = null_safe_join(rows, seen.select(*keys, *named, brackets.alias("_b")), keys)
+    else:
+        one = seen.select(F.struct(*named, brackets.alias("_b"))).scalar()
+        near = rows.withColumn("_one", one).select("_v", *[F.col("_one")[c].alias(c) for c in (*named, "_b")])
     # Side of each bracket, two bits per target: 0 inside, 1 below, 2 above. Rows outside all
     # brackets collapse to one counter per key and code before any shuffle.
     code, inside = F.lit(0), F.lit(False)
@@ -123,8 +132,8 @@ def order_statistics(
         code = code + side * (1 << (2 * i))
         inside = inside | F.col("_v").between(b["lo"], b["hi"])
     counted = (
-        near.select(*keys, "_n", code.alias("_code"), F.when(inside, F.col("_v")).alias("_w"))
-        .groupBy(*keys, "_n", "_code", "_w")
+        near.select(*keys, *named, code.alias("_code"), F.when(inside, F.col("_v")).alias("_w"))
+        .groupBy(*keys, *named, "_code", "_w")
         .agg(F.count("*").alias("_c"))
     )
     if len(targets) == 1:
@@ -136,7 +145,7 @@ def order_statistics(
     placed = (
         sided.where(F.col("_side") != 2)
         .withColumn("_w", F.when(F.col("_side") == 0, F.col("_w")))
-        .groupBy(*keys, "_n", "_i", "_w")
+        .groupBy(*keys, *named, "_i", "_w")
         .agg(F.sum("_c").alias("_c"))
     )
     upto = Window.partitionBy(*keys, "_i").orderBy(F.col("_w").asc_nulls_first()).rowsBetween(
@@ -149,7 +158,7 @@ def order_statistics(
         high = F.when(F.col("_i") == i, hi_rank) if high is None else high.when(F.col("_i") == i, hi_rank)
     at_low = (F.col("_below") < low) & (low <= F.col("_upto"))
     at_high = (F.col("_below") < high) & (high <= F.col("_upto"))
-    per_target = ranked.groupBy(*keys, "_i", "_n").agg(
+    per_target = ranked.groupBy(*keys, *named, "_i").agg(
         F.max(F.when(at_low, F.col("_w"))).alias("low"),
         F.max(F.when(at_high, F.col("_w"))).alias("high"),
         F.max(F.when(at_low, F.col("_below"))).alias("low_below"),
@@ -163,7 +172,7 @@ def order_statistics(
         checked.alias("i"), "low", "high", "low_below", "low_upto", "high_below", "high_upto"
     )
     # As many structs per key as there are targets.
-    return per_target.groupBy(*keys, "_n").agg(F.sort_array(F.collect_list(stat)).alias("_at"))
+    return per_target.groupBy(*keys, *named).agg(F.sort_array(F.collect_list(stat)).alias("_at"))
 
 
 def quantile_target(p: float) -> tuple[float, Column, Column]:
@@ -171,15 +180,20 @@ def quantile_target(p: float) -> tuple[float, Column, Column]:
     return p, F.floor(pos) + 1, F.ceil(pos) + 1
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles: one column per entry of ``names``, and ``_n``."""
-    stats = order_statistics(df, keys, value, [quantile_target(p) for p in names.values()])
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, names: dict[str, float], extra: dict[str, Column] | None = None
+) -> DataFrame:
+    """Linearly interpolated quantiles: one column per entry of ``names``, the extras, and ``_n``."""
+    more = extra or {}
+    stats = order_statistics(
+        df, keys, value, [quantile_target(p) for p in names.values()], extra=[c.alias(n) for n, c in more.items()], extra_names=list(more)
+    )
     cols = []
     for i, (name, p) in enumerate(names.items()):
         at = F.col("_at")[i]
         pos = (F.col("_n") - 1) * F.lit(p)
         cols.append((at["low"] + (at["high"] - at["low"]) * (pos - F.floor(pos))).alias(name))
-    return stats.select(*keys, "_n", *cols)
+    return stats.select(*keys, *more, "_n", *cols)
 
 
 def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, ratio: float = 0.15, min_rows: int = 6) -> DataFrame:

@@ -128,8 +128,7 @@ def alert_set_changed(now: DataFrame, before: DataFrame) -> DataFrame:
     bad = lambda df: df.where(F.col("status").isin("warn", "error")).select("job", "status")
     moved = bad(now).exceptAll(bad(before)).unionByName(bad(before).exceptAll(bad(now)))
     counts = moved.agg(F.count("*").alias("differences"))
-    current = bad(now).agg(F.count("*").alias("bad_jobs"))
-    both = counts.crossJoin(F.broadcast(current))  # one row each
+    both = counts.withColumn("bad_jobs", bad(now).agg(F.count("*")).scalar())
     return both.withColumn("changed", F.col("differences") > 0).withColumn("fires", F.col("changed") & (F.col("bad_jobs") > 0))
 
 
@@ -180,9 +179,9 @@ def verification_order() -> list[Column]:
 
 def sample_share(rows: DataFrame, ratio: float, seed: int, key: str = "id") -> DataFrame:
     """``floor(n * ratio)`` rows in a repeatable pseudo-random order."""
-    total = rows.agg(F.floor(F.count("*") * F.lit(ratio)).alias("_want"))  # one row
+    wanted = rows.agg(F.floor(F.count("*") * F.lit(ratio))).scalar()
     numbered = number_rows(rows.withColumn("_r", F.xxhash64(F.col(key), F.lit(seed))), [F.col("_r"), F.col(key)], out="_no")
-    return numbered.crossJoin(F.broadcast(total)).where(F.col("_no") <= F.col("_want")).drop("_r", "_no", "_want")
+    return numbered.where(F.col("_no") <= wanted).drop("_r", "_no")
 
 
 def random_probe(rows: DataFrame, n: int, seed: int) -> DataFrame:

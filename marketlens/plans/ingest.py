@@ -64,7 +64,7 @@ def diff_offers(offers: DataFrame, state: DataFrame, keys: Sequence[str], order:
     return both.withColumn("change_type", F.when(F.col("is_new"), "new").otherwise(_kind(price_changed, avail_changed))).drop("has_prev")
 
 
-def fold_offers(offers: DataFrame, keys: Sequence[str], order: str, policy: Policy) -> DataFrame:
+def fold_offers(offers: DataFrame, keys: Sequence[str], order: str, policy: Policy, extra: Sequence[Column] = ()) -> DataFrame:
     """What a batch leaves per key; copies of a key combine before the shuffle."""
     o = F.col(order)
     kept = lambda c, test: F.max_by(c, F.when(test, o)).alias(c)
@@ -74,6 +74,7 @@ def fold_offers(offers: DataFrame, keys: Sequence[str], order: str, policy: Poli
         *[kept(c, F.col(c).isNotNull()) for c in policy.keep_if_null],
         *[kept(c, F.coalesce(F.col(c), F.lit("")) != "") for c in policy.keep_if_blank],
         *[F.min_by(c, o).alias(c) for c in policy.once],
+        *extra,
     )
 
 
@@ -164,10 +165,9 @@ def resolve_by_url(offers: DataFrame, state: DataFrame, id_col: str, order: str
     return joined.withColumn("entity", F.coalesce("_entity", id_col)).drop("_from", "_entity")
 
 
-def _renamed(offers: DataFrame, state: DataFrame, id_col: str, order: str) -> DataFrame:
+def _new_id(id_col: str, order: str) -> Column:
     """New id of a stored row that was found by its address: the last one in the batch."""
-    moved = offers.where(F.col("entity") != F.col(id_col))
-    return moved.groupBy("entity").agg(F.max_by(id_col, order).alias("_new_id"))
+    return F.max_by(id_col, F.when(F.col("entity") != F.col(id_col), F.col(order))).alias("_new_id")
 
 
 AD_POLICY = Policy(
@@ -186,16 +186,16 @@ def apply_ads(state: DataFrame, offers: DataFrame, as_of: Column, order: str = "
     seen = resolve_by_url(offers, state, id_col, order)
     stored = state.withColumn("entity", F.col(id_col))
     diffed = diff_offers(seen, stored, keys, order, "last_price", "last_available")
-    folded = (
-        fold_offers(seen.withColumn("_urn", F.col(id_col)), keys, order, AD_POLICY)
-        .join(seen.groupBy("entity").agg(F.max("last_available").alias("_was_live"), F.max_by("name", order).alias("_last_name")), "entity")
+    told = [F.max("last_available").alias("_was_live"), F.max_by("name", order).alias("_last_name"), _new_id(id_col, order)]
+    folded = fold_offers(seen, keys, order, AD_POLICY, told)
+    # What the batch told besides the stored columns travels along, and so does the last sighting.
+    carried = stored.drop(id_col).select(
+        "*", F.lit(None).cast("int").alias("_was_live"), F.lit(None).cast("string").alias("_last_name"), F.lit(None).cast("string").alias("_new_id"),
+        F.col("last_seen").alias("_prior_seen"),
     )
-    merged = merge_state(
-        stored.drop(id_col).withColumn("_was_live", F.lit(None).cast("int")).withColumn("_last_name", F.lit(None).cast("string")),
-        folded, keys, Policy(AD_POLICY.last + ("_was_live", "_last_name"), (), AD_POLICY.keep_if_blank, AD_POLICY.once), as_of,
-    )
-    names = _renamed(seen, state, id_col, order)
-    merged = merged.join(names, "entity", "left").withColumn(id_col, F.coalesce("_new_id", "entity")).drop("_new_id")
+    policy = Policy(AD_POLICY.last + ("_was_live", "_last_name", "_new_id"), (), AD_POLICY.keep_if_blank, AD_POLICY.once)
+    merged = merge_state(carried, folded, keys, policy, as_of)
+    merged = merged.withColumn(id_col, F.coalesce("_new_id", "entity")).drop("_new_id")
     live = F.col("last_available") == 1
     touched = F.col("touched")
     # In one batch every step happens at ``as_of``: a row seen live before it ended was active just now.
@@ -205,7 +205,6 @@ def apply_ads(state: DataFrame, offers: DataFrame, as_of: Column, order: str = "
     inactive = F.when(seen_live, as_of).otherwise(F.coalesce("first_inactive_seen", as_of))
     start = F.when(seen_live, as_of).when(is_new, as_of).otherwise(F.coalesce("last_active_seen", "_prior_seen"))
     estimate_set = F.col("sold_at_estimated").isNotNull() & ~seen_live
-    merged = merged.join(state.select(F.col(id_col).alias("entity"), F.col("last_seen").alias("_prior_seen")), "entity", "left")
     none_ts = F.lit(None).cast("timestamp")
     ended = touched & ~live
 
@@ -233,8 +232,10 @@ def apply_sold(state: DataFrame, offers: DataFrame, as_of: Column, order: str =
     seen = resolve_by_url(offers, state, id_col, order)
     stored = state.withColumn("entity", F.col(id_col))
     diffed = diff_offers(seen, stored, keys, order, "sold_price", None)
-    merged = merge_state(stored.drop(id_col), fold_offers(seen, keys, order, SOLD_POLICY), keys, SOLD_POLICY, as_of)
-    merged = merged.join(_renamed(seen, state, id_col, order), "entity", "left").withColumn(id_col, F.coalesce("_new_id", "entity"))
+    folded = fold_offers(seen, keys, order, SOLD_POLICY, [_new_id(id_col, order)])
+    carried = stored.drop(id_col).withColumn("_new_id", F.lit(None).cast("string"))
+    policy = Policy(("sold_price", "_new_id"), (), SOLD_POLICY.keep_if_blank, SOLD_POLICY.once)
+    merged = merge_state(carried, folded, keys, policy, as_of).withColumn(id_col, F.coalesce("_new_id", "entity"))
     changes = change_rows(diffed.where(F.col("change_type") != "new"), merged, keys, order, "sold_price", None, as_of, "item_id").drop("change_type")
     return merged.select(*state.columns), changes, change_counters(diffed)
 
@@ -353,9 +354,7 @@ def clean_catalog(products: DataFrame, changes: DataFrame, rules=None, taxonomy:
     steps.append(("removed_stale", variants, pruned))
     summary = None
     for name, before, after in steps:
-        one = before.agg(F.count("*").alias("_b")).crossJoin(after.agg(F.count("*").alias("_a"))).select(
-            F.lit(name).alias("step"), (F.col("_b") - F.col("_a")).alias("rows")
-        )
+        one = before.agg(F.count("*").alias("_b")).select(F.lit(name).alias("step"), (F.col("_b") - after.agg(F.count("*")).scalar()).alias("rows"))
         summary = one if summary is None else summary.unionByName(one)
     return windows.display_ids(pruned), log, summary
 
