@@ -142,12 +142,10 @@ def order_statistics(
         sided = counted.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(len(targets))]))).withColumn(
             "_side", F.expr("shiftright(_code, 2 * _i) & 3")
         )
-    placed = (
-        sided.where(F.col("_side") != 2)
-        .withColumn("_w", F.when(F.col("_side") == 0, F.col("_w")))
-        .groupBy(*keys, *named, "_i", "_w")
-        .agg(F.sum("_c").alias("_c"))
-    )
+    placed = sided.where(F.col("_side") != 2).withColumn("_w", F.when(F.col("_side") == 0, F.col("_w")))
+    if len(targets) > 1:
+        # Rows outside one bracket may lie inside another, so several codes count as below.
+        placed = placed.groupBy(*keys, *named, "_i", "_w").agg(F.sum("_c").alias("_c"))
     upto = Window.partitionBy(*keys, "_i").orderBy(F.col("_w").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0
     )

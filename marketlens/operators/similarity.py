@@ -67,18 +67,32 @@ def best_anchor(
     return null_safe_join(keyed, best, [family, "_set"], "left").drop("_set")
 
 
-def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, value: Column, out: str) -> DataFrame:
-    """Last non-null ``value`` up to each row in ``order``; see ``previous_row`` for ``chunk``."""
+def surrounding(df: DataFrame, keys: Sequence[str], position: str, tie: str, chunk: Column, value: Column) -> DataFrame:
+    """Adds ``_low`` and ``_high``: the last non-null ``value`` up to a row, and the first one from it on.
+
+    Rows are ordered by ``position`` within their chunk only; what lies beyond comes from a
+    table of chunk ends. ``chunk`` must not decrease with ``position``. At one position, rows
+    of smaller ``tie`` come first in both directions.
+    """
     rows = df.withColumn("_chunk", chunk).withColumn("_val", value)
-    here = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumn("_here", F.last("_val", ignorenulls=True).over(here))
-    ends = rows.groupBy(*keys, "_chunk").agg(
-        F.max_by("_val", F.when(F.col("_val").isNotNull(), F.struct(*order))).alias("_end")
+    upto = (Window.unboundedPreceding, 0)
+    here = Window.partitionBy(*keys, "_chunk")
+    known = F.last("_val", ignorenulls=True)
+    local = rows.withColumn("_l", known.over(here.orderBy(position, tie).rowsBetween(*upto))).withColumn(
+        "_h", known.over(here.orderBy(F.col(position).desc(), tie).rowsBetween(*upto))
+    )
+    at = F.when(F.col("_val").isNotNull(), F.col(position))
+    ends = rows.groupBy(*keys, "_chunk").agg(F.max_by("_val", at).alias("_last"), F.min_by("_val", at).alias("_first"))
+    before = (Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*keys)
+    carried = ends.select(
+        *keys, "_chunk", F.last("_last", ignorenulls=True).over(along.orderBy("_chunk").rowsBetween(*before)).alias("_from_below"),
+        F.last("_first", ignorenulls=True).over(along.orderBy(F.col("_chunk").desc()).rowsBetween(*before)).alias("_from_above"),
     )
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, "_chunk", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
     both = null_safe_join(local, carried, [*keys, "_chunk"], "left")
-    return both.withColumn(out, F.coalesce("_here", "_carried")).drop("_chunk", "_val", "_here", "_carried")
+    return both.withColumn("_low", F.coalesce("_l", "_from_below")).withColumn("_high", F.coalesce("_h", "_from_above")).drop(
+        "_chunk", "_val", "_l", "_h", "_from_below", "_from_above"
+    )
 
 
 def nearest_price(legacy: DataFrame, variants: DataFrame, group: str, price: str, step: float = 25.0) -> DataFrame:
@@ -97,12 +111,8 @@ def nearest_price(legacy: DataFrame, variants: DataFrame, group: str, price: str
     )
     line = points.unionByName(asked)
     point = F.when(F.col("_vid").isNotNull(), F.struct(F.col("_p").alias("p"), F.col("_vid").alias("v")))
-    # Variants sort before listings of the same price in both directions.
-    side = F.when(F.col("_vid").isNotNull(), 0).otherwise(1)
-    below = carry_last(line.withColumn("_side", side), [group], [F.col("_p"), F.col("_side")], F.floor(F.col("_p") / step), point, "_low")
-    both = carry_last(
-        below.withColumn("_neg", -F.col("_p")), [group], [F.col("_neg"), F.col("_side")], F.floor(F.col("_neg") / step), point, "_high"
-    )
+    sided = line.withColumn("_side", F.when(F.col("_vid").isNotNull(), 0).otherwise(1))
+    both = surrounding(sided, [group], "_p", "_side", F.floor(F.col("_p") / step), point)
 
     def distance(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["p"] - F.col("_p")).alias("d"), F.col(c)["v"].alias("v")))

@@ -15,23 +15,33 @@ from marketlens.operators.ordering import null_safe_join
 from marketlens.session import settle
 
 
+def _z(n: Column, low: Column, mean: Column, sd: Column) -> Column:
+    return F.when(n > 2, F.when(sd == 0, F.lit(0.0)).otherwise((low - mean) / sd))
+
+
+def _spread(price: str, ask: Sequence[str], bid: Sequence[str]) -> Column:
+    positive = F.col(price) > 0
+    at = lambda sources: F.when(F.col("source").isin(*sources) & positive, F.col(price))
+    return F.min(at(ask)) - F.avg(at(bid))
+
+
+def _margin(n: Column, sd: Column) -> Column:
+    return F.when(n >= 2, F.lit(1.96) * sd / F.sqrt(n))
+
+
 def z_score_of_min(df: DataFrame, key: str, price: str) -> DataFrame:
     """How unusual the lowest price is; from three prices on, 0 when all are equal."""
     g = df.where(F.col(price) > 0).groupBy(key).agg(
         F.count("*").alias("n"), F.min(price).alias("min_price"), F.avg(price).alias("_mean"), F.stddev_samp(price).alias("_sd")
     )
-    z = F.when(F.col("_sd") == 0, F.lit(0.0)).otherwise((F.col("min_price") - F.col("_mean")) / F.col("_sd"))
-    return g.select(key, "n", "min_price", F.when(F.col("n") > 2, z).alias("z_score"))
+    return g.select(key, "n", "min_price", _z(F.col("n"), F.col("min_price"), F.col("_mean"), F.col("_sd")).alias("z_score"))
 
 
 def bid_ask_spread(
     df: DataFrame, key: str, price: str, ask: Sequence[str] = catalog.ASK_SOURCES, bid: Sequence[str] = catalog.BID_SOURCES
 ) -> DataFrame:
     """Lowest store price less the mean private price; null when a side is missing."""
-    positive = F.col(price) > 0
-    return df.groupBy(key).agg(
-        (F.min(F.when(F.col("source").isin(*ask) & positive, F.col(price))) - F.avg(F.when(F.col("source").isin(*bid) & positive, F.col(price)))).alias("spread")
-    )
+    return df.groupBy(key).agg(_spread(price, ask, bid).alias("spread"))
 
 
 def linear_slope(daily: DataFrame, key: str) -> DataFrame:
@@ -83,8 +93,7 @@ def shrunk_premium(
 def mean_ci95(df: DataFrame, key: str, price: str) -> DataFrame:
     """95% interval of the mean; null below two prices, ``volatile`` when the margin passes a quarter of it."""
     g = df.where(F.col(price) > 0).groupBy(key).agg(F.count("*").alias("n"), F.avg(price).alias("mean"), F.stddev_samp(price).alias("_sd"))
-    margin = F.when(F.col("n") >= 2, F.lit(1.96) * F.col("_sd") / F.sqrt("n"))
-    out = g.withColumn("margin", margin)
+    out = g.withColumn("margin", _margin(F.col("n"), F.col("_sd")))
     return out.select(
         key, "n", "mean", "margin", F.greatest(F.lit(0.0), F.col("mean") - F.col("margin")).alias("_l"),
         (F.col("mean") + F.col("margin")).alias("upper"), (F.col("margin") / F.col("mean") > 0.25).alias("volatile"),
@@ -227,12 +236,20 @@ def model_statistics(items: DataFrame, log: DataFrame, as_of: Column, *, key: st
         # At most as many bands as clusters.
         F.sort_array(F.collect_list(F.struct("centroid", "size"))).alias("bands")
     )
-    rep = items.groupBy(key).agg(F.first("family").alias("family"), F.first("segment").alias("segment"))
-    out = rep
+    # Everything that is a plain aggregate of the items comes from one pass.
+    p = F.when(F.col(price) > 0, F.col(price))
+    plain = items.groupBy(key).agg(
+        F.first("family").alias("family"), F.first("segment").alias("segment"), F.count(p).alias("n"), F.min(p).alias("min_price"),
+        F.avg(p).alias("_mean"), F.stddev_samp(p).alias("_sd"), _spread(price, catalog.ASK_SOURCES, catalog.BID_SOURCES).alias("spread"),
+    )
+    margin = _margin(F.col("n"), F.col("_sd"))
+    out = plain.select(
+        key, "family", "segment", "n", "min_price", _z(F.col("n"), F.col("min_price"), F.col("_mean"), F.col("_sd")).alias("z_score"), "spread",
+        margin.alias("margin"), (margin / F.col("_mean") > 0.25).alias("volatile"),
+    )
     for part in (
-        z_score_of_min(items, key, price), bid_ask_spread(items, key, price), windows.ema(daily, key).drop("days"),
-        linear_slope(daily, key).drop("days"), stockout_probability(log, key, "product_id", "changed_at", "available_new", "change_id", as_of).drop("events"),
-        bands, premium, mean_ci95(items, key, price).select(key, "margin", "volatile"),
+        windows.ema(daily, key).drop("days"), linear_slope(daily, key).drop("days"),
+        stockout_probability(log, key, "product_id", "changed_at", "available_new", "change_id", as_of).drop("events"), bands, premium,
     ):
         out = null_safe_join(out, part, [key], "left")
     out = null_safe_join(out, corr, ["family", "segment"], "left")
