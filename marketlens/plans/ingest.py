@@ -18,6 +18,7 @@ from marketlens.operators.filters import invalid_rows, is_console_name, rejected
 from marketlens.operators.ordering import null_safe_join, previous_row
 from marketlens.operators.similarity import nearest_price
 from marketlens.plans import classify
+from marketlens.session import settle
 
 # Offers of one key are compared in slices of this many batch positions.
 _SLICE = 50_000
@@ -332,23 +333,27 @@ def normalize_variant_source(products: DataFrame, changes: DataFrame, source: st
 
 
 def clean_catalog(products: DataFrame, changes: DataFrame, rules=None, taxonomy: DataFrame | None = None, fk: str = "product_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The whole clean-up in order, and a table of how many rows each step removed."""
+    """The whole clean-up in order, and a table of how many rows each step removed.
+
+    Every merge uses its input several times, so each step is written once before the next.
+    """
     steps: list[tuple[str, DataFrame, DataFrame]] = []
     own = products.where(~F.lower(F.trim(F.coalesce("source", F.lit("")))).isin(*catalog.SEPARATE_SOURCES))
     steps.append(("removed_separate_sources", products, own))
     bad = invalid_rows(own, ["name", "source", "condition"])
-    valid = own.join(bad.select(F.col("id").alias("_bad")), own["id"] == F.col("_bad"), "left_anti")
+    valid = settle(own.join(bad.select(F.col("id").alias("_bad")), own["id"] == F.col("_bad"), "left_anti"))
     steps.append(("removed_invalid_rows", own, valid))
     log = joins.drop_orphans(changes, valid, fk)
     current, moved = normalize_conditions(valid)
     log = windows.repoint(log, moved, fk)
+    current = settle(reclassify(current, rules, taxonomy))
     steps.append(("merged_by_condition", valid, current))
-    current = reclassify(current, rules, taxonomy)
     deduped, moved = windows.dedupe_by_url(current)
-    log = windows.repoint(log, moved, fk)
+    log, deduped = windows.repoint(log, moved, fk), settle(deduped)
     marked, moved = normalize_marker_source(deduped)
-    log = windows.repoint(log, moved, fk)
+    log, marked = settle(windows.repoint(log, moved, fk)), settle(marked)
     variants, log = normalize_variant_source(marked, log, fk=fk)
+    variants = settle(variants)
     steps.append(("url_merged_rows", current, variants))
     pruned, log = prune_stale(variants, log, fk)
     steps.append(("removed_stale", variants, pruned))

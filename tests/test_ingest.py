@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from marketlens.operators import joins, windows
 from marketlens.plans import ingest
+from marketlens.session import settle
 
 NOW, LATER = "2024-03-01 10:00:00", "2024-03-02 10:00:00"
 STATE = (
@@ -27,8 +28,9 @@ def empty(spark):
 
 
 def apply(state, batch, now=NOW):
+    # The state is published between snapshots, as a table would be.
     new, changes, counters = ingest.apply_offers(state, batch, ts(now))
-    return new, changes, counters.first().asDict()
+    return settle(new), changes, counters.first().asDict()
 
 
 def test_new_then_same_then_changed(spark, empty):
@@ -86,11 +88,12 @@ def ad_batch(spark, rows):
 
 def test_listing_life(spark):
     state = spark.createDataFrame([], AD)
-    state, _, _ = ingest.apply_ads(state, ad_batch(spark, [("A", "ua", 10.0, 1), ("B", "ub", 10.0, 0)]), ts("2024-03-01 00:00:00"))
+    state = settle(ingest.apply_ads(state, ad_batch(spark, [("A", "ua", 10.0, 1), ("B", "ub", 10.0, 0)]), ts("2024-03-01 00:00:00"))[0])
     rows = {r["urn_id"]: r for r in state.collect()}
     assert rows["A"]["sold_at"] is None and str(rows["A"]["last_active_seen"]) == "2024-03-01 00:00:00"
     assert rows["B"]["sold_window_hours"] == 0.0 and rows["B"]["last_active_seen"] is None
     state, changes, _ = ingest.apply_ads(state, ad_batch(spark, [("A", "ua", 10.0, 0), ("B", "ub", 12.0, 1)]), ts("2024-03-02 00:00:00"))
+    state = settle(state)
     rows = {r["urn_id"]: r for r in state.collect()}
     assert str(rows["A"]["sold_at"]) == "2024-03-02 00:00:00" and str(rows["A"]["sold_at_estimated"]) == "2024-03-01 12:00:00" and rows["A"]["sold_window_hours"] == 24.0
     assert rows["B"]["sold_at"] is None and rows["B"]["sold_window_hours"] is None
@@ -102,7 +105,7 @@ def test_listing_life(spark):
 
 
 def test_listing_found_by_address(spark):
-    state, _, _ = ingest.apply_ads(spark.createDataFrame([], AD), ad_batch(spark, [("A", "ua", 10.0, 1), ("B", "ub", 1.0, 1)]), ts(NOW))
+    state = settle(ingest.apply_ads(spark.createDataFrame([], AD), ad_batch(spark, [("A", "ua", 10.0, 1), ("B", "ub", 1.0, 1)]), ts(NOW))[0])
     state, changes, counters = ingest.apply_ads(state, ad_batch(spark, [("NEW", "ua", 11.0, 1), ("C", "", 5.0, 1), ("B", "ub", 1.0, 1)]), ts(LATER))
     got = {r["urn_id"]: (r["id"], r["last_price"]) for r in state.collect()}
     assert got == {"NEW": (1, 11.0), "B": (2, 1.0), "C": (3, 5.0)}
