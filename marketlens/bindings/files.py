@@ -135,6 +135,26 @@ def apply_classification(spark, sf):
     return cascade.apply_classification(state, results, _taxonomy(spark, sf), prompt="p", sold=True).drop("seller")
 
 
+def _cleanable(spark, sf):
+    """Products under the names of the known sources."""
+    sources = {"Brand#1": "cex", "Brand#2": "gameshock", "Brand#3": "rebuy", "Brand#4": "subito", "Brand#5": "gamepeople"}
+    rows = products(spark, sf).select(
+        "id", F.concat(F.lit("Xbox One "), "name", F.lit(" console")).alias("name"), F.coalesce(scores.lookup(sources, F.col("source")), F.col("source")).alias("source"), "condition", "url",
+        F.lit("").alias("image_url"), "first_seen", "last_seen", "last_price", "last_available", F.when(F.col("size") > 40, 1).otherwise(0).alias("is_base_model"),
+    )
+    log = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("product_id"), F.col("l_orderkey").alias("id"))
+    return ingest.clean_catalog(rows, log)
+
+
+def clean_catalog(spark, sf):
+    out, _, _ = _cleanable(spark, sf)
+    return out.groupBy("source", "condition").agg(F.count("*").alias("products"), F.count_distinct("display_id").alias("numbers"))
+
+
+def clean_catalog_steps(spark, sf):
+    return _cleanable(spark, sf)[2]
+
+
 def load_anchors(spark, sf):
     rows = products(spark, sf).select("id", "name", F.when(F.col("size") > 25, "cex").otherwise("rebuy").alias("source"), F.lit("base").alias("model_segment"), F.when(F.col("condition") == "PROMO", "special").otherwise("standard").alias("edition_class"), F.col("source").alias("console_family"), F.when(F.col("size") < 45, F.col("condition")).alias("canonical_model"))
     return similarity.load_anchors(rows)
@@ -196,6 +216,8 @@ QUERIES = {
         apply_classification,
         f"WITH {_TAX_SQL}, j AS (SELECT o.o_orderkey AS id, o_orderpriority, c_custkey IS NOT NULL AS hit, CASE WHEN c_nationkey = 3 THEN 'other' ELSE CAST(c_nationkey AS VARCHAR) END AS want, c_acctbal FROM orders o LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0) SELECT id, CASE WHEN hit THEN coalesce(family_key, 'other') ELSE o_orderpriority END AS console_family, CASE WHEN NOT hit THEN 's' WHEN tid IS NULL THEN 'Unknown' ELSE 'Base' END AS sub_model, CASE WHEN NOT hit THEN 'base' WHEN tid IS NULL THEN 'unknown' WHEN type = 'Speciale' THEN 'premium' ELSE 'base' END AS model_segment, CASE WHEN hit AND type = 'Speciale' THEN 'special' ELSE 'standard' END AS edition_class, CASE WHEN NOT hit THEN 'c' ELSE coalesce(tid, 'other') END AS canonical_model, CASE WHEN hit THEN 'ai-cascade:m1:approved_auto' ELSE 'm' END AS classify_method, CASE WHEN hit THEN floor(c_acctbal / 100) / 100 ELSE 0.1 END AS classify_confidence FROM j LEFT JOIN tax ON hit AND tid = want",
     ),
+    "clean_catalog": (clean_catalog, None),
+    "clean_catalog_steps": (clean_catalog_steps, None),
     "load_anchors": (load_anchors, "SELECT p_partkey AS id, p_name AS name, p_brand AS console_family, p_type AS canonical_model FROM part WHERE p_size > 25 AND p_type <> 'PROMO' AND p_size < 45"),
     "label_scalars": (
         label_scalars,

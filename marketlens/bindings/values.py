@@ -45,7 +45,7 @@ def _fair(cex: str, ebay: str, subito: str, name: str = "fair") -> str:
          CASE WHEN key LIKE 'family:%' THEN substr(key, 8) ELSE console_family END AS fallback_family_key,
          ({total}) / ({weight}) AS fair_value,
          CASE WHEN {count} >= 2 THEN greatest(cex_net, ebay_median, subito_median) - least(cex_net, ebay_median, subito_median) ELSE 0 END AS spread,
-         least(1.0, 0.3 + 0.18 * ({count}) + least(cex_n + ebay_n + subito_n, 60) * 0.006) AS confidence,
+         least(1.0::DOUBLE, 0.3::DOUBLE + 0.18::DOUBLE * ({count}) + least(cex_n + ebay_n + subito_n, 60) * 0.006::DOUBLE) AS confidence,
          CAST(cex_n + ebay_n + subito_n AS BIGINT) AS sample_count, cex_n, ebay_n, subito_n, cex_net, ebay_median, subito_median
   FROM wide WHERE ({weight}) > 0)"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marketlens import catalog
 
@@ -125,6 +125,21 @@ def sanitize_url(text: Column) -> Column:
     return F.when(clean.rlike("(?i)^https?://"), clean).otherwise(F.lit(""))
 
 
+def sanitize_columns(df: DataFrame) -> DataFrame:
+    """Cleans every text column and list of texts; columns named after addresses keep only web addresses."""
+    out = []
+    for name, kind in df.dtypes:
+        clean = sanitize_url if "url" in name.lower() else sanitize_text
+        c = F.col(name)
+        if kind == "string":
+            out.append(F.when(c.isNotNull(), clean(c)).alias(name))
+        elif kind == "array<string>":
+            out.append(F.transform(c, sanitize_text).alias(name))
+        else:
+            out.append(c)
+    return df.select(*out)
+
+
 def redact(text: Column, secrets: Iterable[str] = catalog.SECRETS) -> Column:
     for pattern in secrets:
         text = F.regexp_replace(text, pattern, "***")

@@ -243,18 +243,25 @@ def apply_sold(state: DataFrame, offers: DataFrame, as_of: Column, order: str =
 
 # --- cleaning -----------------------------------------------------------------------------
 
-def stale_rows(products: DataFrame, sources: Sequence[str] | None = None, separate: Sequence[str] = catalog.SEPARATE_SOURCES) -> DataFrame:
-    """Adds ``stale``: not seen in the newest scrape of the source."""
+def stale_rows(products: DataFrame, sources: Sequence[str] | DataFrame | None = None, separate: Sequence[str] = catalog.SEPARATE_SOURCES) -> DataFrame:
+    """Adds ``stale``: not seen in the newest scrape of the source.
+
+    ``sources`` limits it to some sources, given by name or as a table of one row per source.
+    """
     newest = products.groupBy("source").agg(F.max("last_seen").alias("_newest"))
     key = F.lower(F.trim(F.coalesce("source", F.lit(""))))
     subject = (key != "") & ~key.isin(*separate)
-    if sources is not None:
-        subject = subject & key.isin(*sources)
     joined = null_safe_join(products, newest, ["source"], "left")
-    return joined.withColumn("stale", subject & F.coalesce(F.col("last_seen") < F.col("_newest"), F.lit(False))).drop("_newest")
+    if isinstance(sources, DataFrame):
+        seen = sources.select(F.lower(F.trim("source")).alias("_s")).distinct().withColumn("_asked", F.lit(True))
+        joined = joined.withColumn("_s", key).join(seen, "_s", "left").drop("_s")
+        subject = subject & F.coalesce("_asked", F.lit(False))
+    elif sources is not None:
+        subject = subject & key.isin(*sources)
+    return joined.withColumn("stale", subject & F.coalesce(F.col("last_seen") < F.col("_newest"), F.lit(False))).drop("_newest", "_asked")
 
 
-def prune_stale(products: DataFrame, changes: DataFrame, fk: str = "product_id", sources: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def prune_stale(products: DataFrame, changes: DataFrame, fk: str = "product_id", sources: Sequence[str] | DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     kept = stale_rows(products, sources).where(~F.col("stale")).drop("stale")
     return kept, joins.drop_orphans(changes, kept, fk)
 
@@ -364,6 +371,26 @@ def clean_catalog(products: DataFrame, changes: DataFrame, rules=None, taxonomy:
     return windows.display_ids(pruned), log, summary
 
 
+def process_snapshot(
+    products: DataFrame, changes: DataFrame, raw: DataFrame, as_of: Column, rules=None, taxonomy: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A store snapshot from raw offers to the numbered catalogue.
+
+    Offers are cleaned and applied, every name is classified, the special sources are put in
+    order, and products missing from the newest scrape of the sources seen leave with their
+    history. Result: products, change log, counters.
+    """
+    offers = settle(clean_offers(raw))
+    state, fresh, counters = apply_offers(products, offers, as_of)
+    log = settle(changes.unionByName(fresh.select("product_id", "changed_at", "price_old", "price_new", "available_old", "available_new", "change_type")))
+    state = settle(reclassify(state, rules, taxonomy))
+    marked, moved = normalize_marker_source(state)
+    marked, log = settle(marked), settle(windows.repoint(log, moved, "product_id"))
+    variants, log = normalize_variant_source(marked, log)
+    kept, log = prune_stale(settle(variants), log, sources=offers.select("source").distinct())
+    return windows.display_ids(kept), log, counters
+
+
 def refilter(ads: DataFrame, block: str, allow: str, floors: dict[str, float] = catalog.PRICE_FLOORS) -> DataFrame:
     """Rejected listings become unavailable; no change row, no sale date."""
     bad = rejected_listing(F.col("name"), F.col("console_family"), F.col("last_price"), block, allow, floors)

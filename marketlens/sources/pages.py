@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -41,11 +41,42 @@ class Pick:
 
 @dataclass(frozen=True)
 class CardSpec:
-    """Which elements are cards, and the values to pick from each. ``required`` values must be set."""
+    """Which elements are cards, and the values to pick from each. ``required`` values must be set.
+
+    A card may hold several lines of the same make: ``line`` is the element of a line and
+    ``line_fields`` are its values.
+    """
 
     card: Pick
     fields: dict[str, Pick]
     required: tuple[str, ...] = ()
+    line: Pick | None = None
+    line_fields: dict[str, Pick] = field(default_factory=dict)
+
+
+class _Scope:
+    """A card or line that is being read."""
+
+    def __init__(self, depth: int, fields: dict[str, Pick]):
+        self.depth, self.fields, self.values, self.texts, self.lines = depth, fields, {}, {}, []
+
+    def take(self, at: int, tag: str, attrs: dict, inside: Sequence[frozenset]) -> list[str]:
+        """Keeps what this element gives; names of the fields whose text is still to come."""
+        wanted = []
+        for name, pick in self.fields.items():
+            itself = at == self.depth
+            if name in self.values or name in self.texts or (itself and (pick.tag or pick.classes)) or not _fits(pick, tag, attrs, inside):
+                continue
+            if pick.attr:
+                got = attrs[pick.attr]
+                self.values[name] = " ".join(sorted(got)) if pick.attr == "class" else got.strip()
+            else:
+                self.texts[name] = []
+                wanted.append(name)
+        return wanted
+
+    def done(self) -> dict:
+        return self.values | {k: " ".join("".join(v).split()) for k, v in self.texts.items()}
 
 
 def _fits(pick: Pick, tag: str, attrs: dict, parents: Sequence[frozenset]) -> bool:
@@ -63,64 +94,59 @@ class _CardReader(HTMLParser):
 
     def __init__(self, spec: CardSpec):
         super().__init__(convert_charrefs=True)
-        self.spec, self.cards, self.stack, self.open = spec, [], [], None
+        self.spec, self.cards, self.stack, self.card, self.line = spec, [], [], None, None
 
     def handle_starttag(self, tag, attrs):
         named = {k: v or "" for k, v in attrs}
         named["class"] = frozenset(named.get("class", "").split())
-        parents = [classes for _, classes, _ in self.stack]
-        if self.open is None and _fits(self.spec.card, tag, named, ()):
-            self.open = (len(self.stack), {}, {})
-        wanted = []
-        if self.open is not None:
-            depth, values, texts = self.open
-            inside = parents[depth:]
-            for name, pick in self.spec.fields.items():
-                is_card = len(self.stack) == depth
-                if name in values or name in texts or (is_card and (pick.tag or pick.classes)) or not _fits(pick, tag, named, inside):
-                    continue
-                if pick.attr:
-                    got = named[pick.attr]
-                    values[name] = " ".join(sorted(got)) if pick.attr == "class" else got.strip()
-                else:
-                    texts[name] = []
-                    wanted.append(name)
+        parents, depth = [classes for _, classes, _ in self.stack], len(self.stack)
+        if self.card is None and _fits(self.spec.card, tag, named, ()):
+            self.card = _Scope(depth, self.spec.fields)
+        elif self.card and not self.line and self.spec.line and _fits(self.spec.line, tag, named, parents[self.card.depth:]):
+            self.line = _Scope(depth, self.spec.line_fields)
+        wanted = [(s, n) for s in (self.card, self.line) if s for n in s.take(depth, tag, named, parents[s.depth:])]
         if tag not in _VOID:
             self.stack.append((tag, named["class"], wanted))
 
     def handle_data(self, data):
-        if self.open is not None:
-            for _, _, wanted in self.stack:
-                for name in wanted:
-                    self.open[2][name].append(data)
+        for _, _, wanted in self.stack:
+            for scope, name in wanted:
+                scope.texts[name].append(data)
 
     def handle_endtag(self, tag):
-        if not any(t == tag for t, _, _ in self.stack):
-            return
-        while self.stack:
-            closed, _, _ = self.stack.pop()
-            if self.open is not None and len(self.stack) <= self.open[0]:
-                self._finish()
-            if closed == tag:
-                break
+        if any(t == tag for t, _, _ in self.stack):
+            while self._leave() != tag:
+                pass
 
     def close(self):
         super().close()
-        if self.open is not None:
-            self._finish()
+        while self.stack:
+            self._leave()
 
-    def _finish(self):
-        _, values, texts = self.open
-        values |= {k: " ".join("".join(v).split()) for k, v in texts.items()}
-        if all(values.get(r) for r in self.spec.required):
-            self.cards.append(values)
-        self.open = None
+    def _leave(self) -> str:
+        tag, _, _ = self.stack.pop()
+        if self.line and len(self.stack) <= self.line.depth:
+            self.card.lines.append(self.line.done())
+            self.line = None
+        if self.card and len(self.stack) <= self.card.depth:
+            values = self.card.done()
+            if all(values.get(r) for r in self.spec.required):
+                self.cards.append(values | {"lines": self.card.lines})
+            self.card = None
+        return tag
 
 
 def extract_cards(pages: DataFrame, spec: CardSpec, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per card and page: key, ``card_no`` and the spec's fields as text."""
+    """One row per card and page: key, ``card_no`` and the spec's fields as text.
+
+    With line fields there is also ``lines``, an array of structs.
+    """
     kind = dict(pages.dtypes)[key]
     schema = f"{key} {kind}, card_no long, " + ", ".join(f"`{f}` string" for f in spec.fields)
+    names = [*spec.fields]
+    if spec.line:
+        schema += ", lines array<struct<" + ",".join(f"`{f}`:string" for f in spec.line_fields) + ">>"
+        names.append("lines")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,8 +155,10 @@ def extract_cards(pages: DataFrame, spec: CardSpec, key: str = "page_id", html:
                 reader = _CardReader(spec)
                 reader.feed(text or "")
                 reader.close()
-                rows += [(page, i, *[card.get(f) for f in spec.fields]) for i, card in enumerate(reader.cards)]
-            yield pd.DataFrame(rows, columns=[key, "card_no", *spec.fields])
+                for i, card in enumerate(reader.cards):
+                    card["lines"] = [{f: line.get(f) for f in spec.line_fields} for line in card["lines"]]
+                    rows.append((page, i, *[card.get(f) for f in names]))
+            yield pd.DataFrame(rows, columns=[key, "card_no", *names])
 
     return pages.select(key, html).mapInPandas(read, schema)
 
@@ -141,6 +169,16 @@ def cards_to_offers(cards: DataFrame, source: str, *, condition: Column, availab
     )
 
 
+def lines_of(cards: DataFrame) -> DataFrame:
+    """Lines of two-condition cards in the form ``two_condition_cards`` takes."""
+    line = lambda x: F.struct(
+        F.coalesce(x["available"], x["unavailable"]).alias("label"), x["available"].isNotNull().alias("in_stock"), x["price_text"].alias("price_text")
+    )
+    base = F.regexp_replace(F.regexp_extract(F.coalesce("image_alt", F.lit("")), r"^\[([^\]]+)\]", 1), r"(?i)_[UN]$", "")
+    slug = F.element_at(F.split(F.regexp_replace(F.coalesce("url", F.lit("")), "/+$", ""), "/"), -1)
+    return cards.withColumn("lines", F.transform("lines", line)).withColumn("base_sku", F.when(base != "", base).otherwise(slug))
+
+
 # --- fixed values: card layouts of the known stores -----------------------------------------
 GAMESHOCK = CardSpec(
     Pick(classes=("ajax_block_product",)),
@@ -180,7 +218,9 @@ GAMELIFE = CardSpec(
     Pick(classes=("o_wsale_product_grid_wrapper",)),
     {
         "name": Pick("form", attr="aria-label"), "url": Pick("a", attr="href"), "image_alt": Pick("img", ("oe_product_image_img",), attr="alt"),
-        "image_url": Pick("img", ("oe_product_image_img",), attr="src"), "ribbon": Pick(classes=("o_ribbons",)), "text": Pick(),
+        "image_url": Pick("img", ("oe_product_image_img",), attr="src"), "ribbon": Pick(classes=("o_ribbons",)),
     },
     ("name",),
+    Pick(classes=("row",), within="justify-content-center"),
+    {"available": Pick("span", ("available",)), "unavailable": Pick("span", ("unavailable",)), "price_text": Pick(classes=("oe_currency_value",))},
 )

@@ -64,6 +64,11 @@ def test_text_shapes(one):
     assert one(text.trailing_id, t="A-12") == "A-12"
 
 
+def test_sanitize_columns(spark):
+    df = spark.createDataFrame([("<b>", "ftp://x", ["a'b"], 3, None)], "a string, image_url string, c array<string>, d int, e string")
+    assert tuple(text.sanitize_columns(df).first()) == ("b", "", ["a b"], 3, None)
+
+
 def test_tokens_and_jaccard(one):
     assert sorted(one(text.tokens, t="Console Xbox One 500GB con Kinect, one!")) == ["500gb", "kinect", "one"]
     assert one(lambda a, b: text.jaccard(F.split(a, " "), F.split(b, " ")), a="x y z", b="y z w") == 0.5

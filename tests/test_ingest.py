@@ -154,6 +154,22 @@ def test_prune(spark):
     assert ingest.count_stale(kept).count() == 0
 
 
+def test_whole_snapshot(spark, empty):
+    log = spark.createDataFrame([], "product_id long, changed_at timestamp, price_old double, price_new double, available_old int, available_new int, change_type string")
+    raw = lambda rows: spark.createDataFrame([(i, *r, None, None, f"https://x/{r[0]}", "") for i, r in enumerate(rows)], OFFER)
+    rows = [("Xbox One S 1TB", "cex", "Usato", 100.0, True), ("Xbox 360 250GB", "cex", "Usato", 50.0, True), ("Xbox One X 1TB usata", "gameshock", "Nuovo", 90.0, True), ("Xbox Series S console", "rebuy", "Usato", 9.0, True), ("Cavo", "rebuy", "Usato", 9.0, True)]
+    state, log, counters = ingest.process_snapshot(empty, log, raw(rows), ts(NOW))
+    assert counters.first()["new"] == 5
+    got = {r["name"]: r for r in state.collect()}
+    assert set(got) == {r[0] for r in rows} - {"Cavo"}
+    assert got["Xbox One X 1TB usata"]["condition"] == "Usato" and got["Xbox One S 1TB"]["standard_name"] == "Xbox One S 1 T - Bianco"
+    assert got["Xbox 360 250GB"]["display_id"] == 1001 and log.count() == 4
+    # The next snapshot of one source drops what it no longer lists, and nothing of the others.
+    state, log, counters = ingest.process_snapshot(settle(state.drop("display_id", "rank_fits")), settle(log), raw(rows[:1]), ts(LATER))
+    assert {r["name"] for r in state.collect()} == {"Xbox One S 1TB", "Xbox One X 1TB usata", "Xbox Series S console"}
+    assert log.count() == 3 and counters.first().asDict() == {"new": 0, "price_changes": 0, "avail_changes": 0, "unchanged": 1}
+
+
 def test_display_ids(spark):
     rows = [product(1, "Zeta", "gamelife", "Usato", "a"), product(2, "Zeta", "gamelife", "Nuovo", "b"), product(3, "alfa", "gamelife", "Usato", "c"), product(4, "B", "cex", "Usato", "d"), product(5, "q", "elsewhere", "Usato", "e")]
     got = {r["id"]: r["display_id"] for r in windows.display_ids(spark.createDataFrame(rows, PRODUCT)).collect()}

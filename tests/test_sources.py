@@ -92,6 +92,16 @@ def test_other_layouts(spark):
     assert spark.createDataFrame([(row["url"],)], "u string").select(condition_from_url(F.col("u"))).first()[0] == "Usato"
 
 
+def test_two_lines_of_a_card(spark):
+    html = """<div class="o_wsale_product_grid_wrapper"><form aria-label="Xbox Series X"><h2><a href="/p/hw1">x</a></h2>
+    <img class="oe_product_image_img" alt="[HWXX0001_U] Xbox Series X (Usato)" src="/i"><span class="o_ribbons">Novità</span>
+    <div class="col-12 d-flex flex-column justify-content-center"><div class="row"><span class="available">Nuovo</span><span class="oe_currency_value">499,98</span></div>
+    <div class="row"><span class="unavailable">Usato</span><span class="oe_currency_value">399,98</span></div><div class="row"><span class="available">Noleggio</span></div></div></form></div>"""
+    cards = pages.extract_cards(spark.createDataFrame([(1, html)], "page_id long, html string"), pages.GAMELIFE)
+    got = [(r["sku"], r["name"], r["condition"], r["price"], r["available"]) for r in listings.two_condition_cards(pages.lines_of(cards)).orderBy("sku").collect()]
+    assert got == [("HWXX0001_N", "Xbox Series X", "Nuovo", 499.98, True), ("HWXX0001_U", "Xbox Series X", "Usato", 399.98, False)]
+
+
 def test_embedded_json(spark):
     html = '<script id="__NEXT_DATA__" type="application/json">{"a": {"b": 3}}</script>'
     row = pages.extract_embedded_json(spark.createDataFrame([(html,), ("<p>",)], "html string"), schema="a struct<b:int>").collect()
