@@ -10,7 +10,6 @@ from marketlens import catalog
 from marketlens.functions import scores, times
 from marketlens.functions.text import title_case
 from marketlens.operators.filters import is_approved
-from marketlens.operators.ordering import number_rows
 
 
 def find_deals(ads: DataFrame, thresholds: DataFrame, notified: DataFrame, approved: Sequence[str] = catalog.APPROVED) -> DataFrame:
@@ -40,9 +39,11 @@ def purge_log(log: DataFrame, as_of: Column, days: int = catalog.ALERT_RETENTION
     return log.where(ts.isNotNull() & (times.micros(ts) >= oldest))
 
 
-def cap_alerts(deals: DataFrame, order: Sequence[Column], cap: int = catalog.ALERT_CAP) -> DataFrame:
+def cap_alerts(deals: DataFrame, order: Sequence[Column], cap: int = catalog.ALERT_CAP, key: str = "urn_id") -> DataFrame:
     """Every deal is recorded; ``sent`` marks the first ``cap`` in order."""
-    return number_rows(deals, order, out="_no").withColumn("sent", F.col("_no") <= cap).drop("_no")
+    # At most ``cap`` rows, so the join can send them to every task.
+    first = deals.orderBy(*order).limit(cap).select(F.col(key).alias("_sent"))
+    return deals.join(F.broadcast(first), F.col(key) == F.col("_sent"), "left").withColumn("sent", F.col("_sent").isNotNull()).drop("_sent")
 
 
 def alert_log(log: DataFrame, deals: DataFrame, as_of: Column, as_of_text: Column) -> DataFrame:
