@@ -134,9 +134,10 @@ def additive_merge(
     Returns the rows to append to each table, in the columns both sides share.
     """
     shared = common_columns(parents, incoming)
-    fresh = insert_or_ignore(parents, incoming.select("id", *shared), keys, ["id"]).withColumnRenamed("id", "_old")
-    numbered = next_ids(fresh, parents, [F.col("_old")])
-    id_map = numbered.select(F.col("_old").alias("_from"), F.col("id").alias("_to"))
+    fresh = insert_or_ignore(parents, incoming.select("id", *shared), keys, ["id"]).withColumnRenamed("id", "_from")
+    # Only the old ids are sorted and numbered; they are unique.
+    id_map = next_ids(fresh.select("_from"), parents, [F.col("_from")], out="_to")
+    numbered = fresh.join(id_map, "_from").withColumnRenamed("_to", "id")
     kept = common_columns(children, incoming_children, without=("id", fk))
     kids = incoming_children.join(id_map, incoming_children[fk] == F.col("_from")).select(F.col("_to").alias(fk), *kept)
     return numbered.select("id", *shared), kids

@@ -79,7 +79,7 @@ def previous_row(
 
 def order_statistics(
     df: DataFrame, keys: Sequence[str], value: str, targets: Sequence[tuple[float, Column, Column]],
-    *, spread: float = 0.002, accuracy: int = 10000, extra: Sequence[Column] = (), extra_names: Sequence[str] = (),
+    *, spread: float = 0.002, accuracy: int = 2000, extra: Sequence[Column] = (), extra_names: Sequence[str] = (),
 ) -> DataFrame:
     """Exact values at given ranks, one row per key.
 
@@ -105,7 +105,7 @@ def order_statistics(
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", edges, accuracy).alias("_e"),
     )
-    small = F.col("_n") <= int(2 / spread)
+    small = F.col("_n") <= int(4 / spread)
     brackets = F.array(
         *[
             F.struct(

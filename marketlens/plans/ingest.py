@@ -69,14 +69,16 @@ def fold_offers(offers: DataFrame, keys: Sequence[str], order: str, policy: Poli
     """What a batch leaves per key; copies of a key combine before the shuffle."""
     o = F.col(order)
     kept = lambda c, test: F.max_by(c, F.when(test, o)).alias(c)
-    return offers.groupBy(*keys).agg(
+    packed = [("_last", F.max_by, policy.last), ("_once", F.min_by, policy.once)]
+    folded = offers.groupBy(*keys).agg(
         F.min(order).alias("_first"),
-        *[F.max_by(c, o).alias(c) for c in policy.last],
+        *[by(F.struct(*cols), o).alias(name) for name, by, cols in packed if cols],
         *[kept(c, F.col(c).isNotNull()) for c in policy.keep_if_null],
         *[kept(c, F.coalesce(F.col(c), F.lit("")) != "") for c in policy.keep_if_blank],
-        *[F.min_by(c, o).alias(c) for c in policy.once],
         *extra,
     )
+    opened = [F.col(name)[c].alias(c) for name, _, cols in packed for c in cols]
+    return folded.select("*", *opened).drop("_last", "_once")
 
 
 def merge_state(state: DataFrame, folded: DataFrame, keys: Sequence[str], policy: Policy, as_of: Column) -> DataFrame:
@@ -94,8 +96,10 @@ def merge_state(state: DataFrame, folded: DataFrame, keys: Sequence[str], policy
         else:
             updated.append(F.col(c))
     old = joined.select("id", *keys, *updated, "first_seen", F.when(hit, as_of).otherwise(F.col("last_seen")).alias("last_seen"), hit.alias("touched"))
-    fresh = null_safe_join(marked, state.select(*keys), keys, "left_anti")
-    numbered = joins.next_ids(fresh, state, [F.col("_first"), *[F.col(k) for k in keys]])
+    # Only keys and first positions are sorted and numbered; the rest of a row joins its number.
+    unseen = null_safe_join(folded.select(*keys, "_first"), state.select(*keys), keys, "left_anti")
+    ids = joins.next_ids(unseen, state, [F.col("_first"), *[F.col(k) for k in keys]])
+    numbered = null_safe_join(marked, ids.select(*keys, "id"), keys)
     fill = [F.col(c) if c in folded.columns else F.lit(None).cast(state.schema[c].dataType).alias(c) for c in cols]
     new = numbered.select("id", *keys, *fill, as_of.alias("first_seen"), as_of.alias("last_seen"), F.lit(True).alias("touched"))
     return old.unionByName(new)
