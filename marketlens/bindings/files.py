@@ -108,7 +108,7 @@ _MARKER = PRODUCTS_SQL + """,
 named AS (SELECT *, replace(name, 'old', 'used') AS nm, CASE source WHEN 'Brand#1' THEN 'gameshock' ELSE source END AS src FROM products),
 kept AS (
   SELECT first(id ORDER BY length(nm) DESC, last_seen DESC NULLS LAST, id DESC) AS id, first(nm ORDER BY length(nm) DESC, last_seen DESC NULLS LAST, id DESC) AS name, src,
-         CASE WHEN first(nm ORDER BY length(nm) DESC, last_seen DESC NULLS LAST, id DESC) LIKE '%used%' THEN 'Usato' ELSE 'Nuovo' END AS want, min(first_seen) AS first_seen
+         CASE WHEN regexp_matches(first(nm ORDER BY length(nm) DESC, last_seen DESC NULLS LAST, id DESC), '\\bused\\b') THEN 'Usato' ELSE 'Nuovo' END AS want, min(first_seen) AS first_seen
   FROM named WHERE src = 'gameshock' GROUP BY src, url),
 shop AS (SELECT min(id) AS id, src, name, want AS condition, min(first_seen) AS first_seen FROM kept GROUP BY src, name, want),
 -- Other sources are only merged where source, name and condition coincide.
