@@ -11,20 +11,15 @@ from marketlens.functions.scores import lookup
 from marketlens.functions.text import first_pos, matches, plain_words
 
 
+def _hits(title: Column, rules) -> Column:
+    """Position, tie-break and value of every rule that matches; each pattern is tried once."""
+    tried = [F.struct(first_pos(title, p).alias("pos"), F.lit(tie).alias("tie"), F.lit(v).alias("value")) for v, p, tie in rules]
+    return F.filter(F.array(*tried), lambda h: h["pos"] > 0)
+
+
 def _earliest(title: Column, rules, value) -> Column:
     """Value of the rule that matches first; equal positions go to the smaller tie-break."""
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    first_pos(title, pattern) > 0,
-                    F.struct(first_pos(title, pattern).alias("pos"), F.lit(tie).alias("tie"), F.lit(v).alias("value")),
-                )
-                for v, pattern, tie in rules
-            ]
-        )
-    )
-    return F.array_min(hits)[value]
+    return F.array_min(_hits(title, rules))[value] if rules else F.lit(None).cast("string")
 
 
 def _first_rule(title: Column, rules, default: str) -> Column:
@@ -101,17 +96,9 @@ def edition_in_title(title: Column, rules: TitleRules = CONSOLE_RULES) -> Column
 
 def colors(title: Column, rules: TitleRules = CONSOLE_RULES) -> Column:
     """Colours in order of appearance, joined by '/'."""
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    first_pos(title, p) > 0,
-                    F.struct(first_pos(title, p).alias("pos"), F.lit(i).alias("rank"), F.lit(label).alias("value")),
-                )
-                for i, (label, p) in enumerate(rules.colors)
-            ]
-        )
-    )
+    if not rules.colors:
+        return F.lit("")
+    hits = _hits(title, [(label, p, i) for i, (label, p) in enumerate(rules.colors)])
     return F.array_join(F.transform(F.array_sort(hits), lambda h: h["value"]), "/")
 
 

@@ -74,6 +74,17 @@ def test_attributes(one):
     assert one(titles.kinect, t="Xbox") is None
 
 
+def test_rules_without_lists(spark, one):
+    import dataclasses
+
+    from marketlens.catalog import CONSOLE_RULES
+
+    bare = dataclasses.replace(CONSOLE_RULES, colors=(), editions=(), families=())
+    assert one(lambda t: titles.colors(t, bare), t="nero") == ""
+    assert one(lambda t: titles.edition_in_title(t, bare), t="halo") is None
+    assert one(lambda t: titles.detect_family(t, bare), t="xbox one") == "original"
+
+
 def test_taxonomy(spark):
     tax = taxonomy_table(spark)
     assert tax.count() == 67
