@@ -92,6 +92,18 @@ def test_other_layouts(spark):
     assert spark.createDataFrame([(row["url"],)], "u string").select(condition_from_url(F.col("u"))).first()[0] == "Usato"
 
 
+def test_text_cards(spark):
+    html = """<div class="ry-card product--unavailable"><a href="/i,123/xbox"><img src="p.png"><span class="title">Xbox One S 1TB</span></a><p>Molto buono</p><b>da 129,99 €</b></div>"""
+    row = pages.extract_cards(spark.createDataFrame([(1, html)], "page_id long, html string"), pages.REBUY).first()
+    assert (row["name"], row["url"], row["image_url"]) == ("Xbox One S 1TB", "/i,123/xbox", "p.png")
+    assert "129,99" in row["text"] and "product--unavailable" in row["card_class"].split()
+    html = """<div class="lista_prodotto"><div class="lista_prodotto_titolo"><a href="/x">Xbox Series S</a></div><table><tr><td><img src="/t.jpg"></td></tr></table>
+    Cod. prodotto: AB12 <span class="prezzo_finale">299,00 €</span><span class="float_right"><span class="bold">Disponibile</span><img src="/disponibile.gif"></span></div>"""
+    row = pages.extract_cards(spark.createDataFrame([(1, html)], "page_id long, html string"), pages.GAMEPEOPLE).first()
+    assert (row["name"], row["url"], row["price_text"], row["availability"], row["stock_image"]) == ("Xbox Series S", "/x", "299,00 €", "Disponibile", "/disponibile.gif")
+    assert "AB12" in row["text"]
+
+
 def test_two_lines_of_a_card(spark):
     html = """<div class="o_wsale_product_grid_wrapper"><form aria-label="Xbox Series X"><h2><a href="/p/hw1">x</a></h2>
     <img class="oe_product_image_img" alt="[HWXX0001_U] Xbox Series X (Usato)" src="/i"><span class="o_ribbons">Novità</span>
