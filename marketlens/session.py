@@ -23,7 +23,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's own, or a local one in tests."""
+    """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
+
+    A machine's own folder is taken for local masters alone, where driver and executors are one
+    process.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
@@ -31,10 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not _is_local(sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="marketlens-"))
     return sc.getCheckpointDir()
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder, so that later reads see one fixed version."""
     spark = df.sparkSession
