@@ -24,18 +24,20 @@ def cells(rows: DataFrame, key: str, salt: Column, block: int) -> DataFrame:
 
     A bucket of up to ``block`` rows is the single cell (0, 0). A larger one gets
     ``ceil(n / block)`` blocks by a hash of ``salt``; a row of block b goes to the cells (b, j)
-    of all blocks j. Keys with one row cannot hold a pair and are left out.
+    of all blocks j.
     """
-    counts = rows.groupBy(key).count().where("count > 1").select(
+    # Only keys above a block are joined: every row is met once per block of its key.
+    large = rows.groupBy(key).count().where(F.col("count") > block).select(
         F.col(key).alias("_key"), F.ceil(F.col("count") / F.lit(block)).cast("int").alias("_blocks")
     )
-    own = F.when(F.col("_blocks") > 1, F.pmod(F.xxhash64(salt, F.lit(1)), F.col("_blocks")).cast("int")).otherwise(0)
+    blocks = F.coalesce("_blocks", F.lit(1))
+    own = F.pmod(F.xxhash64(salt, F.lit(1)), blocks).cast("int")
     cell = F.transform(
-        F.sequence(F.lit(0), F.col("_blocks") - 1),
+        F.sequence(F.lit(0), blocks - 1),
         lambda j: F.struct(F.least(j, F.col("_own")).alias("_i"), F.greatest(j, F.col("_own")).alias("_j")),
     )
     met = (
-        rows.join(counts, F.col(key) == F.col("_key")).withColumn("_own", own)
+        rows.join(large, F.col(key) == F.col("_key"), "left").withColumn("_own", own)
         .withColumn("_cell", F.explode(cell)).select(*rows.columns, "_own", "_cell._i", "_cell._j")
     )
     return met.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j")

@@ -152,9 +152,8 @@ def _verified(bits: int):
                     break
                 hit = at[near(prints[at], prints[at + k]) & (~across[at] | (own[at] != own[at + k]))]
                 u.append(prints[hit]), v.append(prints[hit + k])
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                if b - a <= 64:
-                    continue
+            for c in np.flatnonzero(np.diff(bounds) > 64):
+                a, b = bounds[c], bounds[c + 1]
                 left = range(a, b)
                 for i in left[::256]:
                     x = prints[i:min(b, i + 256)]
