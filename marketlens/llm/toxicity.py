@@ -109,7 +109,7 @@ def _self_kernel(triples: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def explicit(words: list[str]) -> np.ndarray:
     """Rows of unit length in the space of all subsequences; for few strings."""
-    out = np.zeros((len(words), _SIZE**3))
+    out = np.zeros((len(words), _SIZE**3), np.float32)
     for at, part in _by_length(words):
         triples, weights = _subsequences(part)
         for i, row in zip(at, triples):
@@ -121,8 +121,8 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
     """Normalised subsequence kernel of all strings of ``left`` with those of ``right``."""
     table = explicit(right)
     out = np.zeros((len(left), len(right)))
-    for i in range(0, len(left), 512):
-        out[i:i + 512] = explicit(left[i:i + 512]) @ table.T
+    for i in range(0, len(left), 64):
+        out[i:i + 64] = explicit(left[i:i + 64]) @ table.T
     return out
 
 
@@ -229,16 +229,16 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 192, rounds: int
         marks = plain[: landmarks // 2]
         marks = marks + list(dict.fromkeys(hard[: landmarks // 4] + used))[: landmarks - len(marks)]
         table = explicit(marks)
-        gram = table @ table.T
+        gram = (table @ table.T).astype(float)
         values, vectors = np.linalg.eigh(gram)
         some = values > 1e-6 * values[-1]
         root = vectors[:, some] / np.sqrt(values[some])
         rows = toxic + used
-        x = np.vstack([explicit(rows[i:i + 256]) @ table.T for i in range(0, len(rows), 256)]) @ root
+        x = np.vstack([explicit(rows[i:i + 64]) @ table.T for i in range(0, len(rows), 64)]) @ root
         y = np.r_[np.ones(len(toxic)), -np.ones(len(used))]
         weight = np.where(y > 0, cost * len(used) / max(1, len(toxic)) / 4, cost)
         w = _machine(np.hstack([x, np.ones((len(x), 1))]), y, weight)
-        model = Model(table.T @ (root @ w[:-1]), float(w[-1]))
+        model = Model((table.T @ (root @ w[:-1])).astype(float), float(w[-1]))
         margin = model.margins(clean)
         hard = [clean[i] for i in np.argsort(-margin)[:400] if margin[i] > -0.8]
         used = list(dict.fromkeys(used + hard))
