@@ -146,7 +146,7 @@ def learn(
     among those it grew on; learning ends with the first that is not. No bad or no good rows
     give no rules; rows with a null ``bad`` are left out.
     """
-    known = rows.where(F.col(bad).isNotNull()).select("features", F.col(bad).cast("int").alias("bad"))
+    known = settle(rows.where(F.col(bad).isNotNull()).select("features", F.col(bad).cast("int").alias("bad")))
     cuts = known.agg(*[
         F.array_sort(F.array_distinct(F.percentile_approx(f"features.{f}", [i / bins for i in range(bins)], 10_000))).alias(f) for f in FEATURES
     ]).first()
