@@ -211,7 +211,7 @@ def _disguised(word: str, random: np.random.Generator) -> list[str]:
     return [*put_in, word[:at[2]] + word[at[2] - 1] + word[at[2]:], word[:at[3]] + word[at[3] + 1:]]
 
 
-def train(toxic: list[str], clean: list[str], landmarks: int = 192, rounds: int = 3, cost: float = 10.0) -> Model:
+def train(toxic: list[str], clean: list[str], landmarks: int = 192, rounds: int = 4, cost: float = 10.0) -> Model:
     """A model from toxic and clean strings, the likeliest toxic ones first.
 
     Half of the landmarks are toxic strings, half clean ones; each round adds the clean strings
@@ -240,7 +240,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 192, rounds: int
         w = _machine(np.hstack([x, np.ones((len(x), 1))]), y, weight)
         model = Model((table.T @ (root @ w[:-1])).astype(float), float(w[-1]))
         margin = model.margins(clean)
-        hard = [clean[i] for i in np.argsort(-margin)[:400] if margin[i] > -0.8]
+        hard = [clean[i] for i in np.argsort(-margin)[:800] if margin[i] > -0.8]
         used = list(dict.fromkeys(used + hard))
     return model
 
@@ -270,7 +270,7 @@ def _units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(
     docs: DataFrame, labels: DataFrame, held_out: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id",
-    text_col: str = "text", train_docs: int = 3000, toxic_units: int = 400, clean_units: int = 30_000,
+    text_col: str = "text", train_docs: int = 3000, toxic_units: int = 400, clean_units: int = 60_000,
 ) -> Model:
     """A model from the labelled documents for which ``held_out`` (over ``id_col``) is not true.
 
