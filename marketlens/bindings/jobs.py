@@ -56,7 +56,7 @@ def job_transitions(spark, sf):
 
 
 def job_history(spark, sf):
-    rows = aggregates.job_history(job_runs(spark, sf), "click", 500)
+    rows = aggregates.job_history(job_runs(spark, sf), "click")
     return rows.select("id", "status", show_ts("ended_at").alias("ended_at"), scores.counts_text(F.col("counts")).alias("counts"))
 
 
@@ -77,7 +77,7 @@ def alert_set_changed(spark, sf):
 
 def recent_errors(spark, sf):
     rows = job_runs(spark, sf).where(F.col("status") == "error")
-    return filters.recent_errors(rows.select("ended_at", "id"), "ended_at", stamp("2024-01-31"), 72, 100).select("id")
+    return filters.recent_errors(rows.select("ended_at", "id"), "ended_at", stamp("2024-01-31"), 72).select("id")
 
 
 def age_hours(spark, sf):
@@ -169,7 +169,7 @@ QUERIES = {
     ),
     "job_history": (
         job_history,
-        f"WITH {RUNS_SQL} SELECT id, status, strftime(ended_at, '{_TS}') AS ended_at, 'k=' || regexp_extract(counts, '(\\d+)', 1) AS counts FROM runs WHERE job = 'click' ORDER BY id DESC LIMIT 200",
+        f"WITH {RUNS_SQL} SELECT id, status, strftime(ended_at, '{_TS}') AS ended_at, 'k=' || regexp_extract(counts, '(\\d+)', 1) AS counts FROM runs WHERE job = 'click' ORDER BY id DESC",
     ),
     "record_jobs": (
         record_jobs,
@@ -181,7 +181,7 @@ QUERIES = {
     ),
     "recent_errors": (
         recent_errors,
-        f"WITH {RUNS_SQL}, n AS (SELECT * FROM runs WHERE status = 'error' ORDER BY ended_at DESC, id LIMIT 100) SELECT id FROM n WHERE ended_at >= TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR",
+        f"WITH {RUNS_SQL} SELECT id FROM runs WHERE status = 'error' AND ended_at >= TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR",
     ),
     "age_hours": (age_hours, "SELECT event_id AS id, greatest(0.0::DOUBLE, (epoch_us(TIMESTAMP '2024-01-15') - epoch_us(ts)) / 3600000000.0::DOUBLE) AS age_hours FROM events"),
     "backoff_seconds": (

@@ -186,7 +186,7 @@ def selection_funnel(spark, sf):
 
 def selection_priority(spark, sf):
     rows = verify.select_for_verification(_verifiable(spark, sf), stamp(_AS_OF), statuses=_STATUSES, tiered=False, on_topic=_topic())
-    return rows.limit(500).select("id", "verify_status", show_ts("last_seen").alias("last_seen"))
+    return rows.select("id", "verify_status", show_ts("last_seen").alias("last_seen"))
 
 
 def selection_stale(spark, sf):
@@ -377,9 +377,9 @@ def _runs(spark, sf):
 
 def pending_reviews(spark, sf):
     rows = ads(spark, sf).withColumn("ai_status", F.when(F.col("ai_status") == "pending", "pending_review").otherwise(F.col("ai_status")))
-    people = table(spark, sf, "customer").select("c_custkey", F.round(F.col("c_acctbal") / 100).alias("ai_confidence"))
+    people = table(spark, sf, "customer").select("c_custkey", (F.round(F.col("c_acctbal") / 100) + 0.0).alias("ai_confidence"))
     joined = rows.join(people, F.col("seller") == F.col("c_custkey"), "left").drop("c_custkey")
-    out = joins.pending_reviews(joined, _runs(spark, sf), 250)
+    out = joins.pending_reviews(joined, _runs(spark, sf))
     return out.select("id", "ai_confidence", "selected_model", show_ts("classified_at").alias("classified_at"))
 
 
@@ -655,7 +655,7 @@ QUERIES = {
     ),
     "selection_priority": (
         selection_priority,
-        f"WITH {_VERIFIABLE} SELECT id, verify_status, strftime(last_seen, '{_TS}') AS last_seen FROM (SELECT * FROM verifiable WHERE last_available = 1 AND sold_at IS NULL AND {_TOPIC} ORDER BY CASE verify_status WHEN 'pending' THEN 0 ELSE 1 END, last_seen, id LIMIT 500) x",
+        f"WITH {_VERIFIABLE} SELECT id, verify_status, strftime(last_seen, '{_TS}') AS last_seen FROM (SELECT * FROM verifiable WHERE last_available = 1 AND sold_at IS NULL AND {_TOPIC} ORDER BY CASE verify_status WHEN 'pending' THEN 0 ELSE 1 END, last_seen, id) x",
     ),
     "selection_stale": (
         selection_stale,
@@ -696,7 +696,7 @@ QUERIES = {
     "latest_per_key": (latest_run_per_ad, f"WITH {_LATEST} SELECT ad_id, selected_model, created_at FROM newest"),
     "pending_reviews": (
         pending_reviews,
-        f"WITH {ADS_SQL},{_LATEST} SELECT id, ai_confidence, selected_model, created_at AS classified_at FROM (SELECT ads.id, round(c_acctbal / 100) AS ai_confidence, selected_model, created_at FROM ads LEFT JOIN customer ON seller = c_custkey LEFT JOIN newest ON ad_id = ads.id WHERE ai_status = 'pending' AND last_available = 1 AND sold_at IS NULL ORDER BY 2 DESC NULLS LAST, 1 DESC LIMIT 250) x",
+        f"WITH {ADS_SQL},{_LATEST} SELECT id, ai_confidence, selected_model, created_at AS classified_at FROM (SELECT ads.id, round(c_acctbal / 100) + 0.0 AS ai_confidence, selected_model, created_at FROM ads LEFT JOIN customer ON seller = c_custkey LEFT JOIN newest ON ad_id = ads.id WHERE ai_status = 'pending' AND last_available = 1 AND sold_at IS NULL ORDER BY 2 DESC NULLS LAST, 1 DESC) x",
     ),
     "apply_review": (
         apply_review,

@@ -188,8 +188,7 @@ def shorten(spark, sf):
 
 def slugs(spark, sf):
     rows = table(spark, sf, "documents")
-    line = F.element_at(F.split("text", "\n"), 1)
-    return rows.select("doc_id", text.slug(line).alias("slug"), text.region_token(line).alias("token"))
+    return rows.select("doc_id", text.slug(F.col("text")).alias("slug"), text.region_token(F.col("text")).alias("token"))
 
 
 _ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
@@ -413,7 +412,7 @@ QUERIES = {
     "shorten": (shorten, f"WITH s AS (SELECT doc_id, {_SQUEEZED} AS v FROM documents) SELECT doc_id, CASE WHEN length(v) <= 120 THEN v ELSE substr(v, 1, 119) || '…' END AS short FROM s"),
     "slugs": (
         slugs,
-        f"WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents), s AS (SELECT doc_id, substr(regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 96) AS s, regexp_replace(regexp_replace(translate(lower(trim(line)), '{_ACCENTS[0]}', '{_ACCENTS[1]}'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS token FROM l) SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug, token FROM s",
+        f"WITH l AS (SELECT doc_id, text AS line FROM documents), s AS (SELECT doc_id, regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s, regexp_replace(regexp_replace(translate(lower(trim(line)), '{_ACCENTS[0]}', '{_ACCENTS[1]}'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS token FROM l) SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug, token FROM s",
     ),
     "title_case": (
         title_case,

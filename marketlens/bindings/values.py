@@ -67,13 +67,13 @@ def fair_values_listing_only(spark, sf):
 
 def opportunities(spark, sf):
     values = valuation.fair_values(offers(spark, sf))
-    scored = valuation.score_opportunities(active_listings(spark, sf), values, 300, FACT_ID)
+    scored = valuation.score_opportunities(active_listings(spark, sf), values, tie=FACT_ID)
     return scored.select(*FACT_ID[:4], "console_family", "canonical_model", "last_price", "fair_value", "delta_pct", "quality_score", "opportunity_score", "confidence")
 
 
 _OPPORTUNITIES = _FAIR + f""",
 picked AS (
-  SELECT * FROM fact WHERE source = 'subito' AND available = 1 AND price > 0 ORDER BY price, {ID_SQL} LIMIT 300),
+  SELECT * FROM fact WHERE source = 'subito' AND available = 1 AND price > 0),
 by_family AS (
   SELECT fallback_family_key AS fam, fair_value, confidence,
          row_number() OVER (PARTITION BY fallback_family_key ORDER BY round(confidence, 3) DESC, sample_count DESC, console_family, key) AS rn
@@ -128,7 +128,7 @@ FROM priced WHERE predicted > 0 GROUP BY cex_weight, subito_weight"""
 
 def explain_values(spark, sf):
     values = valuation.fair_values(offers(spark, sf))
-    out = valuation.explain_values(values, 100)
+    out = valuation.explain_values(values)
     # The figures inside the sentence are rounded; compare it with them taken out.
     return out.select("key", "console_family", "fair_value", "confidence", F.regexp_replace("explanation", r"\d+\.\d+", "#").alias("explanation"))
 
@@ -138,7 +138,7 @@ SELECT key, console_family, fair_value, confidence,
        'Fair value # EUR da CEX net=' || CASE WHEN cex_net IS NULL THEN 'None' ELSE '#' END || ' (n=' || cex_n || '), eBay=' ||
        CASE WHEN ebay_median IS NULL THEN 'None' ELSE '#' END || ' (n=' || ebay_n || '), Subito=' ||
        CASE WHEN subito_median IS NULL THEN 'None' ELSE '#' END || ' (n=' || subito_n || '); conf=#, spread=#.' AS explanation
-FROM fair ORDER BY console_family, key LIMIT 100"""
+FROM fair"""
 
 
 def trimmed_mean(spark, sf):
@@ -376,13 +376,13 @@ def _order_opportunities(spark, sf):
 
 _BAND = "CASE WHEN {d} >= 30 THEN 'fire' WHEN {d} >= 20 THEN 'great' WHEN {d} >= 10 THEN 'ok' WHEN {d} <= -15 THEN 'over' ELSE 'none' END"
 _DEAL_BANDS = ADS_SQL + """,
-averages AS (SELECT console_family, avg(last_price) AS avg_price FROM ads WHERE last_available = 1 AND last_price >= 35 GROUP BY 1),
+averages AS (SELECT coalesce(nullif(trim(console_family), ''), 'other') AS family, avg(last_price) AS avg_price FROM ads WHERE last_available = 1 AND last_price >= 35 GROUP BY 1),
 opp AS (
   SELECT o_orderkey AS id, round(avg(l_discount * 400), 6) AS delta, max(l_quantity) * 2 AS quality
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
 joined AS (
   SELECT ads.id, ads.console_family, delta, quality, CASE WHEN last_price > 0 THEN (avg_price - last_price) / avg_price * 100 END AS d
-  FROM ads LEFT JOIN opp USING (id) LEFT JOIN averages USING (console_family))
+  FROM ads LEFT JOIN opp USING (id) LEFT JOIN averages ON averages.family = coalesce(nullif(trim(ads.console_family), ''), 'other'))
 SELECT id, console_family, CASE WHEN delta IS NOT NULL THEN """ + _BAND.format(d="delta") + " WHEN d <= 60 THEN " + _BAND.format(d="d") + """ ELSE 'none' END AS band,
        CASE WHEN delta IS NOT NULL THEN CASE WHEN quality >= 75 THEN 'high' WHEN quality >= 55 THEN 'medium' ELSE 'low' END END AS quality_band
 FROM joined"""
@@ -446,7 +446,7 @@ QUERIES = {
     "thresholds": (thresholds, f"WITH {_THRESHOLDS} SELECT console_family, threshold FROM thresholds"),
     "deals": (
         deals,
-        f"WITH {_DEALS} SELECT urn_id, console_family, last_price, threshold, row_number() OVER (ORDER BY {ID_SQL}) <= 50 AS sent, "
+        f"WITH {_DEALS} SELECT urn_id, console_family, last_price, threshold, row_number() OVER (ORDER BY console_family NULLS FIRST, last_price, {ID_SQL}) <= 50 AS sent, "
         "'€# (soglia €#)' || CASE WHEN size > 10 THEN ' · city' ELSE '' END || ' — ' || name AS message FROM deals",
     ),
     "alert_log": (

@@ -8,6 +8,11 @@ from marketlens import catalog
 from marketlens.functions.text import matches
 
 
+def family_or_other(family: str = "console_family") -> Column:
+    """The family; ``other`` where it is null or blank."""
+    return F.when(F.trim(F.coalesce(F.col(family), F.lit(""))) == "", F.lit("other")).otherwise(F.col(family))
+
+
 def _lookup(values: dict, key: Column) -> Column:
     """Value of a fixed table, as a chain of conditions."""
     out = None

@@ -91,9 +91,10 @@ def trim_dashes(text: Column) -> Column:
     return F.regexp_replace(text, "^-+|-+$", "")
 
 
-def slug(text: Column) -> Column:
+def slug(text: Column, limit: int | None = None) -> Column:
+    """Lower-case words joined by dashes, whole unless a ``limit`` is given for display."""
     base = trim_dashes(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"))
-    cut = F.substring(base, 1, 96)
+    cut = base if limit is None else F.substring(base, 1, limit)
     return F.when(cut == "", F.lit("unknown")).otherwise(cut)
 
 

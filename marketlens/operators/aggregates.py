@@ -150,7 +150,7 @@ def filter_standard_groups(groups: DataFrame, items: DataFrame, text: str) -> Da
 
 def family_average(ads: DataFrame, floor: float = 35.0) -> DataFrame:
     kept = ads.where((F.col("last_available") == 1) & (F.col("last_price") >= floor))
-    return kept.groupBy(F.coalesce("console_family", F.lit("other")).alias("console_family")).agg(
+    return kept.groupBy(scores.family_or_other().alias("console_family")).agg(
         F.avg("last_price").alias("avg_price"), _count("*").alias("ads")
     )
 
@@ -193,7 +193,7 @@ def deal_thresholds(products: DataFrame, vat: float = catalog.VAT_RATE, source:
     """Lowest net store price per family: of the favourite models, else of all."""
     rows = products.where((F.col("source") == source) & (F.col("last_price") > 0) & (F.col("last_available") == 1))
     favourite = F.min(F.when(F.col("is_base_model") == 1, F.col("last_price")))
-    return rows.groupBy(F.coalesce("console_family", F.lit("other")).alias("console_family")).agg(
+    return rows.groupBy(scores.family_or_other().alias("console_family")).agg(
         (F.coalesce(favourite, F.min("last_price")) * (1 - vat)).alias("threshold")
     )
 
@@ -421,18 +421,19 @@ def last_segment(lines: DataFrame, keys: Sequence[str], line_no: str, marker: st
 
 
 def tail_lines(lines: DataFrame, keys: Sequence[str], line_no: str, n: int) -> DataFrame:
-    """Last ``n`` lines of each log, at least 1 and at most 1000.
+    """Last ``n`` lines of each log, at least 1.
 
     Line numbers without gaps give the tail from the largest one.
     """
-    n = max(1, min(int(n), 1000))
+    n = max(1, int(n))
     top = lines.groupBy(*keys).agg(F.max(line_no).alias("_top"))
     return null_safe_join(lines, top, keys).where(F.col(line_no) > F.col("_top") - n).drop("_top")
 
 
-def job_history(runs: DataFrame, job: str, limit: int = 20) -> DataFrame:
-    limit = max(1, min(int(limit), 200))
-    return runs.where(F.col("job") == job).orderBy(F.col("id").desc()).limit(limit)
+def job_history(runs: DataFrame, job: str, limit: int | None = None) -> DataFrame:
+    """Runs of a job, newest first: all of them, or the newest ``limit`` (at least one)."""
+    rows = runs.where(F.col("job") == job).orderBy(F.col("id").desc())
+    return rows if limit is None else rows.limit(max(1, int(limit)))
 
 
 def first_match(text: Column, pattern: str) -> Column:

@@ -238,10 +238,9 @@ def unsold_active(df: DataFrame, statuses: Sequence[str]) -> DataFrame:
     return df.where(F.col("ai_status").isin(*statuses) & (F.col("last_available") == 1) & F.col("sold_at").isNull())
 
 
-def recent_errors(df: DataFrame, ts: str, as_of: Column, hours: int, keep: int = 100) -> DataFrame:
-    """The newest ``keep`` entries of the log, then those younger than ``hours``."""
-    newest = df.orderBy(F.col(ts).desc(), *[F.col(c) for c in df.columns if c != ts]).limit(keep)
-    return newest.where(F.unix_micros(F.col(ts).cast("timestamp")) >= F.unix_micros(as_of.cast("timestamp")) - hours * 3_600_000_000)
+def recent_errors(df: DataFrame, ts: str, as_of: Column, hours: int) -> DataFrame:
+    """All entries of the log younger than ``hours``."""
+    return df.where(F.unix_micros(F.col(ts).cast("timestamp")) >= F.unix_micros(as_of.cast("timestamp")) - hours * 3_600_000_000)
 
 
 def check_constraints(df: DataFrame, non_negative: Sequence[str] = (), flags: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketlens import catalog
 from marketlens.catalog import CONSOLE_RULES, TitleRules
-from marketlens.functions.scores import band_of_delta, deal_band, lookup, quality_band
+from marketlens.functions.scores import band_of_delta, deal_band, family_or_other, lookup, quality_band
 from marketlens.functions.text import region_token
 from marketlens.operators.ordering import null_safe_join, number_rows
 
@@ -67,20 +67,20 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return newest.select(*keys, *[F.col("_row")[c].alias(c) for c in others])
 
 
-def pending_reviews(ads: DataFrame, runs: DataFrame, limit: int = 250) -> DataFrame:
-    """Open listings awaiting review with their newest run, most confident first."""
+def pending_reviews(ads: DataFrame, runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Open listings awaiting review with their newest run, most confident first; all of them or the first ``limit``."""
     newest = runs.groupBy("ad_id").agg(
         F.max_by(F.struct(F.col("id").alias("run_id"), "selected_model", "created_at"), F.col("id")).alias("_run")
     )
     open_ads = ads.where(
         (F.col("ai_status") == "pending_review") & (F.col("last_available") == 1) & F.col("sold_at").isNull()
     )
-    return (
+    waiting = (
         open_ads.join(newest, open_ads["id"] == newest["ad_id"], "left")
         .select(*[open_ads[c] for c in ads.columns], "_run.run_id", "_run.selected_model", F.col("_run.created_at").alias("classified_at"))
         .orderBy(F.col("ai_confidence").desc_nulls_last(), F.col("id").desc())
-        .limit(limit)
     )
+    return waiting if limit is None else waiting.limit(limit)
 
 
 def drop_orphans(changes: DataFrame, entities: DataFrame, fk: str, key: str = "id") -> DataFrame:
@@ -212,7 +212,8 @@ def opportunity_badges(ads: DataFrame, opportunities: DataFrame, averages: DataF
     """Band from the scored opportunity, else from the family's average price."""
     opp = opportunities.select("id", F.col("delta_pct").alias("_delta"), F.col("quality_score").alias("_quality"))
     avg = averages.select("console_family", F.col("avg_price").alias("_avg"))
-    joined = ads.join(opp, "id", "left").join(avg, "console_family", "left")
+    avg = avg.withColumnRenamed("console_family", "_family")
+    joined = ads.join(opp, "id", "left").join(avg, family_or_other() == F.col("_family"), "left")
     scored = F.col("_delta").isNotNull()
     return joined.select(
         *ads.columns,

@@ -150,9 +150,10 @@ def ema(daily: DataFrame, key: str, periods: int = 7) -> DataFrame:
 
 # --- top rows, orders, samples ------------------------------------------------------------
 
-def cheapest(ads: DataFrame, limit: int, price: str = "last_price", tie: str | Sequence[str] = "id") -> DataFrame:
+def cheapest(ads: DataFrame, limit: int | None, price: str = "last_price", tie: str | Sequence[str] = "id") -> DataFrame:
     ties = [tie] if isinstance(tie, str) else list(tie)
-    return ads.where((F.col("last_available") == 1) & (F.col(price) > 0)).orderBy(price, *ties).limit(limit)
+    rows = ads.where((F.col("last_available") == 1) & (F.col(price) > 0)).orderBy(price, *ties)
+    return rows if limit is None else rows.limit(limit)
 
 
 def newest_sold(items: DataFrame, limit: int, seen: str = "first_seen", tie: str = "id") -> DataFrame:

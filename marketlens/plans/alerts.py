@@ -14,7 +14,7 @@ from marketlens.operators.filters import is_approved
 
 def find_deals(ads: DataFrame, thresholds: DataFrame, notified: DataFrame, approved: Sequence[str] = catalog.APPROVED) -> DataFrame:
     """Available, approved listings below their family's threshold that were not announced yet."""
-    family = F.coalesce("console_family", F.lit("other"))
+    family = scores.family_or_other()
     limits = thresholds.select(F.col("console_family").alias("_fam"), "threshold")
     live = ads.where((F.col("last_available") == 1) & is_approved(F.col("ai_status"), approved) & (F.col("last_price") > 0))
     cheap = live.join(limits, family == F.col("_fam")).where(F.col("last_price") < F.col("threshold")).drop("_fam")
@@ -22,7 +22,7 @@ def find_deals(ads: DataFrame, thresholds: DataFrame, notified: DataFrame, appro
 
 
 def alert_text(deals: DataFrame) -> DataFrame:
-    family = F.coalesce("console_family", F.lit("other"))
+    family = scores.family_or_other()
     label = F.coalesce(scores.lookup(catalog.FAMILY_LABELS, family), F.upper(family))
     city = F.when(F.coalesce("city", F.lit("")) != "", F.concat(F.lit(" · "), "city")).otherwise(F.lit(""))
     whole = lambda c: F.bround(c, 0).cast("long").cast("string")
@@ -58,7 +58,9 @@ def check_alerts(
     """Announcements (with ``sent``) and the next log."""
     kept = purge_log(log, as_of)
     deals = find_deals(ads, products_thresholds, kept, approved)
-    return cap_alerts(alert_text(deals), [F.col("id")], cap), alert_log(log, deals, as_of, as_of_text)
+    # The order of the listing table decides what is sent when there are more deals than the cap.
+    order = [F.col("console_family").asc(), F.col("last_price").asc_nulls_last(), F.col("id").asc()]
+    return cap_alerts(alert_text(deals), order, cap), alert_log(log, deals, as_of, as_of_text)
 
 
 def source_title(source: Column, labels: dict[str, str]) -> Column:

@@ -195,3 +195,35 @@ def test_legacy_replies(spark):
     df = spark.createDataFrame([('```json\n[{"id": 1, "console_confidence": 90}]\n```',), ('{"ads": [{"id": 2, "console_confidence": 10}]}',), ('broken "id": 3, x "console_confidence": 50 and id: 4 console_confidence: 5',), ("nothing",)], "t string")
     got = df.select(F.explode(cascade.salvage_json(F.col("t"))).alias("s")).select("s.id", "s.console_confidence").collect()
     assert sorted(tuple(r) for r in got) == [(1, 90), (2, 10), (3, 50), (4, 5)]
+
+
+def test_no_caps_on_logs_histories_and_reviews(spark):
+    from marketlens.operators import filters
+
+    rows = spark.range(1500).selectExpr("id", "'j' AS job", "timestamp_seconds(1000000 + id) AS ended_at", "'x' AS file", "id AS line_no")
+    as_of = F.timestamp_seconds(F.lit(1_002_000))
+    assert filters.recent_errors(rows, "ended_at", as_of, 1).count() == 1500
+    assert aggregates.job_history(rows, "j").count() == 1500 and aggregates.job_history(rows, "j", 700).count() == 700
+    assert aggregates.tail_lines(rows, ["file"], "line_no", 1200).count() == 1200
+
+
+def test_missing_families_are_other_in_badges(spark):
+    from marketlens.operators import joins
+
+    ads = spark.createDataFrame(
+        [(1, None, 50.0, 1), (2, "  ", 150.0, 1), (3, "a", 80.0, 1)], "id long, console_family string, last_price double, last_available int"
+    )
+    averages = aggregates.family_average(ads)
+    assert {r["console_family"]: r["avg_price"] for r in averages.collect()} == {"other": 100.0, "a": 80.0}
+    none = spark.createDataFrame([], "id long, delta_pct double, quality_score double")
+    assert {r["id"]: r["band"] for r in joins.opportunity_badges(ads, none, averages).collect()} == {1: "fire", 2: "over", 3: "none"}
+
+
+def test_alerts_are_capped_by_family_then_price(spark):
+    ads = spark.createDataFrame(
+        [(1, "u1", "b", 10.0), (2, "u2", "a", 20.0), (3, "u3", "a", 15.0), (4, "u4", None, 5.0)], "id long, urn_id string, console_family string, last_price double"
+    ).selectExpr("*", "1 AS last_available", "'approved' AS ai_status", "'' AS city", "'n' AS name")
+    limits = spark.createDataFrame([("a", 50.0), ("b", 50.0), ("other", 50.0)], "console_family string, threshold double")
+    log = spark.createDataFrame([], "urn_id string, ts string")
+    sent, _ = alerts.check_alerts(ads, limits, log, F.lit("2024-01-01").cast("timestamp"), F.lit("now"), cap=2)
+    assert {r["id"] for r in sent.where("sent").collect()} == {4, 3}
