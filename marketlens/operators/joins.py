@@ -51,7 +51,7 @@ def with_taxonomy(df: DataFrame, taxonomy: DataFrame, ids: Sequence[str], prefix
     cols = [c for c in taxonomy.columns if c not in ("rank", "family_key")]
     side = taxonomy.select(*[F.col(c).alias(prefix + c) for c in cols])
     wanted = F.coalesce(*[F.when(F.trim(F.col(i)) != "", F.col(i)) for i in ids])
-    return df.join(F.broadcast(side), wanted == F.col(prefix + "id"), "left")
+    return df.join(side, wanted == F.col(prefix + "id"), "left")
 
 
 def changes_with_entity(changes: DataFrame, entities: DataFrame, fk: str, key: str = "id") -> DataFrame:
@@ -265,7 +265,7 @@ def fields_of(df: DataFrame, taxonomy: DataFrame, id_col: str, rules: TitleRules
     side = taxonomy.select(
         F.col("id").alias("_tid"), F.col("family_key"), F.col("model").alias("_model"), (F.col("type") == "Speciale").alias("_special")
     )
-    joined = df.join(F.broadcast(side), F.trim(F.col(id_col)) == F.col("_tid"), "left")
+    joined = df.join(side, F.trim(F.col(id_col)) == F.col("_tid"), "left")
     known = F.col("_tid").isNotNull()
     sub = F.coalesce(lookup(rules.sub_models, F.lower(F.trim("_model"))) if rules.sub_models else F.lit(None), F.col("_model"))
     return joined.select(

@@ -185,8 +185,9 @@ def sample_share(rows: DataFrame, ratio: float, seed: int, key: str = "id") -> D
     return numbered.where(F.col("_no") <= wanted).drop("_r", "_no")
 
 
-def random_probe(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    return rows.orderBy(F.rand(seed)).limit(n)
+def random_probe(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
+    """``n`` rows in an order by a hash of ``key`` and ``seed``, the same however rows are partitioned."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
 
 
 def market_order(rows: DataFrame, group: str, mode: str, price: str = "last_price", sold: str = "sold_at", tie: str = "id") -> DataFrame:

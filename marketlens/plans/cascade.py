@@ -27,7 +27,7 @@ def normalize_attempt(df: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Legal values only: confidence within 0..100, known labels, accessories count as ``other``."""
     ids = taxonomy.select(F.col("id").alias("_tid")).distinct()
     given = F.trim(F.coalesce("taxonomy_id", F.lit("other")))
-    joined = df.join(F.broadcast(ids), given == F.col("_tid"), "left")
+    joined = df.join(ids, given == F.col("_tid"), "left")
     kind = scores.one_of(F.trim(F.col("object_type")), catalog.OBJECT_TYPES, "unknown")
     whole = F.trim(F.col("confidence").cast("string")).try_cast("double").cast("long")
     return joined.select(
@@ -69,7 +69,7 @@ def price_bounds(df: DataFrame, taxonomy: DataFrame, id_col: str = "taxonomy_id"
         scores.lookup({k: v[0] for k, v in catalog.PRICE_BOUNDS.items()}, family).alias("price_low"),
         scores.lookup({k: v[1] for k, v in catalog.PRICE_BOUNDS.items()}, family).alias("price_high"),
     )
-    return df.join(F.broadcast(side), F.col(id_col) == F.col("_pid"), "left").drop("_pid")
+    return df.join(side, F.col(id_col) == F.col("_pid"), "left").drop("_pid")
 
 
 def cascade(
@@ -227,7 +227,7 @@ def apply_review(
     given = F.coalesce("human_status", F.when(chosen == "other", "rejected_manual").otherwise("approved_manual"))
     joined = (
         reviews.withColumn("_chosen", chosen).withColumn("_status", given)
-        .join(F.broadcast(ids), F.col("_chosen") == F.col("_tid"), "left")
+        .join(ids, F.col("_chosen") == F.col("_tid"), "left")
         .join(ads, F.col("ad_id") == F.col("_aid"), "left")
     )
     error = (

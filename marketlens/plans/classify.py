@@ -57,7 +57,7 @@ def classify_titles(
     base = df.select(*[F.col(c) for c in keep], title.alias("_t"), hint_col.alias("_hint"), hinted.alias("_hf"))
     base = base.withColumn("_fam", F.when(F.col("_hf") != "other", F.col("_hf")).otherwise(titles.detect_family(F.col("_t"), rules)))
     base = base.withColumn("_mod", titles.model_of(F.col("_t"), F.col("_fam"), F.col("_hint"), rules))
-    joined = base.join(F.broadcast(catalogue_lists(taxonomy, rules)), ["_fam", "_mod"], "left")
+    joined = base.join(catalogue_lists(taxonomy, rules), ["_fam", "_mod"], "left")
     row = F.when(F.col("_rows").isNotNull(), best_row(F.col("_rows"), F.col("_t"), rules))
     joined = joined.withColumn("_row", row)
     found = F.col("_row").isNotNull()

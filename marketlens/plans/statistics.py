@@ -239,7 +239,7 @@ def model_statistics(items: DataFrame, log: DataFrame, as_of: Column, *, key: st
     # Everything that is a plain aggregate of the items comes from one pass.
     p = F.when(F.col(price) > 0, F.col(price))
     plain = items.groupBy(key).agg(
-        F.first("family").alias("family"), F.first("segment").alias("segment"), F.count(p).alias("n"), F.min(p).alias("min_price"),
+        F.min("family").alias("family"), F.min("segment").alias("segment"), F.count(p).alias("n"), F.min(p).alias("min_price"),
         F.avg(p).alias("_mean"), F.stddev_samp(p).alias("_sd"), _spread(price, catalog.ASK_SOURCES, catalog.BID_SOURCES).alias("spread"),
     )
     margin = _margin(F.col("n"), F.col("_sd"))
