@@ -108,15 +108,12 @@ def market_order_sold(spark, sf):
 
 
 def all_ads(spark, sf):
-    rows = placed_ads(spark, sf)
-    return rows.select("id", "urn_id", "name", "console_family", "region", "seller_type", "last_price", "last_available", "ai_status").orderBy(
-        "console_family", F.col("last_price").asc_nulls_last(), "id"
-    )
+    rows = windows.all_ads(placed_ads(spark, sf))
+    return rows.select("id", "urn_id", "name", "console_family", "region", "seller_type", "last_price", "last_available", "ai_status")
 
 
 def sold_listings(spark, sf):
-    rows = ads(spark, sf).where(F.col("sold_at").isNotNull())
-    return rows.select("id", "console_family", show_ts("sold_at").alias("sold_at"), "last_price").orderBy(F.col("sold_at").desc(), "id")
+    return windows.sold_listings(ads(spark, sf)).select("id", "console_family", show_ts("sold_at").alias("sold_at"), "last_price")
 
 
 def newest_sold(spark, sf):
@@ -666,7 +663,10 @@ QUERIES = {
         f"WITH {_VERIFIABLE}, o AS (SELECT *, last_verified_at >= {_NOW} - INTERVAL 90 DAY AS fresh FROM verifiable WHERE last_available = 1 AND sold_at IS NULL AND {_TOPIC}) SELECT 1 AS tier, count(*) AS rows, count(*) AS distinct_rows FROM o WHERE verify_status = 'pending' OR NOT coalesce(fresh, false) UNION ALL SELECT 2, CAST(floor(count(*) * 0.3::DOUBLE) AS BIGINT), CAST(floor(count(*) * 0.3::DOUBLE) AS BIGINT) FROM o WHERE fresh HAVING floor(count(*) * 0.3::DOUBLE) > 0",
     ),
     "excluded_sample": (excluded_sample, f"WITH {_VERIFIABLE} SELECT id, name FROM (SELECT * FROM verifiable WHERE last_available = 1 AND sold_at IS NULL AND NOT {_TOPIC} ORDER BY last_seen DESC, id LIMIT 50) x"),
-    "random_probe": (random_probe, None),
+    "random_probe": (
+        random_probe,
+        f"WITH {_VERIFIABLE} SELECT id, urn_id FROM (SELECT * FROM verifiable WHERE last_available = 1 AND sold_at IS NULL ORDER BY md5(id || ':7'), id LIMIT 10) x",
+    ),
     "outcomes": (outcomes, f"WITH {_OUTCOMES.format(**_RATIOS)} SELECT id, chunk, reason, outcome FROM outcomes"),
     "reason_counts": (reason_counts, f"WITH {_OUTCOMES.format(**_RATIOS)} SELECT chunk, reason, count(*) AS count FROM outcomes GROUP BY 1, 2"),
     "top_reasons": (top_reasons, f"WITH {_OUTCOMES.format(**_RATIOS)} SELECT reason, count(*) AS count FROM outcomes GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4"),

@@ -425,6 +425,39 @@ def weights_of_sources(spark, sf):
     return counted.withColumn("weight", scores.lookup(w, F.col("source")))
 
 
+#: Three centroids per source, round by round until none moves by more than 0.1.
+_KMEANS = """
+pts AS (SELECT source, CAST(price AS DOUBLE) AS p, count(*) AS c FROM fact WHERE price > 0 GROUP BY 1, 2),
+sizes AS (SELECT source, sum(c) AS n, min(p) AS lo, max(p) AS hi FROM pts GROUP BY 1),
+r AS (
+    SELECT source, 0 AS turn, lo AS m0, lo + (hi - lo) * 0.5::DOUBLE AS m1, hi AS m2, lo AS u0, lo AS u1, hi AS u2, true AS moved FROM sizes WHERE n >= 3
+    UNION ALL
+    SELECT source, turn + 1, CASE WHEN abs(a0 - m0) > 0.1 THEN a0 ELSE m0 END, CASE WHEN abs(a1 - m1) > 0.1 THEN a1 ELSE m1 END,
+           CASE WHEN abs(a2 - m2) > 0.1 THEN a2 ELSE m2 END, m0, m1, m2,
+           coalesce(abs(a0 - m0) > 0.1, false) OR coalesce(abs(a1 - m1) > 0.1, false) OR coalesce(abs(a2 - m2) > 0.1, false)
+    FROM (
+        SELECT source, turn, m0, m1, m2, sum(p * c) FILTER (j = 0) / sum(c) FILTER (j = 0) AS a0,
+               sum(p * c) FILTER (j = 1) / sum(c) FILTER (j = 1) AS a1, sum(p * c) FILTER (j = 2) / sum(c) FILTER (j = 2) AS a2
+        FROM (
+            SELECT r.*, p, c, CASE WHEN abs(p - m0) <= abs(p - m1) AND abs(p - m0) <= abs(p - m2) THEN 0 WHEN abs(p - m1) <= abs(p - m2) THEN 1 ELSE 2 END AS j
+            FROM r JOIN pts USING (source) WHERE moved AND turn < 50
+        ) near GROUP BY ALL
+    ) means
+),
+ends AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY source ORDER BY turn DESC) = 1),
+placed AS (
+    SELECT ends.*, p, c, CASE WHEN abs(p - u0) <= abs(p - u1) AND abs(p - u0) <= abs(p - u2) THEN 0 WHEN abs(p - u1) <= abs(p - u2) THEN 1 ELSE 2 END AS j
+    FROM ends JOIN pts USING (source)
+)
+SELECT source, CAST(j AS BIGINT) AS cluster, CASE j WHEN 0 THEN any_value(m0) WHEN 1 THEN any_value(m1) ELSE any_value(m2) END AS centroid,
+       CAST(sum(c) AS BIGINT) AS size
+FROM placed GROUP BY source, j
+UNION ALL
+SELECT source, row_number() OVER (PARTITION BY source ORDER BY price) - 1, CAST(price AS DOUBLE), 1
+FROM fact JOIN sizes USING (source) WHERE price > 0 AND n < 3
+"""
+
+
 QUERIES = {
     "fair_values": (fair_values, f"WITH {_FAIR} SELECT {_FAIR_COLS} FROM fair"),
     "fair_values_listing_only": (
@@ -480,7 +513,7 @@ QUERIES = {
         feature_value,
         f"WITH {FACT_SQL} SELECT console_family, avg(price) FILTER (name LIKE '%red%') - avg(price) FILTER (name NOT LIKE '%red%' AND name LIKE '%blue%') AS feature_value FROM fact WHERE price > 0 GROUP BY 1",
     ),
-    "kmeans_1d": (kmeans_1d, None),
+    "kmeans_1d": (kmeans_1d, f"WITH RECURSIVE {FACT_SQL}, {_KMEANS}"),
     "model_statistics": (model_statistics, f"WITH {_MODEL_STATS}"),
     "family_average": (family_average, f"WITH {ADS_SQL} SELECT console_family, avg(last_price) AS avg_price, count(*) AS ads FROM ads WHERE last_available = 1 AND last_price >= 35000 GROUP BY 1"),
     "deal_bands": (deal_bands, f"WITH {_DEAL_BANDS}"),

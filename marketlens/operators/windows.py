@@ -156,6 +156,16 @@ def cheapest(ads: DataFrame, limit: int | None, price: str = "last_price", tie:
     return rows if limit is None else rows.limit(limit)
 
 
+def all_ads(ads: DataFrame, price: str = "last_price", tie: str = "id") -> DataFrame:
+    """Every listing by family, then price; missing prices last."""
+    return ads.orderBy("console_family", F.col(price).asc_nulls_last(), tie)
+
+
+def sold_listings(ads: DataFrame, sold: str = "sold_at", tie: str = "id") -> DataFrame:
+    """Every sold listing, newest sale first."""
+    return ads.where(F.col(sold).isNotNull()).orderBy(F.col(sold).desc(), tie)
+
+
 def newest_sold(items: DataFrame, limit: int, seen: str = "first_seen", tie: str = "id") -> DataFrame:
     return items.orderBy(F.col(seen).desc_nulls_last(), tie).limit(limit)
 
@@ -187,7 +197,7 @@ def sample_share(rows: DataFrame, ratio: float, seed: int, key: str = "id") -> D
 
 def random_probe(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     """``n`` rows in an order by a hash of ``key`` and ``seed``, the same however rows are partitioned."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key), F.lit(seed)).cast("binary")), F.col(key)).limit(n)
 
 
 def market_order(rows: DataFrame, group: str, mode: str, price: str = "last_price", sold: str = "sold_at", tie: str = "id") -> DataFrame:

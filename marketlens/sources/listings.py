@@ -23,7 +23,8 @@ LISTING_SCHEMA = (
 def flatten_listing_json(df: DataFrame, json: str = "json", strict: bool = True, source: str = "subito", prefix: str = "SUBITO") -> DataFrame:
     """Nested listing JSON to offers; rows without a subject, or off topic when ``strict``, drop out."""
     text = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    d = df.withColumn("_d", F.from_json(json, LISTING_SCHEMA))
+    # Exploded from an array of one, so that filters and fields share a single parse.
+    d = df.withColumn("_d", F.explode(F.array(F.from_json(json, LISTING_SCHEMA))))
     subject, body = text(F.col("_d.subject")), text(F.col("_d.body"))
     url = F.coalesce("_d.urls.default", F.lit(""))
     listed = F.regexp_extract(F.coalesce("_d.urn", F.lit("")), r":list:(\d+)$", 1)

@@ -25,7 +25,7 @@ def test_every_oracle_has_a_query():
 def test_query(spark, con, name):
     _, rows, verdict = compare(spark, con, FOLDER, QUERIES[name], ORACLE.get(name))
     assert verdict in ("ok", "rows only"), verdict
-    assert rows >= 0
+    assert rows > 0 or verdict == "ok"
 
 
 def test_entry(spark):
