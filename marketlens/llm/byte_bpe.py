@@ -20,19 +20,32 @@ def _byte_of_character() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Encoder of a ``tokenizers`` byte-level BPE file; strings of special tokens are ordinary text."""
+    """Encoder of a ``tokenizers`` byte-level BPE file.
+
+    The added tokens of the file are cut out of a text before it is split, as ``tokenizers`` does
+    whether or not it puts special tokens around the text.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            read = json.load(file)
+        vocabulary, added = read["model"]["vocab"], read.get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that take in or look at the characters beside them are not supported")
+        self._added = {t["content"]: t["id"] for t in added}
         back = _byte_of_character()
         ranks = {bytes(back[c] for c in piece): i for piece, i in vocabulary.items() if all(c in back for c in piece)}
-        ranks = {piece: i for piece, i in ranks.items() if not (piece.startswith(b"<|") and piece.endswith(b"|>"))}
-        self._encode = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        whole = {content.encode() for content in self._added}
+        ranks = {piece: i for piece, i in ranks.items() if piece not in whole}
+        self._encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self._added)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
-        return array("I", self._encode(text)).tobytes() if text else b""
+        if not text:
+            return b""
+        if any(content in text for content in self._added):
+            return array("I", self._encoding.encode(text, allowed_special="all")).tobytes()
+        return array("I", self._encoding.encode_ordinary(text)).tobytes()
 
 
 @cache
