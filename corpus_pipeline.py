@@ -32,11 +32,18 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class: the one with the smallest id."""
-    classes = simhash_dedup.near_duplicates(docs)
-    keep = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    first = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return first.select(*COLUMNS).dropDuplicates(["doc_id"])
+    """Keeps one document of each class: the one with the smallest id.
+
+    An id names one document, so of rows with one id one stays. Documents without an id come
+    after all others, in the order of a hash of their texts; a class of such documents keeps one.
+    """
+    # Above 2^62 there are stand-ins alone.
+    stand_in = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    named = docs.select(*COLUMNS).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    classes = simhash_dedup.near_duplicates(named, "_id")
+    keep = classes.where(F.col("_id") == F.col("component_id")).select(F.col("_id").alias("_keep")).distinct()
+    first = named.join(keep, F.col("_id") == F.col("_keep"), "left_semi")
+    return first.dropDuplicates(["_id"]).select(*COLUMNS)
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -420,3 +420,11 @@ def test_pipeline_stages(spark):
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in before.select("doc_id").collect()}
     texts = [r["text"] for r in before.collect()]
     assert not any(spans_of(t) for t in texts) and len({plain_print(t) for t in texts}) <= len(texts)
+
+
+def test_pipeline_keeps_one_document_of_a_class_without_ids(spark):
+    import corpus_pipeline as pipeline
+
+    docs = docs_of(spark, [(None, "one two three"), (None, "one two three"), (None, None), (8, "four five six"), (None, "four five six"), (8, "four five six")])
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert kept == [(0, ""), (0, "one two three"), (8, "four five six")]
