@@ -379,6 +379,22 @@ def test_disclosing_terms_are_generalised_or_removed(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def _terms_found(spark, texts, **thresholds):
+    return [{(t["action"], t["value"]) for t in r["terms"]} for r in sanitise.find(docs_of(spark, list(enumerate(texts))), **thresholds).orderBy("doc_id").collect()]
+
+
+def test_disclosing_terms_are_found_in_whole_documents(spark):
+    far = " ".join(["please write to us about it"] * 3)
+    texts = [f"lorem {i} Zorbax, 李明 77120 {far} anna@x.org {far} (Zorbax)" for i in range(6)] + ["a note on Zorbax"] + [f"lorem {i} {far}" for i in range(300)]
+    rows = sanitise.find(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    for r in rows[:6]:
+        want = [(m.start(), m.end()) for m in re.finditer("Zorbax|李明|77120", texts[r["doc_id"]])]
+        assert [(t["start"], t["end"]) for t in r["terms"] if t["value"] in ("Zorbax", "李明", "77120")] == want
+    assert [t["value"] for t in rows[6]["terms"]] == ["Zorbax"] and not rows[50]["terms"]
+    cleaned = [r["text"] for r in sanitise.clean(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert all("Zorbax" not in t for t in cleaned) and cleaned[50] == texts[50]
+
+
 # ---- 9: resampling ----------------------------------------------------------------------
 
 
