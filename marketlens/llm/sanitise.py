@@ -5,7 +5,7 @@ protected entities. A term of a document with an entity discloses it if seeing t
 much as the entity's own information: with pointwise mutual information PMI(c, t) =
 log2(p(c, t) / (p(c) p(t))) and IC(c) = -log2 p(c), a term with PMI >= ``generalise`` * IC is
 replaced by its class and one with PMI >= ``remove`` * IC is removed. Probabilities are counted
-over whole documents. A disclosing term is marked wherever it stands, also in documents without a
+over whole documents, in distinct texts (copies count once). A disclosing term is marked wherever it stands, also in documents without a
 base span: seeing it there tells as much.
 """
 
@@ -188,15 +188,15 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def disclosing_terms(
-    texts: DataFrame, docs: DataFrame, text: str = "text", generalise: float = 0.8, remove: float = 0.95, least: int = 2,
+    texts: DataFrame, generalise: float = 0.8, remove: float = 0.95, least: int = 2,
 ) -> DataFrame:
     """(entity, term, share, action): terms that disclose an entity, by ``share`` = PMI / IC.
 
     ``texts`` are the distinct texts. A pair must be seen in at least ``least`` of them: in one
     alone, every word not met elsewhere would disclose whatever stands beside it.
     """
-    total = F.greatest(docs.select(F.count("*").alias("n")).scalar(), F.lit(2)).cast("double")
-    counted = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term"))
+    total = F.greatest(texts.select(F.count("*").alias("n")).scalar(), F.lit(2)).cast("double")
+    counted = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
     frequency = counted.groupBy(F.col("term").alias("_term")).agg(F.count("*").alias("n_term"))
     spanned = with_base_spans(texts).where(F.size("base") > 0)
     tied = settle(spanned.select(
@@ -231,7 +231,7 @@ def disclosing_terms(
 def _with_terms(docs: DataFrame, text: str, thresholds: dict) -> DataFrame:
     """Adds ``base`` and ``terms``: every disclosing term of any entity, wherever it stands outside of base spans."""
     texts = distinct_texts(docs, text)
-    found = disclosing_terms(texts, docs, text, **thresholds).groupBy("term").agg(F.min(F.when(F.col("action") == "removed", 0).otherwise(1)).alias("o"))
+    found = disclosing_terms(texts, **thresholds).groupBy("term").agg(F.min(F.when(F.col("action") == "removed", 0).otherwise(1)).alias("o"))
     found = settle(found.select("term", F.when(F.col("o") == 0, "removed").otherwise("generalised").alias("action")))
     words = with_base_spans(texts).select("text_hash", F.explode(_terms(_words(F.col("text"), F.col("base")))).alias("term"))
     likely = words.where(_maybe_in(found.select(F.xxhash64("term").alias("h")), "h")(F.xxhash64("term")))

@@ -395,6 +395,12 @@ def test_disclosing_terms_are_found_in_whole_documents(spark):
     assert all("Zorbax" not in t for t in cleaned) and cleaned[50] == texts[50]
 
 
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    texts = ["lorem Zorbax anna@x.org first"] * 400 + ["ipsum Zorbax anna@x.org second"] + [f"lorem ipsum {i} first second" for i in range(300)]
+    found = _terms_found(spark, texts)
+    assert found[0] == found[400] == {("removed", "Zorbax")}
+
+
 # ---- 9: resampling ----------------------------------------------------------------------
 
 
