@@ -29,6 +29,7 @@ _MAYBE = {
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), "phone": lambda t: F.contains(t, F.lit("+")),
 }
 _EDGE = r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
+_BETWEEN = r"(?<![^\p{L}\p{N}\x20\n\t\r])[^\p{L}\p{N}\x20\n\t\r]*+[\x20\n\t\r][^\p{L}\p{N}]*+"
 _PART = 128
 
 
@@ -110,8 +111,8 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind == "email", F.lower(value)).when(kind == "ip", value).otherwise(_digits(value)))
 
 
-def _words(text: Column, base: Column) -> Column:
-    """Words of a text between blanks; its base spans are blanks of the same length."""
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with blanks of the same length in place of its base spans."""
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
 
     def step(s: Column, b: Column) -> Column:
@@ -123,16 +124,20 @@ def _words(text: Column, base: Column) -> Column:
     blanked = F.aggregate(places, start, step, lambda s: F.concat(
         F.array_join(s["parts"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))
     ))
-    return F.split(F.when(F.size(base) == 0, text).otherwise(blanked), r"[\x20\n\t\r]", -1)
+    return F.when(F.size(base) == 0, text).otherwise(blanked)
 
 
 def _term(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, _EDGE, ""))
 
 
-def _terms(words: Column) -> Column:
-    """Distinct terms among words: without marks at their edges, in lower case."""
-    return F.array_distinct(F.filter(F.transform(F.array_distinct(words), _term), lambda t: t != ""))
+def _terms(blanked: Column) -> Column:
+    """Distinct terms: words between blanks without marks at their edges, in lower case.
+
+    Marks around a blank are edges of words, so they part terms together with it.
+    """
+    parted = F.split(F.lower(F.regexp_replace(blanked, _EDGE, "")), _BETWEEN, -1)
+    return F.array_distinct(F.filter(parted, lambda t: t != ""))
 
 
 def _places(words: Column, wanted: Column) -> Column:
@@ -196,11 +201,11 @@ def disclosing_terms(
     alone, every word not met elsewhere would disclose whatever stands beside it.
     """
     total = F.greatest(texts.select(F.count("*").alias("n")).scalar(), F.lit(2)).cast("double")
-    counted = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
+    counted = with_base_spans(texts).select(F.explode(_terms(_blanked(F.col("text"), F.col("base")))).alias("term"))
     frequency = counted.groupBy(F.col("term").alias("_term")).agg(F.count("*").alias("n_term"))
     spanned = with_base_spans(texts).where(F.size("base") > 0)
     tied = settle(spanned.select(
-        F.monotonically_increasing_id().alias("row"), _terms(_words(F.col("text"), F.col("base"))).alias("terms"),
+        F.monotonically_increasing_id().alias("row"), _terms(_blanked(F.col("text"), F.col("base"))).alias("terms"),
         F.array_distinct(F.transform("base", lambda s: _entity(s["kind"], s["value"]))).alias("entities"),
     ))
     # n_both is at most n_entity, so a term above the frequency ``most`` cannot reach the share.
@@ -210,7 +215,8 @@ def disclosing_terms(
     ).withColumn("most", most))
     top = F.coalesce(entities.select(F.max("most").alias("n")).scalar(), F.lit(0.0))
     wanted = tied.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_tied")).where(F.col("n_tied") >= least)
-    n_term = F.greatest(F.coalesce("n_term", "n_tied"), F.col("n_tied"))
+    missing = F.raise_error(F.concat(F.lit("no document frequency of term "), F.col("term"))).cast("long")
+    n_term = F.when(F.col("n_term") >= F.col("n_tied"), F.col("n_term")).otherwise(missing)
     known = settle(wanted.join(frequency, F.col("term") == F.col("_term"), "left").select("term", n_term.alias("n_term")).where(F.col("n_term") <= top))
     per_row = tied.select("row", F.explode("entities").alias("entity")).join(entities, "entity").groupBy("row").agg(
         F.collect_list(F.struct("entity", "n_entity", "most")).alias("of")
@@ -233,14 +239,14 @@ def _with_terms(docs: DataFrame, text: str, thresholds: dict) -> DataFrame:
     texts = distinct_texts(docs, text)
     found = disclosing_terms(texts, **thresholds).groupBy("term").agg(F.min(F.when(F.col("action") == "removed", 0).otherwise(1)).alias("o"))
     found = settle(found.select("term", F.when(F.col("o") == 0, "removed").otherwise("generalised").alias("action")))
-    words = with_base_spans(texts).select("text_hash", F.explode(_terms(_words(F.col("text"), F.col("base")))).alias("term"))
+    words = with_base_spans(texts).select("text_hash", F.explode(_terms(_blanked(F.col("text"), F.col("base")))).alias("term"))
     likely = words.where(_maybe_in(found.select(F.xxhash64("term").alias("h")), "h")(F.xxhash64("term")))
     # At most as many as a text has terms. Texts that share a hash share the list, of which each uses its own terms.
     per_text = likely.join(found, "term").groupBy("text_hash").agg(F.collect_set(F.struct("term", "action")).alias("_wanted"))
     hashed = docs.withColumn("_hash", F.xxhash64(text))
     joined = with_base_spans(hashed.join(per_text, F.col("_hash") == F.col("text_hash"), "left"), text)
     none = F.array().cast("array<struct<start:bigint,end:bigint,action:string,value:string>>")
-    terms = F.when(F.col("_wanted").isNull(), none).otherwise(_places(_words(F.col(text), F.col("base")), F.col("_wanted")))
+    terms = F.when(F.col("_wanted").isNull(), none).otherwise(_places(F.split(_blanked(F.col(text), F.col("base")), r"[\x20\n\t\r]", -1), F.col("_wanted")))
     return joined.withColumn("terms", terms).drop("_wanted", "_hash", "text_hash")
 
 

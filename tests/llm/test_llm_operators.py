@@ -401,6 +401,22 @@ def test_copies_do_not_hide_a_disclosing_term(spark):
     assert found[0] == found[400] == {("removed", "Zorbax")}
 
 
+def test_frequencies_count_the_terms_that_are_looked_for(spark):
+    texts = [f"w{i} don't by-nc anna@x.org e-mail" for i in range(3)] + [f"w{i} don't, (by-nc) E-MAIL" for i in range(3, 300)]
+    assert not any(_terms_found(spark, texts))
+    draw = random.Random(12)
+    words = "alpha don't by-nc foo_bar 李明 42 zeta-9 x eta".split()
+    texts = [" ".join([*draw.choices(words, k=3), *draw.choices(["a@b.c", "d@e.f", "..", "q"], k=2)]) for _ in range(400)]
+    sets = {t: ({w for w in t.split() if "@" not in w and w != ".."}, {w for w in t.split() if "@" in w}) for t in texts}
+    want = {}
+    for e in ("a@b.c", "d@e.f"):
+        for t in {*words, "q"}:
+            both, n_e, n_t = (sum(f(v) for v in sets.values()) for f in (lambda v: e in v[1] and t in v[0], lambda v: e in v[1], lambda v: t in v[0]))
+            want["email:" + e, t] = np.log2(both * len(sets) / (n_e * n_t)) / np.log2(len(sets) / n_e)
+    got = sanitise.disclosing_terms(sanitise.distinct_texts(docs_of(spark, list(enumerate(texts)))), generalise=0.02, remove=0.05).collect()
+    assert {(r["entity"], r["term"]): pytest.approx(r["share"]) for r in got} == {k: v for k, v in want.items() if v >= 0.02} and got
+
+
 # ---- 9: resampling ----------------------------------------------------------------------
 
 
