@@ -37,8 +37,17 @@ class ByteBpe:
         ranks = {bytes(back[c] for c in piece): i for piece, i in vocabulary.items() if all(c in back for c in piece)}
         whole = {content.encode() for content in self._added}
         ranks = {piece: i for piece, i in ranks.items() if piece not in whole}
+        self._ranks = ranks
         self._encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self._added)
 
+    def plain_ids(self, text: str) -> list[int]:
+        """Ids of a text in which the strings of added tokens are plain text."""
+        return self._encoding.encode_ordinary(text)
+
+    def pieces(self) -> dict[int, bytes]:
+        """Bytes by id, without the added tokens."""
+        return {i: piece for piece, i in self._ranks.items()}
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
         if not text:

@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from marketlens.llm import embedding_dedup, packing, quality_rules, resampling, sanitise, sentencepiece_codec, simhash_dedup, token_counts, toxicity, warc
+from marketlens.llm import alignment, embedding_dedup, line_dedup, packing, quality_rules, resampling, sanitise, sentencepiece_codec, simhash_dedup, token_counts, toxicity, warc, whitening
 from marketlens.session import tune
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -94,6 +94,38 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH l AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+    FROM documents
+), k AS (
+    SELECT doc_id, line, pos, translate(
+        trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
+    ) AS key FROM l
+), f AS (
+    SELECT key, max(doc_id) AS last_id FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (
+    SELECT k.doc_id, line, pos, f.key IS NOT NULL AND k.doc_id <> f.last_id AS gone FROM k LEFT JOIN f ON k.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), BYTE_BPE, PIECES)
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_toxicity": (op2_toxicity, None),
@@ -105,4 +137,7 @@ QUERIES = {
     "op8_pii": (op8_pii, None),
     "op9_quality_classifier": (op9_quality_classifier, None),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
+    "op11_line_dedup": (op11_line_dedup, OP11_SQL),
+    "op12_cross_tokenizer_alignment": (op12_cross_tokenizer_alignment, None),
+    "op13_embedding_whitening": (op13_embedding_whitening, None),
 }
