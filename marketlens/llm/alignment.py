@@ -1,231 +1,200 @@
 """Alignment of the tokens of two tokenizers over the same texts.
 
-A text with a space in front is encoded by a byte-level BPE (A) and by a piece model (B). The
-cumulative byte ends of both sides go into dictionaries from end to index; the ends that both
+A text with a space in front is encoded by a byte-level BPE (A) and by a piece model (B), whole.
+The cumulative byte ends of both sides go into dictionaries from end to index; the ends that both
 have, sorted, cut the two id lists into groups, and inside a group every pair of tokens whose
-byte ranges overlap is a link.
-
-No token of either side reaches across a space or line end that stands between other characters,
-so a text is cut there and each distinct part is aligned once while it stays in memory.
+byte ranges overlap is a link. Each text is encoded once: its links are written beside its
+numbers, as packed pairs of ids.
 
 How often two ids are linked is counted over all documents. The most frequent pairs (at most
-``frequent``, so their table has a fixed size) are looked up in the tasks that align the texts;
+``frequent``, so their table has a fixed size) are looked up in the tasks that read the links;
 the links of all other pairs are joined with the counts by pair.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
 from marketlens.llm.byte_bpe import byte_bpe
-from marketlens.llm.memo import Memo
 from marketlens.llm.sentencepiece_codec import MARK, Vocabulary
 from marketlens.llm.written import written
 
 #: A pair of ids as one number: A's id times this, plus B's id.
 PAIR = 1 << 32
-_PLAIN = re.compile(r"\s*\S+")
-_OTHER_BLANK = re.compile(r"[^\S \n]")
-_CUT = re.compile(r"(?<=\S)(?=[ \n]+\S)")
-_BREAK = re.compile(r"(?<=\S)(?= +\S)")
-
-
-def groups_of(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first A token, end, first B token, end) between neighbouring ends that both sides have."""
-    a_at, b_at = {e: i for i, e in enumerate(a_ends)}, {e: i for i, e in enumerate(b_ends)}
-    out, a, b = [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        out.append((a, a_at[end] + 1, b, b_at[end] + 1))
-        a, b = out[-1][1], out[-1][3]
-    return out
-
-
-def links_of(group: tuple[int, int, int, int], a_ends: list[int], b_ends: list[int]) -> Iterator[tuple[int, int]]:
-    """Pairs of token positions of a group whose byte ranges overlap, in order."""
-    a, a_end, b, b_end = group
-    while a < a_end and b < b_end:
-        yield a, b
-        # Inside a group no two ends are equal but the last, so one side moves on.
-        if a_ends[a] <= b_ends[b]:
-            a += 1
-        else:
-            b += 1
-
-
-class Part:
-    """Alignment of a part of a text: numbers of tokens and groups, groups as text, linked pairs."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "groups", "pairs", "score")
-
-    def __init__(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]):
-        groups = groups_of(a_ends, b_ends)
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(groups)
-        self.groups = ";".join([f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:l]))}" for i, j, k, l in groups])
-        self.pairs = [a[i] * PAIR + b[j] for g in groups for i, j in links_of(g, a_ends, b_ends)]
-        #: (table, (links that are best for their B id, sum of counts, pairs not in the table)) once scored.
-        self.score: tuple[str, tuple[int, int, list[int]]] = ("", (0, 0, []))
-
-
-def joined(first: Part | None, second: Part | None) -> Part | None:
-    """Two neighbouring parts as one."""
-    if first is None or second is None:
-        return None
-    both = Part.__new__(Part)
-    both.n_a, both.n_b, both.n_groups = first.n_a + second.n_a, first.n_b + second.n_b, first.n_groups + second.n_groups
-    both.groups, both.pairs, both.score = f"{first.groups};{second.groups}", first.pairs + second.pairs, ("", (0, 0, []))
-    return both
+#: Bytes of links in one batch on their way out.
+BATCH = 1 << 22
+
+
+class Aligned:
+    """Ids of both sides of a text, the tokens at which its groups end, and the linked ids."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray):
+        self.a, self.b = a, b
+        a_at, b_at = dict(zip(a_ends.tolist(), range(len(a)))), dict(zip(b_ends.tolist(), range(len(b))))
+        common = sorted(a_at.keys() & b_at.keys())
+        self.a_cuts, self.b_cuts = (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) + 1 for at in (a_at, b_at))
+        # Between neighbouring ends of either side lies one token of each side, and tokens that
+        # overlap do so in one such stretch: the stretches of a group are its links.
+        edges = np.union1d(a_ends, b_ends)
+        self.links = a[np.searchsorted(a_ends, edges)] * PAIR + b[np.searchsorted(b_ends, edges)]
+
+    def groups_text(self) -> str:
+        """``a1,a2|b1;a3|b2,b3``: decimal ids of the groups in order."""
+        parts = np.empty(len(self.a) + len(self.b), object)
+        # Behind the A tokens of a group stand its B tokens.
+        a_group, b_group = (np.searchsorted(cuts, np.arange(n), side="right") for cuts, n in ((self.a_cuts, len(self.a)), (self.b_cuts, len(self.b))))
+        a_place = np.arange(len(self.a)) + np.r_[0, self.b_cuts][a_group]
+        b_place = np.arange(len(self.b)) + self.a_cuts[b_group]
+        parts[a_place], parts[b_place] = [f"{i}," for i in self.a.tolist()], [f"{i}," for i in self.b.tolist()]
+        for places, cuts, ids, mark in ((a_place, self.a_cuts, self.a, "|"), (b_place, self.b_cuts, self.b, ";")):
+            parts[places[cuts - 1]] = [f"{i}{mark}" for i in ids[cuts - 1].tolist()]
+        return "".join(parts.tolist())[:-1]
 
 
 class Aligner:
-    """Parts of texts, aligned."""
-
-    def __init__(self, a_path: str, b_path: str, remember: int = 100_000):
-        self._a, self._b = byte_bpe(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        v = Vocabulary(b_path)
-        # Vocabulary has made sure that no piece holds a space mark behind another character.
-        self._cut, self._lines = (_CUT, True) if all("\n" not in p for p in v.normal) else (_BREAK, False)
-        self._a_bytes = self._a.pieces()
-        self._a_size = {i: len(p) for i, p in self._a_bytes.items()}
+    """Encodes texts on both sides and aligns them."""
+
+    def __init__(self, a_path: str, b_path: str):
+        self._a, self._b, v = byte_bpe(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path), Vocabulary(b_path)
+        a_bytes = self._a.pieces()
+        self._a_size = np.zeros(max(a_bytes) + 1, np.int64)
+        for i, piece in a_bytes.items():
+            self._a_size[i] = len(piece)
         self._b_bytes = [p.replace(MARK, " ").encode() for p in v.pieces]
         for byte, i in enumerate(v.byte_ids):
             self._b_bytes[i] = bytes([byte])
-        self._b_size = [len(p) for p in self._b_bytes]
-        #: Marks that no token of either side holds behind a letter.
-        self._marks = {c: self._part(c, self._a.plain_ids(c), [v.normal[c]]) for c in v.apart if c in v.normal}
-        self._memo = Memo(self._align, remember)
-
-    def _align(self, part: str) -> Part | None:
-        """None if the bytes of the tokens are not those of the part."""
-        if len(part) > 2 and part[-1] in self._marks and part[-2].isalpha():
-            return joined(self._memo[part[:-1]], self._marks[part[-1]])
-        a = self._a.plain_ids(part)
-        # The model puts a space in front; in front of a line end it is a token of its own.
-        b = self._b.EncodeAsIds(part[1:]) if part[0] == " " else self._b.EncodeAsIds(part)[1:]
-        return self._part(part, a, b)
-
-    def _part(self, part: str, a: list[int], b: list[int]) -> Part | None:
-        raw = part.encode()
-        if b"".join(map(self._b_bytes.__getitem__, b)) != raw or b"".join(map(self._a_bytes.__getitem__, a)) != raw:
+        self._b_size = np.array([len(p) for p in self._b_bytes], np.int64)
+
+    def align(self, text: str | None) -> Aligned | None:
+        """None if the text is empty or the bytes of a side's tokens are not those of space and text."""
+        if not text:
+            return None
+        raw = (" " + text).encode()
+        b = self._b.EncodeAsIds(text)
+        if b"".join(map(self._b_bytes.__getitem__, b)) != raw:
             return None
-        return Part(a, b, list(accumulate(map(self._a_size.__getitem__, a))), list(accumulate(map(self._b_size.__getitem__, b))))
-
-    def parts(self, text: str | None) -> list[Part]:
-        """Aligned parts; none if the text is empty or one side's bytes are not those of space and text."""
-        if not text or MARK in text:
-            return []
-        whole = " " + text
-        if self._lines and not _OTHER_BLANK.search(text):
-            body = whole.rstrip()
-            pieces = _PLAIN.findall(body) or [""]
-            pieces[-1] += whole[len(body):]
-        else:
-            pieces = self._cut.split(whole)
-        found = [self._memo[p] for p in pieces]
-        return [] if None in found else found
+        a = self._a.plain_ids(" " + text)
+        if self._a.bytes_of(a) != raw:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return Aligned(a, b, np.cumsum(self._a_size[a]), np.cumsum(self._b_size[b]))
 
 
 @cache
 def aligner(a_path: str, b_path: str) -> Aligner:
-    """One per process: what it remembers serves all tasks there."""
+    """One per process."""
     return Aligner(a_path, b_path)
 
 
-def pair_counts(texts: DataFrame, a_path: str, b_path: str, parts: int = 20_000, flush: int = 300_000) -> DataFrame:
-    """(pair, n): how many links hold the pair, over the column ``_text`` of all rows.
+def _pack(links: np.ndarray) -> bytes:
+    """Two bytes an id where both ids fit, else four."""
+    a, b = links // PAIR, links % PAIR
+    if len(links) == 0 or max(a.max(), b.max()) < 1 << 16:
+        return b"\2" + np.stack([a, b]).astype("<u2").tobytes()
+    return b"\4" + np.stack([a, b]).astype("<u4").tobytes()
 
-    Counts are combined in the task that aligns the texts: by part for up to ``parts`` of them, then
-    by pair; they go out whenever ``flush`` pairs are held.
-    """
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
-    def out(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], schema=schema)
+def _unpack(packed: bytes) -> np.ndarray:
+    a, b = np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64).reshape(2, -1)
+    return a * PAIR + b
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held, seen = aligner(a_path, b_path), Counter(), Counter()
 
-        def count() -> None:
-            for part, times in seen.items():
-                for pair in part.pairs:
-                    held[pair] += times
-            seen.clear()
+_ALIGNED = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string(), "links": pa.binary()}
 
-        for batch in batches:
-            for text in batch.column(0):
-                # A part is one object while it is remembered, so whole parts are counted first.
-                seen.update(found.parts(text.as_py()))
-                if len(seen) >= parts:
-                    count()
-                if len(held) >= flush:
-                    yield out(held)
-                    held.clear()
-        count()
-        yield out(held)
 
-    return texts.select("_text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def aligned_texts(rows: DataFrame, a_path: str, b_path: str, text_col: str = "_text") -> DataFrame:
+    """Replaces the text by ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``groups_sha256`` and packed ``links``."""
+    others = [f for f in rows.schema if f.name != text_col]
+    names = [f.name for f in others]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = aligner(a_path, b_path)
 
-def _looked_up(pairs: np.ndarray, counts: np.ndarray, best: np.ndarray):
-    """Scores a part from the sorted table of frequent pairs."""
-    def score(part: Part) -> tuple[int, int, list[int]]:
-        wanted = np.array(part.pairs, np.int64)
-        if not len(pairs):
-            return 0, 0, part.pairs
-        at = np.searchsorted(pairs, wanted).clip(max=len(pairs) - 1)
-        there = pairs[at] == wanted
-        return int(best[at][there].sum()), int(counts[at][there].sum()), wanted[~there].tolist()
+        def out(batch: pa.RecordBatch, start: int, found: list[tuple]) -> pa.RecordBatch:
+            kept = [batch.column(n).slice(start, len(found)) for n in names]
+            return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(zip(*found), _ALIGNED.values()))], names=[*names, *_ALIGNED])
 
-    return score
+        for batch in batches:
+            start, found, held = 0, [], 0
+            for text in batch.column(text_col):
+                one = both.align(text.as_py())
+                if one is None:
+                    found.append((0, 0, 0, 0, "", _pack(np.empty(0, np.int64))))
+                else:
+                    digest = hashlib.sha256(one.groups_text().encode()).hexdigest()
+                    found.append((len(one.a), len(one.b), len(one.a_cuts), len(one.links), digest, _pack(one.links)))
+                held += len(found[-1][-1])
+                if held >= BATCH:
+                    yield out(batch, start, found)
+                    start, found, held = start + len(found), [], 0
+            if found:
+                yield out(batch, start, found)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return rows.mapInArrow(run, f"{schema}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary")
+
+
+def _counted(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sums of their times."""
+    found, at = np.unique(codes, return_inverse=True)
+    sums = np.zeros(len(found), np.int64)
+    np.add.at(sums, at, times)
+    return found, sums
+
+
+def pair_counts(aligned: DataFrame, flush: int = 1 << 19) -> DataFrame:
+    """(pair, n): how many links of all rows hold the pair.
+
+    Counts are combined in the task that reads the links and go out whenever ``flush`` pairs are held.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda codes, times: pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times)], names=["pair", "n"])
+        codes = times = np.empty(0, np.int64)
+        for batch in batches:
+            for packed in batch.column(0):
+                more, counts = np.unique(_unpack(packed.as_py()), return_counts=True)
+                codes, times = np.r_[codes, more], np.r_[times, counts]
+                if len(codes) >= flush:
+                    codes, times = _counted(codes, times)
+                    if len(codes) >= flush // 2:
+                        yield out(codes, times)
+                        codes = times = np.empty(0, np.int64)
+        yield out(*_counted(codes, times))
+
+    return aligned.select("links").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def _scored(a_path: str, b_path: str, table, id_type: str):
-    """Per document: digest columns and the pairs that the table of frequent pairs lacks."""
-    token = uuid.uuid4().hex
+def _looked_up(aligned: DataFrame, table) -> DataFrame:
+    """Replaces the links by ``n_best`` and ``count_sum`` over the frequent pairs, and the ``rare`` pairs."""
+    others = [f for f in aligned.schema if f.name != "links"]
+    names = [f.name for f in others]
+    struct = pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, score = aligner(a_path, b_path), _looked_up(*table.value)
+        pairs, counts, best = table.value
         for batch in batches:
             rows = []
-            for text in batch.column("_text"):
-                parts = found.parts(text.as_py())
-                n_best = count_sum = 0
-                rare: Counter = Counter()
-                for p in parts:
-                    if p.score[0] != token:
-                        p.score = (token, score(p))
-                    b, c, others = p.score[1]
-                    n_best += b
-                    count_sum += c
-                    if others:
-                        rare.update(others)
-                digest = hashlib.sha256(";".join([p.groups for p in parts]).encode()).hexdigest() if parts else ""
-                rows.append((
-                    sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts), sum(len(p.pairs) for p in parts),
-                    n_best, count_sum, digest, [{"pair": k, "times": v} for k, v in rare.items()],
-                ))
-            kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-            names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rare"]
-            kept = [batch.column(n) for n in ("_doc", "_r1", "_r2")]
-            yield pa.RecordBatch.from_arrays([*kept, *columns], names=["_doc", "_r1", "_r2", *names])
-
-    schema = (
-        f"_doc {id_type}, _r1 long, _r2 long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
-        "groups_sha256 string, rare array<struct<pair: long, times: long>>"
-    )
-    return run, schema
+            for packed in batch.column("links"):
+                codes, times = np.unique(_unpack(packed.as_py()), return_counts=True)
+                at = np.searchsorted(pairs, codes)
+                there = at < len(pairs)
+                there[there] = pairs[at[there]] == codes[there]
+                at, n = at[there], times[there]
+                rare = [{"pair": p, "times": t} for p, t in zip(codes[~there].tolist(), times[~there].tolist())]
+                rows.append((int(n[best[at]].sum()), int((n * counts[at]).sum()), rare))
+            made = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), struct))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=[*names, "n_best", "count_sum", "rare"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return aligned.mapInArrow(run, f"{schema}, n_best long, count_sum long, rare array<struct<pair: long, times: long>>")
 
 
 def align(
@@ -238,23 +207,21 @@ def align(
     counts of a row's links. Strings of special tokens are plain text. Null and empty texts, and
     texts that a side cannot give back byte for byte (with U+2581 in them), have no tokens: zeros
     and an empty digest. Repeated rows count and stay; a null id stays null, ids are not
-    converted. Very long texts are aligned part by part. An empty table gives no rows; other
-    columns are not read.
+    converted. Texts are encoded whole, in time about proportional to their length. An empty
+    table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    counts = written(pair_counts(plain, a_path, b_path), "pair-counts")
+    rows = plain.withColumns({f"_r{s}": F.xxhash64(F.lit(s), F.col("_doc").isNull(), "_doc", "_text") for s in (1, 2)})
+    aligned = written(aligned_texts(rows, a_path, b_path), "aligned")
+    counts = written(pair_counts(aligned), "pair-counts")
     # At most as many rows as B has ids.
-    top = counts.groupBy(F.pmod("pair", F.lit(PAIR)).alias("_b")).agg(F.max("n").alias("_top"))
-    ranked = written(
-        counts.join(top, F.pmod("pair", F.lit(PAIR)) == F.col("_b")).select("pair", "n", (F.col("n") == F.col("_top")).alias("best")), "pairs"
-    )
+    b_id = F.pmod("pair", F.lit(PAIR))
+    top = counts.groupBy(b_id.alias("_b")).agg(F.max("n").alias("_top"))
+    ranked = written(counts.join(top, b_id == F.col("_b")).select("pair", "n", (F.col("n") == F.col("_top")).alias("best")), "pairs")
     common = ranked.orderBy(F.col("n").desc(), "pair").limit(frequent).toPandas().sort_values("pair")  # at most ``frequent`` rows
-    table = spark.sparkContext.broadcast(tuple(common[c].to_numpy(t) for c, t in (("pair", np.int64), ("n", np.int64), ("best", np.bool_))))
+    table = docs.sparkSession.sparkContext.broadcast(tuple(common[c].to_numpy(t) for c, t in (("pair", np.int64), ("n", np.int64), ("best", np.bool_))))
 
-    rows = plain.withColumns({f"_r{s}": F.xxhash64(F.lit(s), F.col("_doc").isNull(), "_doc", "_text") for s in (1, 2)})
-    run, schema = _scored(a_path, b_path, table, plain.schema["_doc"].dataType.simpleString())
-    scored = written(rows.mapInArrow(run, schema), "aligned")
+    scored = written(_looked_up(aligned, table), "scored")
     # Rows equal in id and text have equal pairs, which are looked up once.
     rare = scored.where(F.size("rare") > 0).select("_r1", "_r2", F.inline("rare")).distinct()
     late = rare.join(ranked, "pair").groupBy("_r1", "_r2").agg(

@@ -44,6 +44,9 @@ class ByteBpe:
         """Ids of a text in which the strings of added tokens are plain text."""
         return self._encoding.encode_ordinary(text)
 
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return self._encoding.decode_bytes(ids)
+
     def pieces(self) -> dict[int, bytes]:
         """Bytes by id, without the added tokens."""
         return {i: piece for piece, i in self._ranks.items()}

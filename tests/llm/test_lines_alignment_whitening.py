@@ -169,19 +169,25 @@ def test_alignment_query_equals_brute_force(spark, libraries):
     same([tuple(r) for r in QUERIES["op12_cross_tokenizer_alignment"][0](spark, SF).collect()], brute_rows(libraries, rows))
 
 
-def test_alignment_parts_and_flushes(spark, libraries, odd):
-    plain = spark.createDataFrame([(t,) for t in odd], "_text string")
-    got = {r["pair"]: r["n"] for r in alignment.pair_counts(plain, BYTE_BPE, PIECES, parts=5, flush=10).collect()}
+def test_pair_counts_and_batches(spark, libraries, odd, monkeypatch):
+    monkeypatch.setattr(alignment, "BATCH", 100)
+    plain = spark.createDataFrame([(n, t) for n, t in enumerate(odd)], "key int, _text string")
+    rows = alignment.aligned_texts(plain, BYTE_BPE, PIECES)
     found = [brute_alignment(libraries, t) for t in odd]
+    assert {r["key"]: r["n_links"] for r in rows.collect()} == {n: len(f[3]) if f else 0 for n, f in enumerate(found)}
+    got = {r["pair"]: r["n"] for r in alignment.pair_counts(rows, flush=10).collect()}
     assert got == Counter(a * alignment.PAIR + b for f in found if f for a, b in f[3])
 
 
 def test_alignment_of_long_runs_and_empty_table(spark):
-    found = alignment.aligner(BYTE_BPE, PIECES)
+    both = alignment.aligner(BYTE_BPE, PIECES)
     for character in ("a", " ", "\n", "日", "ab "):
-        parts = found.parts(character * 20_000)
+        one = both.align(character * 20_000)
         # Groups have no common end inside, so a group of p and q tokens has p + q - 1 links.
-        assert sum(len(p.pairs) for p in parts) == sum(p.n_a + p.n_b - p.n_groups for p in parts) > 0
+        assert len(one.links) == len(one.a) + len(one.b) - len(one.a_cuts) > 0
+    assert (alignment._unpack(alignment._pack(one.links)) == one.links).all()
+    wide = np.array([70_000 * alignment.PAIR + 5, 3 * alignment.PAIR + 80_000])
+    assert (alignment._unpack(alignment._pack(wide)) == wide).all()
     assert alignment.align(docs_of(spark, []), BYTE_BPE, PIECES).collect() == []
 
 
