@@ -32,6 +32,12 @@ PAIR = 1 << 32
 BATCH = 1 << 22
 
 
+@cache
+def _names(size: int, mark: str) -> np.ndarray:
+    """Decimal ids below ``size`` with a mark behind them."""
+    return np.array([f"{i}{mark}" for i in range(size)], object)
+
+
 class Aligned:
     """Ids of both sides of a text, the tokens at which its groups end, and the linked ids."""
 
@@ -52,9 +58,10 @@ class Aligned:
         a_group, b_group = (np.searchsorted(cuts, np.arange(n), side="right") for cuts, n in ((self.a_cuts, len(self.a)), (self.b_cuts, len(self.b))))
         a_place = np.arange(len(self.a)) + np.r_[0, self.b_cuts][a_group]
         b_place = np.arange(len(self.b)) + self.a_cuts[b_group]
-        parts[a_place], parts[b_place] = [f"{i}," for i in self.a.tolist()], [f"{i}," for i in self.b.tolist()]
+        size = 1 << int(max(self.a.max(), self.b.max())).bit_length()
         for places, cuts, ids, mark in ((a_place, self.a_cuts, self.a, "|"), (b_place, self.b_cuts, self.b, ";")):
-            parts[places[cuts - 1]] = [f"{i}{mark}" for i in ids[cuts - 1].tolist()]
+            parts[places] = _names(size, ",")[ids]
+            parts[places[cuts - 1]] = _names(size, mark)[ids[cuts - 1]]
         return "".join(parts.tolist())[:-1]
 
 
