@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marketlens.llm.byte_bpe import byte_bpe
@@ -29,18 +29,25 @@ def piece_bounds(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def _cut(path: str, end_id: int, size: int, with_ids: bool):
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = byte_bpe(path), end_id.to_bytes(4, "little")
-        for frame in frames:
-            rows = []
-            for doc, text in zip(frame["doc"], frame["text"]):
-                ids = bpe.encode(text) + end
+        for batch in batches:
+            at, rows, parts = [], [], []
+            for row, text in enumerate(batch.column("text")):
+                ids = bpe.encode(text.as_py()) + end
                 for piece, (start, length) in enumerate(piece_bounds(len(ids) // 4, size)):
                     part = ids[4 * start:4 * (start + length)]
-                    row = (doc, piece, start, length, zlib.crc32(part))
-                    rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
-            names = ["doc", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-            yield pd.DataFrame(rows, columns=names).astype({"doc": "Int64"})
+                    at.append(row)
+                    rows.append((piece, start, length, zlib.crc32(part)))
+                    if with_ids:
+                        parts.append(np.frombuffer(part, "<u4").astype(np.int32))
+            # Ids are copied as they are: through pandas a null beside them would make them doubles.
+            columns = [batch.column("doc").take(pa.array(at, pa.int64()))]
+            columns += [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.int64()] * 3))] if rows else [pa.array([], t) for t in (pa.int32(), *[pa.int64()] * 3)]
+            names = ["doc", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns, names = [*columns, pa.array(parts, pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return cut
 
@@ -51,7 +58,7 @@ def token_pieces(
     """Pieces of at most ``size`` ids: doc, piece, start, length, ids_crc32 and, if asked for, ids."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     schema = "doc long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return plain.mapInPandas(_cut(tokenizer, end_id, size, with_ids), schema)
+    return plain.mapInArrow(_cut(tokenizer, end_id, size, with_ids), schema)
 
 
 class Gaps:
@@ -118,11 +125,13 @@ def _placed(plan: list[tuple[int, int, int, int, int]]):
     table = np.array(sorted(plan), np.int64).reshape(-1, 5)
     keys = table[:, 0] << 42 | table[:, 1]
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rank = frame.pop("row_no").to_numpy(np.int64) - 1
-            at = np.searchsorted(keys, frame["length"].to_numpy(np.int64) << 42 | rank, side="right") - 1
-            yield frame.assign(sequence_id=table[at, 3] + rank - table[at, 1], offset=table[at, 4])
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row_no", "length"))
+            at = np.searchsorted(keys, length.astype(np.int64) << 42 | rank - 1, side="right") - 1
+            others = [n for n in batch.schema.names if n != "row_no"]
+            made = [pa.array(table[at, 3] + rank - 1 - table[at, 1], pa.int64()), pa.array(table[at, 4], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), *made], names=[*others, "sequence_id", "offset"])
 
     return place
 
@@ -137,7 +146,7 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     counts = {r["length"]: r["count"] for r in fixed.groupBy("length").count().collect()}  # at most ``size`` rows
     ranked = number_rows(fixed, [F.col(c) for c in ("doc", "piece", "ids_crc32")], ["length"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("row_no").schema)
-    return ranked.mapInPandas(_placed(best_fit(counts, size)), f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(_placed(best_fit(counts, size)), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(

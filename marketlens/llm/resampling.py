@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from marketlens.llm.written import written
 from marketlens.operators.ordering import number_rows
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -49,25 +49,25 @@ def bucket_counts(text: str | None, buckets: int) -> np.ndarray:
     return counts
 
 
-def _counted(buckets: int, target: frozenset):
+def models(docs: DataFrame, targets: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bucket, n_raw, n_target): n-grams of all documents and of the target's, at most ``buckets`` rows.
+
+    ``targets`` has the target's ids as ``_target``, without repetition.
+    """
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for frame in frames:
-            for doc, text in zip(frame["_id"], frame["_text"]):
+            for wanted, text in zip(frame["_good"], frame["_text"]):
                 counts = bucket_counts(text, buckets)
                 raw += counts
-                if doc in target:
+                if wanted:
                     good += counts
         some = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": some, "n_raw": raw[some], "n_target": good[some]})
 
-    return count
-
-
-def models(docs: DataFrame, target_ids: Sequence[int], buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, n_raw, n_target): n-grams of all documents and of the target's, at most ``buckets`` rows."""
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    parts = plain.mapInPandas(_counted(buckets, frozenset(target_ids)), "bucket int, n_raw long, n_target long")
+    marked = plain.join(targets, F.col("_id") == F.col("_target"), "left").select(F.col("_target").isNotNull().alias("_good"), "_text")
+    parts = marked.mapInPandas(count, "bucket int, n_raw long, n_target long")
     return parts.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
 
 
@@ -77,17 +77,10 @@ def log_weights(raw: np.ndarray, target: np.ndarray, smooth: float = 1.0) -> np.
     return share(target.astype(float)) - share(raw.astype(float))
 
 
-def _weighed(weights: np.ndarray, seed: int):
-    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            logs, noise = [], []
-            for doc, text in zip(frame["_id"], frame["_text"]):
-                logs.append(float(bucket_counts(text, len(weights)) @ weights))
-                drawn = xxhash.xxh64_intdigest(f"{doc}\0{text}", seed)
-                noise.append(-np.log(-np.log((drawn + 0.5) / 2.0**64)))
-            yield pd.DataFrame({"_id": frame["_id"], "log_weight": logs, "gumbel": noise})
-
-    return weigh
+def gumbel(seed: int, *values: Column) -> Column:
+    """Gumbel noise that depends on the seed and the values alone."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *values), 11) + 0.5) / 2.0**53
+    return -F.log(-F.log(uniform))
 
 
 def resample(
@@ -105,17 +98,25 @@ def resample(
     one by one, ties go by id. An empty table gives no rows; other columns are not read.
     """
     wanted = labels.where(F.col(good) == 1).select(id_col).where(F.col(id_col).isNotNull())
-    target = [r[0] for r in wanted.orderBy(F.xxhash64(id_col), id_col).limit(target_rows).collect()]
+    # At most ``target_rows`` ids.
+    chosen_ids = wanted.orderBy(F.xxhash64(id_col), id_col).limit(target_rows).distinct().select(F.col(id_col).alias("_target"))
+    target = not chosen_ids.isEmpty()
     if share is None:
         share = labels.where(F.col(good).isNotNull()).agg(F.avg((F.col(good) == 1).cast("double"))).first()[0]
         share = 1.0 if share is None or not target else share
     raw, chosen = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    for r in models(docs, target, buckets, id_col, text_col).collect():  # at most ``buckets`` rows
+    for r in models(docs, F.broadcast(chosen_ids), buckets, id_col, text_col).collect():  # at most ``buckets`` rows
         raw[r["bucket"]], chosen[r["bucket"]] = r["n_raw"], r["n_target"]
     weights = log_weights(raw, chosen if target else raw)
-    plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = plain.schema["_id"].dataType.simpleString()
-    weighed = plain.mapInPandas(_weighed(weights, seed), f"_id {kind}, log_weight double, gumbel double")
+
+    @F.pandas_udf("double")
+    def log_weight(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([float(bucket_counts(t, len(weights)) @ weights) for t in texts], dtype="float64")
+
+    # Ids stay outside Python, and the noise of a document is the same in every batch and attempt.
+    noise = gumbel(seed, F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
+    weighed = written(docs.select(F.col(id_col).alias("_id"), log_weight(F.col(text_col)).alias("log_weight"), noise.alias("gumbel")), "weighed")
     ranked = number_rows(weighed, [(F.col("log_weight") + F.col("gumbel")).desc(), F.col("_id")])
     k = F.round(F.lit(share) * ranked.select(F.count("*").alias("n")).scalar())
     return ranked.select(F.col("_id").alias(id_col), "log_weight", "gumbel", (F.col("row_no") <= k).alias("kept"))

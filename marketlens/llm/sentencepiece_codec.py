@@ -226,23 +226,25 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
     Repeated rows stay repeated, an empty table gives no rows, other columns are not read.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = piece_codec(model)
         tail = [codec.vocabulary.end_id] if end else []
-        for frame in frames:
-            yield pd.DataFrame({"_id": frame["_id"], "ids": [codec.encode(t) + tail for t in frame["_text"]]})
+        for texts in batches:
+            yield pd.Series([codec.encode(t) + tail for t in texts], dtype=object)
 
-    return _mapped(docs, run, id_col, text_col, "ids array<int>")
+    return docs.select(F.col(id_col), ids(F.col(text_col)).alias("ids"))
 
 
 def decode_documents(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row: id and the decoded ``text``; null ids decode to an empty text."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = piece_codec(model)
-        for frame in frames:
-            yield pd.DataFrame({"_id": frame["_id"], "text": [codec.decode([] if i is None else list(i)) for i in frame["_text"]]})
+        for rows in batches:
+            yield pd.Series([codec.decode([] if i is None else list(i)) for i in rows], dtype=object)
 
-    return _mapped(rows, run, id_col, ids_col, "text string")
+    return rows.select(F.col(id_col), text(F.col(ids_col)).alias("text"))
 
 
 def round_trip(docs: DataFrame, model: str, digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,21 +253,16 @@ def round_trip(docs: DataFrame, model: str, digest, id_col: str = "doc_id", text
     ``digest`` maps the ids and the decoded text to (n_tokens, ids_sha256, decoded_sha256), so
     that neither leaves the task.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def both_ways(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = piece_codec(model)
-        for frame in frames:
+        for texts in batches:
             rows = []
-            for text in frame["_text"]:
+            for text in texts:
                 ids = codec.encode(text)
                 ids.append(codec.vocabulary.end_id)
                 rows.append(digest(ids, codec.decode(ids)))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=frame.index)
-            yield pd.concat([frame["_id"], out], axis=1)
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _mapped(docs, run, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _mapped(df: DataFrame, run, id_col: str, value_col: str, schema: str) -> DataFrame:
-    plain = df.select(F.col(id_col).alias("_id"), F.col(value_col).alias("_text"))
-    kind = plain.schema["_id"].dataType.simpleString()
-    return plain.mapInPandas(run, f"_id {kind}, {schema}").withColumnRenamed("_id", id_col)
+    # Ids stay outside Python, which would make doubles of ids beside a null one.
+    return docs.select(F.col(id_col), both_ways(F.col(text_col)).alias("_both")).select(F.col(id_col), "_both.*")

@@ -83,12 +83,11 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     Repeated rows stay repeated, an empty table gives no rows, other columns are not read.
     """
-    plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = unigram_counter(model)
-        for frame in frames:
-            yield pd.DataFrame({"_id": frame["_id"], "n_tokens": [counter.count(t) for t in frame["_text"]]})
+        for texts in batches:
+            yield pd.Series([counter.count(t) for t in texts], dtype="int64")
 
-    kind = plain.schema["_id"].dataType.simpleString()
-    return plain.mapInPandas(run, f"_id {kind}, n_tokens long").withColumnRenamed("_id", id_col)
+    # Ids stay outside Python, which would make doubles of ids beside a null one.
+    return docs.select(F.col(id_col), count(F.col(text_col)).alias("n_tokens"))

@@ -15,6 +15,7 @@ from base64 import b32decode, b32encode
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,7 +27,7 @@ DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page: int | None, copy: int) -> str:
+def record_id(page: int | str | None, copy: int) -> str:
     return f"<urn:page:{'' if page is None else page}:{copy}>"
 
 
@@ -89,8 +90,7 @@ def _write(folder: str):
                 for page, url, payload, digest, refers_to in zip(*(frame[c] for c in ("page", "url", "payload", "digest", "refers_to"))):
                     if stream is None:
                         stream = store.open_output_stream(held, compression=None)
-                    page = None if pd.isna(page) else int(page)
-                    target = None if pd.isna(refers_to) else record_id(int(refers_to), 0)
+                    target = None if refers_to is None else record_id(refers_to, 0)
                     data = payload.encode()
                     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n\r\n".encode()
                     member = _Member(stream)
@@ -123,7 +123,9 @@ def write_archives(
     """
     store, root = arrow_fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    files = with_references(pages, id_col, url_col, payload_col, least_bytes).mapInPandas(_write(folder), "path string, records long")
+    # Numbers as text: pandas would make doubles of ids beside a null one.
+    named = with_references(pages, id_col, url_col, payload_col, least_bytes).withColumns({c: F.col(c).cast("string") for c in ("page", "refers_to")})
+    files = named.mapInPandas(_write(folder), "path string, records long")
     return pages.sparkSession.createDataFrame(files.toPandas(), "path string, records long")  # one row per file
 
 
@@ -137,13 +139,16 @@ class _Reader:
         self._stream, self._zip, self._held = stream, None, b""
 
     def fill(self) -> bool:
-        data = self._zip.unused_data if self._zip is not None and self._zip.eof else b""
+        data = b""
+        if self._zip is not None:
+            data = self._zip.unused_data if self._zip.eof else self._zip.unconsumed_tail
         data = data or self._stream.read(CHUNK)
         if not data:
             return False
         if self._zip is None or self._zip.eof:
             self._zip = zlib.decompressobj(47)
-        self._held += self._zip.decompress(data)
+        # What is left of the input stays packed, however much it unpacks to.
+        self._held += self._zip.decompress(data, CHUNK)
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -205,9 +210,9 @@ def read_records(files: DataFrame, folder: str) -> DataFrame:
 
     Digests of responses are computed over the chunks and must equal the record's own.
     """
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path in frame["path"]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
                 rows = []
                 with _opened(path, folder) as stream:
                     for fields, size, chunks in records(stream):
@@ -220,10 +225,11 @@ def read_records(files: DataFrame, folder: str) -> DataFrame:
                         if kind == "response" and (digest.hexdigest() != stated or seen != size):
                             raise ValueError(f"{fields['warc-record-id']}: the payload does not have the stated digest")
                         rows.append((_page_of(fields["warc-record-id"]), kind, size, stated, _page_of(fields.get("warc-refers-to"))))
-                names = ["page", "record_type", "payload_bytes", "payload_digest", "refers_to"]
-                yield pd.DataFrame(rows, columns=names).astype({"page": "Int64", "refers_to": "Int64"})
+                kinds = {"page": pa.int64(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64()}
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
 
-    return _spread(files).mapInPandas(read, "page long, record_type string, payload_bytes long, payload_digest string, refers_to long")
+    return _spread(files).mapInArrow(read, "page long, record_type string, payload_bytes long, payload_digest string, refers_to long")
 
 
 def _spread(files: DataFrame) -> DataFrame:

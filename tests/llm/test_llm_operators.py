@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from marketlens.llm import embedding_dedup, packing, quality_rules, resampling, sanitise, simhash_dedup, toxicity, warc
+from marketlens.llm import embedding_dedup, packing, quality_rules, resampling, sanitise, sentencepiece_codec, simhash_dedup, toxicity, warc
 from marketlens.llm.byte_bpe import byte_bpe
 from marketlens.llm.links import cells, components
 from marketlens.llm.queries import BYTE_BPE, PIECES
@@ -431,7 +431,7 @@ def test_resampling_prefers_the_target(spark):
     junk = got["doc_id"].between(0, 499) & (got["doc_id"] % 5 == 0)
     assert got[junk]["kept"].mean() < 0.1 < 0.9 < got[~junk]["kept"].mean()
     raw = np.sum([resampling.bucket_counts(t, 4096) for _, t in texts], axis=0)
-    counted = {r["bucket"]: r["n_raw"] for r in resampling.models(docs, [1, 2], 4096).collect()}
+    counted = {r["bucket"]: r["n_raw"] for r in resampling.models(docs, spark.createDataFrame([(1,), (2,)], "_target long"), 4096).collect()}
     assert counted == {int(b): int(raw[b]) for b in np.flatnonzero(raw)}
     assert resampling.resample(empty(spark), labels.limit(0)).count() == 0
     long = "alpha beta " * 400_000
@@ -466,3 +466,41 @@ def test_pipeline_keeps_one_document_of_a_class_without_ids(spark):
     docs = docs_of(spark, [(None, "one two three"), (None, "one two three"), (None, None), (8, "four five six"), (None, "four five six"), (8, "four five six")])
     kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert kept == [(0, ""), (0, "one two three"), (8, "four five six")]
+
+
+def test_ids_survive_beside_null_and_draws_beside_anything(spark, odd):
+    """A large id, a null one and a repeated one in one batch, from every operator that runs Python on rows."""
+    big = 2**60 + 1
+    rows = [(big, "alpha beta"), (None, "gamma"), (7, "beta"), (7, "beta"), (big + 2, None)]
+    docs = docs_of(spark, rows).coalesce(1)
+    want = sorted((r[0] for r in rows), key=repr)
+    ids = lambda df, name="doc_id": sorted((r[name] for r in df.collect()), key=repr)
+    digest = lambda found, text: (len(found), "", text)
+    assert ids(token_counts(docs, PIECES)) == want and ids(sentencepiece_codec.round_trip(docs, PIECES, digest)) == want
+    assert ids(encode_documents(docs, PIECES)) == want and ids(decode_documents(encode_documents(docs, PIECES), PIECES)) == want
+    assert ids(packing.pack_documents(docs, BYTE_BPE)) == want and ids(packing.pack_documents(docs, BYTE_BPE, with_ids=True)) == want
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x/y").alias("url"), F.when(F.col("text").isNull(), F.col("text")).otherwise("z" * 2000).alias("html"))
+    folder = warc.archive_folder(spark)
+    found = warc.read_records(warc.write_archives(pages, folder), folder)
+    assert ids(found, "page") == want and ids(found.where("refers_to is not null"), "refers_to") == [big] * 3
+    labels = spark.createDataFrame([(big, 1), (7, 0), (None, 1)], "doc_id long, quality int")
+    draws = [sorted((tuple(r) for r in resampling.resample(docs.repartition(n), labels, buckets=64).collect()), key=repr) for n in (1, 7)]
+    assert [r[0] for r in draws[0]] == want and draws[0] == draws[1]
+    alone = {r["doc_id"]: r["gumbel"] for r in resampling.resample(docs.where("doc_id = 7"), labels, buckets=64).collect()}
+    assert alone[7] in {r[2] for r in draws[0] if r[0] == 7}
+
+
+def test_reader_is_bounded_by_chunks(spark):
+    """A payload that packs a thousand to one comes back in chunks."""
+    pages = spark.createDataFrame([(1, "u", "a" * 20_000_000)], "page_id long, url string, html string")
+    folder = warc.archive_folder(spark)
+    path = warc.write_archives(pages, folder).first()["path"]
+    with warc._opened(path, folder) as stream:
+        reader = warc._Reader(stream)
+        most = 0
+        while reader.until(b"\r\n\r\n") is not None:
+            for part in reader.take(1 << 20):
+                most = max(most, len(part), len(reader._held))
+            break
+    assert most <= 2 * warc.CHUNK
+    assert warc.read_records(spark.createDataFrame([(path,)], "path string"), folder).first()["payload_bytes"] == 20_000_000
