@@ -618,7 +618,7 @@ def price_history(spark, sf):
 
 def _stepped(spark, sf):
     log = change_log(spark, sf)
-    return previous_row(log, ["product_id"], ["changed_at", "id"], F.to_date("changed_at"), ["price_new"]).withColumnRenamed("prev_price_new", "price_old").drop("has_prev")
+    return previous_row(log, ["product_id"], ["changed_at", "id"], ["price_new"]).withColumnRenamed("prev_price_new", "price_old").drop("has_prev")
 
 
 def price_timeline(spark, sf):

@@ -10,9 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketlens.session import settle
+from marketlens.session import settle, written
 
-_LOW_BITS = (1 << 33) - 1
+#: Distinct values of a key that one task may rank.
+RANKED = 200_000
+#: Sub-buckets of a bracket in one round.
+_BUCKETS = 4096
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], groups: Sequence[str] = (), out: str = "row_no") -> DataFrame:
@@ -52,29 +55,28 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def previous_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: Sequence[str], prefix: str = "prev_"
-) -> DataFrame:
-    """Adds ``has_prev`` and the previous row's values within the key.
+def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], prefix: str = "prev_") -> DataFrame:
+    """Adds ``has_prev`` and the previous row's values within the key, in ``order`` (unique in a key).
 
-    ``chunk`` must not decrease along ``order``. Each chunk is looked at by itself; the last
-    row of a chunk, found by a partial aggregate, is handed to the next one.
+    A segmented scan: rows are range-sorted by key and order, so one key, or one moment of one
+    key, spreads over as many tasks as its rows need. Each task looks back among its own rows; the
+    first row of a task gets the last row of the task before it from a table of one row per task.
     """
-    rows = df.withColumn("_chunk", chunk)
-    packed = F.struct(*[F.col(v).alias(v) for v in values])
-    here = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    local = rows.withColumn("_before", F.lag(packed).over(here))
-    ends = rows.groupBy(*keys, "_chunk").agg(
-        F.max_by(packed, F.struct(*[F.col(o) for o in order])).alias("_last")
-    )
-    along = Window.partitionBy(*keys).orderBy("_chunk")
-    carried = ends.select(*keys, "_chunk", F.lag("_last").over(along).alias("_carried"))
-    both = null_safe_join(local, carried, [*keys, "_chunk"], "left")
-    prev = F.coalesce("_before", "_carried")
-    out = both.withColumn("has_prev", prev.isNotNull())
-    for v in values:
-        out = out.withColumn(prefix + v, prev[v])
-    return out.drop("_chunk", "_before", "_carried")
+    along = [*keys, *order]
+    sorted_rows = df.repartitionByRange(*along).sortWithinPartitions(*along).withColumn("_at", F.monotonically_increasing_id())
+    fixed = settle(sorted_rows).withColumn("_task", F.shiftright("_at", 33))
+    packed = F.struct(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    local = fixed.withColumn("_before", F.lag(packed).over(Window.partitionBy("_task").orderBy("_at")))
+    ends = fixed.join(fixed.groupBy("_task").agg(F.max("_at").alias("_end")), ["_task"]).where(F.col("_at") == F.col("_end"))
+    carried = ends.select("_task", F.lag(packed).over(Window.orderBy("_task")).alias("_carried"))
+    near = local.join(carried, "_task").withColumn("_prev", F.coalesce("_before", "_carried"))
+    same = F.col("_prev").isNotNull()
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_prev.key.k{i}"))
+    out = near.withColumn("has_prev", same)
+    for i, v in enumerate(values):
+        out = out.withColumn(prefix + v, F.when(F.col("has_prev"), F.col(f"_prev.v{i}")))
+    return out.drop("_at", "_task", "_before", "_carried", "_prev")
 
 
 def order_statistics(
@@ -86,8 +88,10 @@ def order_statistics(
     ``targets`` are (share, low rank, high rank); ranks are 1-based, may use ``_n`` and lie
     within two of ``share * _n``. A mergeable sketch brackets each rank within ``spread`` of
     all rows (the whole range for groups too small for that); the second pass counts what is
-    below the bracket and keeps the distinct values inside it, so neither a group nor its
-    values are ever gathered whole. Null values are left out.
+    below the bracket and keeps the distinct values inside it. Where a bracket could still hold
+    more than ``RANKED`` values, it is counted in sub-buckets, the ones that hold the wanted ranks
+    are kept, and so on (``_refined``); a task never ranks more values than that. Null values are
+    left out.
 
     ``extra`` are further aggregates of the first pass, named ``extra_names``.
 
@@ -105,6 +109,9 @@ def order_statistics(
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", edges, accuracy).alias("_e"),
     )
+    # One row per key; a known small size lets the second pass keep its rows where they are.
+    seen = written(seen, "seen")
+    most = seen.agg(F.max("_n")).first()[0] or 0
     small = F.col("_n") <= int(4 / spread)
     brackets = F.array(
         *[
@@ -146,16 +153,21 @@ def order_statistics(
     if len(targets) > 1:
         # Rows outside one bracket may lie inside another, so several codes count as below.
         placed = placed.groupBy(*keys, *named, "_i", "_w").agg(F.sum("_c").alias("_c"))
-    upto = Window.partitionBy(*keys, "_i").orderBy(F.col("_w").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    ranked = placed.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_below", F.col("_upto") - F.col("_c"))
     low = high = None
     for i, (_, lo_rank, hi_rank) in enumerate(targets):
         low = F.when(F.col("_i") == i, lo_rank) if low is None else low.when(F.col("_i") == i, lo_rank)
         high = F.when(F.col("_i") == i, hi_rank) if high is None else high.when(F.col("_i") == i, hi_rank)
-    at_low = (F.col("_below") < low) & (low <= F.col("_upto"))
-    at_high = (F.col("_below") < high) & (high <= F.col("_upto"))
+    # The sketch may miss a rank by its own error on either side of the bracket.
+    if most * (2 * spread + 2 / accuracy) > RANKED:
+        placed = _refined(placed, [*keys, *named, "_i"], low, high)
+    else:
+        placed = placed.withColumn("_for", F.lit("both"))
+    upto = Window.partitionBy(*keys, "_i", "_for").orderBy(F.col("_w").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    ranked = placed.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_below", F.col("_upto") - F.col("_c"))
+    at_low = (F.col("_for") != "high") & (F.col("_below") < low) & (low <= F.col("_upto"))
+    at_high = (F.col("_for") != "low") & (F.col("_below") < high) & (high <= F.col("_upto"))
     per_target = ranked.groupBy(*keys, *named, "_i").agg(
         F.max(F.when(at_low, F.col("_w"))).alias("low"),
         F.max(F.when(at_high, F.col("_w"))).alias("high"),
@@ -173,6 +185,39 @@ def order_statistics(
     return per_target.groupBy(*keys, *named).agg(F.sort_array(F.collect_list(stat)).alias("_at"))
 
 
+def _refined(placed: DataFrame, groups: Sequence[str], low: Column, high: Column) -> DataFrame:
+    """Distinct values around each wanted rank, at most ``RANKED`` of a group, and one row for all below.
+
+    ``placed`` has the groups, a value ``_w`` (null: below all others) and its count ``_c``; the
+    result has them once for the rank ``low`` and once for ``high``, told apart by ``_for``. A round
+    counts every group's values in sub-buckets of equal width between its lowest and highest
+    value, sums the buckets up (at most ``_BUCKETS`` + 1 rows a group) and keeps the one that holds
+    the rank, until no group has too many values left. The lowest and the highest value never
+    share a bucket, so every round leaves fewer.
+    """
+    placed = placed.withColumn("_for", F.explode(F.array(F.lit("low"), F.lit("high"))))
+    groups = [*groups, "_for"]
+    rank = F.when(F.col("_for") == "low", low).otherwise(high)
+    while True:
+        placed = written(placed.groupBy(*groups, "_w").agg(F.sum("_c").alias("_c")), "bracket")
+        # Only distinct values count; the row of what lies below has none.
+        spans = placed.groupBy(*groups).agg(F.min("_w").alias("_lo"), F.max("_w").alias("_hi"), F.count("_w").alias("_m"))
+        if (spans.agg(F.max("_m")).first()[0] or 0) <= RANKED:
+            return placed
+        near = null_safe_join(placed, spans, groups)
+        # Halves, because the whole width may be beyond a double.
+        width = F.col("_hi") / 2 - F.col("_lo") / 2
+        share = F.when(width > 0, (F.col("_w") / 2 - F.col("_lo") / 2) / width).otherwise(0.0)
+        bucket = F.when(F.col("_w") == F.col("_hi"), _BUCKETS - 1).otherwise(F.least(F.floor(share * _BUCKETS), F.lit(_BUCKETS - 2)))
+        marked = near.select(*groups, "_w", "_c", F.when(F.col("_w").isNull(), -1).when(F.col("_w") == F.col("_lo"), 0).otherwise(bucket).alias("_bucket"))
+        along = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+        sums = marked.groupBy(*groups, "_bucket").agg(F.sum("_c").alias("_in")).withColumn("_upto", F.sum("_in").over(along))
+        before = F.col("_upto") < rank
+        holds = ~before & (F.col("_upto") - F.col("_in") < rank)
+        kept = sums.where(before | holds).select(*groups, "_bucket", before.alias("_before"))
+        placed = null_safe_join(marked, kept, [*groups, "_bucket"]).select(*groups, F.when(~F.col("_before"), F.col("_w")).alias("_w"), "_c")
+
+
 def quantile_target(p: float) -> tuple[float, Column, Column]:
     pos = (F.col("_n") - 1) * F.lit(p)
     return p, F.floor(pos) + 1, F.ceil(pos) + 1

@@ -111,14 +111,14 @@ def keep_max_per_source(items: DataFrame, group: str, source: str = catalog.VARI
 # --- transitions and series ---------------------------------------------------------------
 
 def availability_transitions(log: DataFrame, key: str, ts: str, available: str, tie: str) -> DataFrame:
-    """Every 1→0 step of an entity. Days are looked at separately and joined at their ends."""
-    prev = previous_row(log, [key], [ts, tie], F.to_date(ts), [available])
+    """Every 1→0 step of an entity."""
+    prev = previous_row(log, [key], [ts, tie], [available])
     return prev.where((F.col(f"prev_{available}") == 1) & (F.col(available) == 0)).drop("has_prev", f"prev_{available}")
 
 
-def status_transitions(runs: DataFrame, job: str = "job", status: str = "status", order: str = "id", chunk: int = 100_000) -> DataFrame:
+def status_transitions(runs: DataFrame, job: str = "job", status: str = "status", order: str = "id") -> DataFrame:
     """Runs, with ``alert`` set where the status changes into warn or error."""
-    prev = previous_row(runs, [job], [order], F.floor(F.col(order) / chunk), [status])
+    prev = previous_row(runs, [job], [order], [status])
     bad = F.col(status).isin("warn", "error")
     return prev.withColumn("alert", bad & ~F.col(status).eqNullSafe(F.col(f"prev_{status}"))).drop("has_prev")
 

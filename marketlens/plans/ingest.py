@@ -20,9 +20,6 @@ from marketlens.operators.similarity import nearest_price
 from marketlens.plans import classify
 from marketlens.session import settle
 
-# Offers of one key are compared in slices of this many batch positions.
-_SLICE = 50_000
-
 
 @dataclass(frozen=True)
 class Policy:
@@ -51,7 +48,7 @@ def diff_offers(offers: DataFrame, state: DataFrame, keys: Sequence[str], order:
     stored state. Null against null is no change.
     """
     values = [price] + ([available] if available else [])
-    seq = previous_row(offers, keys, [order], F.floor(F.col(order) / _SLICE), values)
+    seq = previous_row(offers, keys, [order], values)
     stored = state.select(*keys, F.lit(True).alias("_stored"), *[F.col(v).alias(f"_old_{v}") for v in values])
     # One row per key on either side: only a key's first offer meets the stored row.
     first = null_safe_join(seq.where(~F.col("has_prev")), stored, keys, "left")

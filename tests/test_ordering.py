@@ -46,6 +46,33 @@ def test_quantiles_beyond_the_bracket_size(spark):
     assert row["med"] == pdf["value"].median() and row["p9"] == pytest.approx(pdf["value"].quantile(0.9))
 
 
+@pytest.mark.parametrize("ranked, buckets", [(1, 5), (40, 50)])
+def test_brackets_are_refined(spark, skewed, monkeypatch, ranked, buckets):
+    """Brackets too large for one task give the same values; widths beyond a double too."""
+    monkeypatch.setattr(ordering, "RANKED", ranked)
+    monkeypatch.setattr(ordering, "_BUCKETS", buckets)
+    if ranked > 1:
+        test_quantiles_are_exact(skewed)
+        test_trimmed_mean(skewed)
+    else:
+        values = [-1.7e308, -5.0, 0.0, 1e-300, 2e-300, 3e-300, 1.0, 1.0, 1.0, 7.0, 1.7e308]
+        row = ordering.exact_quantiles(spark.createDataFrame([("k", v) for v in values], "key string, v double"), ["key"], "v", {"q": 0.3, "med": 0.5}).first()
+        assert (row["q"], row["med"]) == (1e-300, 3e-300)
+
+
+def test_large_bracket_goes_through_no_single_window(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANKED", 500)
+    df = spark.range(400_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 900).cast("string")).alias("key"), (F.pow(F.rand(4), 9) * 1000).alias("value"))
+    pdf = df.toPandas()
+    kept = []
+    plain = ordering._refined
+    monkeypatch.setattr(ordering, "_refined", lambda *a: kept.append(plain(*a)) or kept[-1])
+    got = {r["key"]: (r["a"], r["b"]) for r in ordering.exact_quantiles(df, ["key"], "value", {"a": 0.5, "b": 0.9}).collect()}
+    want = pdf.groupby("key")["value"].quantile([0.5, 0.9]).unstack()
+    assert all(got[k] == pytest.approx((want.loc[k, 0.5], want.loc[k, 0.9]), rel=1e-12) for k in want.index)
+    assert kept and kept[0].groupBy("key", "_i").count().agg(F.max("count")).first()[0] <= 501
+
+
 def test_trimmed_mean(skewed):
     df, pdf = skewed
     got = {r["key"]: r["trimmed_mean"] for r in ordering.trimmed_mean(df, ["key"], "value").collect()}
@@ -64,10 +91,9 @@ def test_row_numbers(skewed):
     assert dict(zip(got["id"], got["row_no"])) == dict(zip(want["id"], want["row_no"]))
 
 
-@pytest.mark.parametrize("width", [1, 50, 10**9])
-def test_previous_row(skewed, width):
+def test_previous_row(skewed):
     df, pdf = skewed
-    got = ordering.previous_row(df, ["key"], ["id"], F.floor(F.col("id") / width), ["value"]).toPandas()
+    got = ordering.previous_row(df, ["key"], ["id"], ["value"]).toPandas()
     want = pdf.sort_values("id").copy()
     want["prev"] = want.groupby("key", dropna=False)["value"].shift(1)
     want["has"] = want.groupby("key", dropna=False).cumcount() > 0
@@ -76,6 +102,28 @@ def test_previous_row(skewed, width):
     assert a["prev_value"].fillna(-1).tolist() == want["prev"].fillna(-1).tolist()
 
 
+def test_previous_row_of_one_key_at_one_moment(spark):
+    """A third of all rows belongs to one key on one day at one time: no task sees more than its share."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 500).cast("string")).alias("key"), F.lit("2024-01-01").cast("timestamp").alias("ts"), "id",
+        F.when(F.col("id") % 7 != 0, F.col("id") * 2).alias("value"),
+    )
+    # Or such small partitions would be put together.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        seen = ordering.previous_row(rows, ["key"], ["ts", "id"], ["value"])
+        tasks = [r["c"] for r in seen.select("key", F.spark_partition_id().alias("t")).where("key = 'hot'").groupBy("t").agg(F.count("*").alias("c")).collect()]
+        assert len(tasks) > 1 and max(tasks) < 7000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r["id"]: (r["has_prev"], r["prev_value"]) for r in seen.collect()}
+    last: dict = {}
+    for i in range(30_000):
+        key = "hot" if i % 3 == 0 else str(i % 500)
+        assert got[i] == (key in last, last.get(key))
+        last[key] = i * 2 if i % 7 else None
+
+
 @pytest.mark.parametrize("step", [0.5, 40.0, 1e9])
 def test_nearest_price(spark, step):
     rng = random.Random(3)
