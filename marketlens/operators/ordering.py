@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketlens.session import settle, written
+from marketlens.session import written
 
 #: Distinct values of a key that one task may rank.
 RANKED = 200_000
@@ -31,7 +31,7 @@ def number_rows(df: DataFrame, order: Sequence[Column], groups: Sequence[str] =
         .sortWithinPartitions(*keys, *order)
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    fixed = settle(sorted_rows).withColumn("_task", F.shiftright("_at", 33))
+    fixed = written(sorted_rows, "sorted").withColumn("_task", F.shiftright("_at", 33))
     runs = fixed.groupBy("_task", *groups).agg(F.min("_at").alias("_start"), F.count("*").alias("_len"))
     earlier = Window.partitionBy(*groups).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(
@@ -64,7 +64,7 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     """
     along = [*keys, *order]
     sorted_rows = df.repartitionByRange(*along).sortWithinPartitions(*along).withColumn("_at", F.monotonically_increasing_id())
-    fixed = settle(sorted_rows).withColumn("_task", F.shiftright("_at", 33))
+    fixed = written(sorted_rows, "sorted").withColumn("_task", F.shiftright("_at", 33))
     packed = F.struct(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
     local = fixed.withColumn("_before", F.lag(packed).over(Window.partitionBy("_task").orderBy("_at")))
     ends = fixed.join(fixed.groupBy("_task").agg(F.max("_at").alias("_end")), ["_task"]).where(F.col("_at") == F.col("_end"))
