@@ -114,9 +114,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return first.select(*keys, *[F.col("_row")[c].alias(c) for c in others]).select(*df.columns)
 
 
-def next_ids(new_rows: DataFrame, existing: DataFrame, order: Sequence[Column], key: str = "id", out: str = "id") -> DataFrame:
-    """Numbers new rows after the largest existing id, in ``order``."""
-    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
+def next_ids(new_rows: DataFrame, existing: DataFrame, order: Sequence[Column], key: str = "id", out: str = "id", top: Column | None = None) -> DataFrame:
+    """Numbers new rows after the largest existing id (``top`` if that is known), in ``order``."""
+    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar() if top is None else top
     return number_rows(new_rows, order, out="_no").withColumn(out, top + F.col("_no")).drop("_no")
 
 

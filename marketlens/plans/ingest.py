@@ -78,8 +78,11 @@ def fold_offers(offers: DataFrame, keys: Sequence[str], order: str, policy: Poli
     return folded.select("*", *opened).drop("_last", "_once")
 
 
-def merge_state(state: DataFrame, folded: DataFrame, keys: Sequence[str], policy: Policy, as_of: Column) -> DataFrame:
-    """Stored rows with the batch applied, and new rows under fresh ids. ``touched`` marks rows in the batch."""
+def merge_state(state: DataFrame, folded: DataFrame, keys: Sequence[str], policy: Policy, as_of: Column, top: Column | None = None) -> DataFrame:
+    """Stored rows with the batch applied, and new rows under fresh ids. ``touched`` marks rows in the batch.
+
+    Fresh ids follow ``top``, by default the largest id of ``state``.
+    """
     marked = folded.withColumn("_in", F.lit(True))
     cols = [c for c in state.columns if c not in ("id", *keys, "first_seen", "last_seen")]
     joined = null_safe_join(state, marked.select(*keys, "_in", *[F.col(c).alias(f"_b_{c}") for c in cols if c in folded.columns]), keys, "left")
@@ -95,7 +98,7 @@ def merge_state(state: DataFrame, folded: DataFrame, keys: Sequence[str], policy
     old = joined.select("id", *keys, *updated, "first_seen", F.when(hit, as_of).otherwise(F.col("last_seen")).alias("last_seen"), hit.alias("touched"))
     # Only keys and first positions are sorted and numbered; the rest of a row joins its number.
     unseen = null_safe_join(folded.select(*keys, "_first"), state.select(*keys), keys, "left_anti")
-    ids = joins.next_ids(unseen, state, [F.col("_first"), *[F.col(k) for k in keys]])
+    ids = joins.next_ids(unseen, state, [F.col("_first"), *[F.col(k) for k in keys]], top=top)
     numbered = null_safe_join(marked, ids.select(*keys, "id"), keys)
     fill = [F.col(c) if c in folded.columns else F.lit(None).cast(state.schema[c].dataType).alias(c) for c in cols]
     new = numbered.select("id", *keys, *fill, as_of.alias("first_seen"), as_of.alias("last_seen"), F.lit(True).alias("touched"))

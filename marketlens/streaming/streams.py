@@ -5,31 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from marketlens.plans.ingest import Policy, change_rows, diff_offers, fold_offers, merge_state
 from marketlens.sources import tables
+from marketlens.sources.parts import PartedTable
+
+
+def state_table(folder: str, schema: StructType, keys: Sequence[str], parts: int = 16) -> PartedTable:
+    return PartedTable(f"{folder}/state", schema, keys, parts)
 
 
 def stream_changes(
     offers: DataFrame, folder: str, initial: Callable[[SparkSession], DataFrame], keys: Sequence[str], *, order: str, as_of: Callable[[DataFrame], Column],
-    policy: Policy, fk: str = "entity_id",
+    policy: Policy, fk: str = "entity_id", parts: int = 16,
 ):
     """Change rows and state from a stream of offers; returns a writer to start.
 
-    Every micro-batch goes through the batch difference against the last published state, so a
-    key with many offers is no burden and the outcome is that of the batch operator. State and
-    changes are written per batch id: a batch that is run again replaces its own output.
+    State is kept by key in ``parts`` (as many as leave a part at about a file). A micro-batch reads and rewrites only the parts its keys
+    fall into and goes through the batch difference against them, so a key with many offers is
+    no burden, a key in another part costs nothing, and the outcome is that of the batch
+    operator. State and changes are written per batch id: a batch that is run again replaces
+    its own output.
     """
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # The version that batch ``n`` reads is the one batch ``n - 1`` wrote.
-        state = initial(spark) if batch_id == 0 else tables.read_version(spark, folder, "state", batch_id - 1)
+        first = initial(spark)
+        state = state_table(folder, first.schema, keys, parts)
+        # Batch ``n`` reads version ``n`` and writes the next; version 0 is what there was before.
+        if batch_id == 0:
+            state.write(first, 0)
+        touched = state.touched(batch)
+        stored = state.read(spark, batch_id, touched)
         now = as_of(batch)
-        diffed = diff_offers(batch, state, keys, order, "last_price", "last_available")
-        merged = merge_state(state, fold_offers(batch, keys, order, policy), keys, policy, now)
-        tables.publish(merged.drop("touched"), folder, "state", batch_id)
-        stored = tables.read_version(spark, folder, "state", batch_id)
-        tables.publish(change_rows(diffed, stored, keys, order, "last_price", "last_available", now, fk), folder, "changes", batch_id)
+        diffed = diff_offers(batch, stored, keys, order, "last_price", "last_available")
+        top = F.lit(state.top(spark, batch_id)).cast("long")
+        merged = merge_state(stored, fold_offers(batch, keys, order, policy), keys, policy, now, top)
+        state.write(merged, batch_id + 1, touched, before=batch_id)
+        known = state.read(spark, batch_id + 1, touched)
+        tables.publish(change_rows(diffed, known, keys, order, "last_price", "last_available", now, fk), folder, "changes", batch_id)
 
     return offers.writeStream.foreachBatch(one_batch).option("checkpointLocation", f"{folder}/progress")
 
