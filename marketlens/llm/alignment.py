@@ -44,11 +44,12 @@ class Aligned:
     def __init__(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray):
         self.a, self.b = a, b
         a_at, b_at = dict(zip(a_ends.tolist(), range(len(a)))), dict(zip(b_ends.tolist(), range(len(b))))
-        common = sorted(a_at.keys() & b_at.keys())
+        # A dictionary keeps its order, so the common ends rise.
+        common = list(filter(a_at.__contains__, b_at))
         self.a_cuts, self.b_cuts = (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) + 1 for at in (a_at, b_at))
         # Between neighbouring ends of either side lies one token of each side, and tokens that
         # overlap do so in one such stretch: the stretches of a group are its links.
-        edges = np.union1d(a_ends, b_ends)
+        edges = np.sort(np.r_[a_ends, np.delete(b_ends, self.b_cuts - 1)], kind="stable")
         self.links = a[np.searchsorted(a_ends, edges)] * PAIR + b[np.searchsorted(b_ends, edges)]
 
     def groups_text(self) -> str:
@@ -163,17 +164,22 @@ def pair_counts(aligned: DataFrame, flush: int = 1 << 19) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = lambda codes, times: pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times)], names=["pair", "n"])
-        codes = times = np.empty(0, np.int64)
+        codes, times, held = [], [], 0
         for batch in batches:
             for packed in batch.column(0):
                 more, counts = np.unique(_unpack(packed.as_py()), return_counts=True)
-                codes, times = np.r_[codes, more], np.r_[times, counts]
-                if len(codes) >= flush:
-                    codes, times = _counted(codes, times)
-                    if len(codes) >= flush // 2:
-                        yield out(codes, times)
-                        codes = times = np.empty(0, np.int64)
-        yield out(*_counted(codes, times))
+                codes.append(more)
+                times.append(counts)
+                held += len(more)
+                if held >= flush:
+                    found, sums = _counted(np.concatenate(codes), np.concatenate(times))
+                    if len(found) >= flush // 2:
+                        yield out(found, sums)
+                        codes, times, held = [], [], 0
+                    else:
+                        codes, times, held = [found], [sums], len(found)
+        if held:
+            yield out(*_counted(np.concatenate(codes), np.concatenate(times)))
 
     return aligned.select("links").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
