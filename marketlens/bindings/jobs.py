@@ -52,7 +52,7 @@ status AS (
 
 
 def job_transitions(spark, sf):
-    return windows.status_transitions(job_runs(spark, sf), chunk=1000).select("id", "job", "status", "prev_status", "alert")
+    return windows.status_transitions(job_runs(spark, sf)).select("id", "job", "status", "prev_status", "alert")
 
 
 def job_history(spark, sf):
