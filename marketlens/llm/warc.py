@@ -1,9 +1,12 @@
 """WARC archives as chunked record tables.
 
 Pages are written as response records, later copies of large payloads as revisit records that
-point to the response. Records are streamed: a payload is written and read back in chunks of
-bounded size with digests carried along, so no record is ever held whole by the reader. What
-comes back is a table of chunks (record, chunk number, bytes) or of records.
+point to the response. Payloads are cut into rows of (record, chunk number, bytes) before they are
+written and come back as such rows; digests are carried along from chunk to chunk, so no task of
+Python ever holds a record whole. The table of records is the last chunk row of each.
+
+Null payloads are empty ones, repeated rows are records of their own, an empty table gives no
+file and no record, other columns of the pages are left out whatever their names.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ import uuid
 import zlib
 from base64 import b32decode, b32encode
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from marketlens.session import shared_dir
 
 CHUNK = 1 << 16
+BATCH = 1 << 22  # bytes of chunks that a task holds at once
 DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -79,35 +83,54 @@ class _Member:
         self._out.write(self._zip.flush())
 
 
+def chunked(named: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows of ``with_references`` as the chunked record table: a row per (record, chunk), in chunk order.
+
+    A payload is cut where it lies, so the chunks of a record stay together without a shuffle. A
+    revisit and an empty payload are one row with no bytes; the address stands on the first row alone.
+    """
+    held = F.when(F.col("refers_to").isNull(), F.col("payload").cast("binary")).otherwise(F.lit(b""))
+    rows = named.select("page", "url", "digest", "n_bytes", "refers_to", held.alias("_held"))
+    last = F.greatest(F.lit(1), F.ceil(F.octet_length("_held") / chunk)).cast("int") - 1
+    rows = rows.withColumn("_last", last).select("*", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("chunk"))
+    return rows.select(
+        "page", F.when(F.col("chunk") == 0, F.col("url")).alias("url"), "digest", "n_bytes", "refers_to", "chunk",
+        (F.col("chunk") == F.col("_last")).alias("last"), F.substr("_held", F.col("chunk") * F.lit(chunk) + 1, F.lit(chunk)).alias("data"),
+    )
+
+
 def _write(folder: str):
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = arrow_fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         # A repeated attempt writes the same final name; readers never see a file half done.
         held, name, records, stream = f"{root}/.{part}-{uuid.uuid4().hex}", f"{root}/pages-{part:06d}.warc.gz", 0, None
         try:
-            for frame in frames:
-                for page, url, payload, digest, refers_to in zip(*(frame[c] for c in ("page", "url", "payload", "digest", "refers_to"))):
+            for batch in batches:
+                for page, url, digest, size, refers_to, chunk, last, data in zip(*(column.to_pylist() for column in batch.columns)):
                     if stream is None:
                         stream = store.open_output_stream(held, compression=None)
-                    target = None if refers_to is None else record_id(refers_to, 0)
-                    data = payload.encode()
-                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n\r\n".encode()
-                    member = _Member(stream)
-                    kind, length = ("revisit", len(http)) if target else ("response", len(http) + len(data))
-                    copy = 0 if target is None and page is not None else part << 33 | records
-                    member.write(_header(kind, record_id(page, copy), url, bytes(digest), length, target) + http)
-                    for at in range(0, 0 if target else len(data), CHUNK):
-                        member.write(data[at:at + CHUNK])
-                    member.write(b"\r\n\r\n")
-                    member.close()
-                    records += 1
+                    if chunk == 0:
+                        target = None if refers_to is None else record_id(refers_to, 0)
+                        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+                        kind, length = ("revisit", len(http)) if target else ("response", len(http) + size)
+                        copy = 0 if target is None and page is not None else part << 33 | records
+                        member, running = _Member(stream), hashlib.sha1()
+                        member.write(_header(kind, record_id(page, copy), url, digest, length, target) + http)
+                    running.update(data)
+                    member.write(data)
+                    if last:
+                        if target is None and running.digest() != digest:
+                            raise ValueError(f"{record_id(page, copy)}: the chunks do not have the digest of the payload")
+                        member.write(b"\r\n\r\n")
+                        member.close()
+                        records += 1
         finally:
             if stream is not None:
                 stream.close()
         if records:
             store.move(held, name)
-            yield pd.DataFrame({"path": [name], "records": [records]})
+            yield pa.RecordBatch.from_pydict({"path": [name], "records": [records]})
 
     return write
 
@@ -118,15 +141,28 @@ def write_archives(
     """Writes one gzipped WARC file per partition into ``folder``; returns (path, records).
 
     Of records with equal payloads of at least ``least_bytes`` the one with the largest id is
-    the response, the others revisit it. Null payloads are empty ones. Pages without an id
+    the response, the others revisit it. The writer gets chunk rows and checks the digest it has
+    carried over them against that in the header. Null payloads are empty ones. Pages without an id
     revisit a page with one, or are responses. A repeated row of the response is a response.
     """
     store, root = arrow_fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    # Numbers as text: pandas would make doubles of ids beside a null one.
-    named = with_references(pages, id_col, url_col, payload_col, least_bytes).withColumns({c: F.col(c).cast("string") for c in ("page", "refers_to")})
-    files = named.mapInPandas(_write(folder), "path string, records long")
-    return pages.sparkSession.createDataFrame(files.toPandas(), "path string, records long")  # one row per file
+    files = chunked(with_references(pages, id_col, url_col, payload_col, least_bytes)).mapInArrow(_write(folder), "path string, records long")
+    with _batches_of(pages.sparkSession, BATCH):
+        written = files.toPandas()  # one row per file
+    return pages.sparkSession.createDataFrame(written, "path string, records long")
+
+
+@contextmanager
+def _batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Batches for Python of at most ``size`` bytes and a row while jobs run inside; by default only rows are bounded."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 # ---- reading ----------------------------------------------------------------------------
@@ -192,44 +228,72 @@ def _opened(path: str, folder: str):
     return store.open_input_stream(path, compression=None)
 
 
+_CHUNKS = pa.schema([
+    ("record", pa.string()), ("page", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk", pa.int64()),
+    ("last", pa.bool_()), ("bytes", pa.int64()), ("digest", pa.string()), ("data", pa.binary()),
+])
+_CHUNK_TYPES = "record string, page long, record_type string, refers_to long, chunk long, last boolean, bytes long, digest string, data binary"
+
+
+def _chunk_rows(stream) -> Iterator[tuple]:
+    """Rows of the chunk table of one file; the digest so far is spelt out on the last row of a record alone."""
+    for fields, size, parts in records(stream):
+        name, kind = fields["warc-record-id"], fields["warc-type"]
+        stated = b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+        known = (name, _page_of(name), kind, _page_of(fields.get("warc-refers-to")))
+        if kind == "revisit":
+            for _ in parts:
+                pass
+            yield *known, 0, True, size, stated, b""
+            continue
+        running, seen, held = hashlib.sha1(), 0, b""
+        for k, data in enumerate(parts):
+            if k:
+                yield *known, k - 1, False, seen, None, held
+            running.update(data)
+            seen, held, at = seen + len(data), data, k
+        if running.hexdigest() != stated or seen != size:
+            raise ValueError(f"{name}: the payload does not have the stated digest")
+        yield *known, at if seen else 0, True, seen, stated, held
+
+
 def read_chunks(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
-    """The chunked record table: (record, chunk, data), chunk numbers from 0, one task per file."""
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path in frame["path"]:
+    """The chunked record table, one task per file: (record, chunk, data) and what is carried along.
+
+    ``chunk`` counts from 0, ``bytes`` are those up to and with this chunk, ``last`` marks the end
+    of a record, whose ``digest`` was computed chunk by chunk and equals the record's own (an error
+    if not). A revisit is one row without data that has the size and digest it states; an empty
+    payload is one row without data. No files: no rows. Repeated records come back repeated.
+    """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
                 with _opened(path, folder) as stream:
-                    for fields, _, chunks in records(stream):
-                        for k, data in enumerate(chunks):
-                            yield pd.DataFrame({"record": [fields["warc-record-id"]], "chunk": [k], "data": [data]})
+                    rows, size = [], 0
+                    for row in _chunk_rows(stream):
+                        rows.append(row)
+                        size += len(row[-1]) + 256
+                        if size >= BATCH:
+                            yield _batch(rows)
+                            rows, size = [], 0
+                    if rows:
+                        yield _batch(rows)
+
+    return _spread(files).mapInArrow(read, _CHUNK_TYPES)
 
-    return _spread(files).mapInPandas(read, "record string, chunk long, data binary")
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHUNKS)], schema=_CHUNKS)
 
 
 def read_records(files: DataFrame, folder: str) -> DataFrame:
     """One row per record: page, record_type, payload_bytes, payload_digest (hex), refers_to.
 
-    Digests of responses are computed over the chunks and must equal the record's own.
+    They are the last rows of the chunk table: size and digest were carried up to there, so no
+    record is put together again and nothing is shuffled. Empty, repeated and null as there.
     """
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                rows = []
-                with _opened(path, folder) as stream:
-                    for fields, size, chunks in records(stream):
-                        digest, seen = hashlib.sha1(), 0
-                        for data in chunks:
-                            digest.update(data)
-                            seen += len(data)
-                        stated = b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        kind = fields["warc-type"]
-                        if kind == "response" and (digest.hexdigest() != stated or seen != size):
-                            raise ValueError(f"{fields['warc-record-id']}: the payload does not have the stated digest")
-                        rows.append((_page_of(fields["warc-record-id"]), kind, size, stated, _page_of(fields.get("warc-refers-to"))))
-                kinds = {"page": pa.int64(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64()}
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
-
-    return _spread(files).mapInArrow(read, "page long, record_type string, payload_bytes long, payload_digest string, refers_to long")
+    ends = read_chunks(files.sparkSession, files, folder).where("last")
+    return ends.select("page", "record_type", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "refers_to")
 
 
 def _spread(files: DataFrame) -> DataFrame:

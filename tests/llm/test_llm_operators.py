@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -504,3 +505,35 @@ def test_reader_is_bounded_by_chunks(spark):
             break
     assert most <= 2 * warc.CHUNK
     assert warc.read_records(spark.createDataFrame([(path,)], "path string"), folder).first()["payload_bytes"] == 20_000_000
+
+
+def test_warc_chunk_rows_of_a_payload_beyond_every_batch(spark):
+    """40 MB in one record: rows of at most a chunk, batches of bounded bytes, digests that grow with them."""
+    data = ("0123456789abcdef" * (1 << 16) + "é") * 40
+    pages = spark.createDataFrame([(1, "u", data), (2, "v", ""), (2, "v", ""), (3, None, None)], "page_id long, url string, html string")
+    pages = pages.withColumns({"chunk": F.lit("x"), "last": F.lit(5), "digest": F.lit(None)}).coalesce(1)
+    rows = warc.chunked(warc.with_references(pages, "page_id", "url", "html", 1000))
+    sizes = rows.mapInArrow(lambda batches: ((pa.RecordBatch.from_pydict({"n": [b.nbytes], "most": [max(map(len, b.column("data").to_pylist()))]})) for b in batches), "n long, most long")
+    with warc._batches_of(spark, warc.BATCH):
+        most, n = sizes.agg(F.max("most"), F.max("n")).first()
+    assert most == warc.CHUNK and n <= 1.1 * warc.BATCH
+    folder = warc.archive_folder(spark)
+    files = warc.write_archives(pages, folder)
+    chunks = warc.read_chunks(spark, files, folder).where("page = 1").toPandas().sort_values("chunk")
+    whole = data.encode()
+    assert b"".join(chunks["data"]) == whole and list(chunks["chunk"]) == list(range(-(-len(whole) // warc.CHUNK)))
+    assert list(chunks["bytes"]) == list(chunks["data"].map(len).cumsum()) and list(chunks["last"]) == [False] * (len(chunks) - 1) + [True]
+    assert chunks["digest"].iloc[-1] == hashlib.sha1(whole).hexdigest() and chunks["digest"].iloc[:-1].isna().all()
+    ends = sorted((r["page"], r["payload_bytes"], r["record_type"]) for r in warc.read_records(files, folder).collect())
+    assert ends == [(1, len(whole), "response"), (2, 0, "response"), (2, 0, "response"), (3, 0, "response")]
+
+
+def test_warc_reading_task_holds_a_bounded_batch(spark):
+    """Batches of the reader, taken one by one from a file with a payload of 30 MB."""
+    folder = warc.archive_folder(spark)
+    path = warc.write_archives(spark.createDataFrame([(1, "u", "ab" * 15_000_000)], "page_id long, url string, html string"), folder).first()["path"]
+    with warc._opened(path, folder) as stream:
+        rows = list(warc._chunk_rows(stream))
+    assert max(len(r[-1]) for r in rows) <= warc.CHUNK and sum(len(r[-1]) for r in rows) == 30_000_000
+    sizes = warc.read_chunks(spark, spark.createDataFrame([(path,)], "path string"), folder)
+    assert sizes.count() == len(rows)
