@@ -537,3 +537,12 @@ def test_warc_reading_task_holds_a_bounded_batch(spark):
     assert max(len(r[-1]) for r in rows) <= warc.CHUNK and sum(len(r[-1]) for r in rows) == 30_000_000
     sizes = warc.read_chunks(spark, spark.createDataFrame([(path,)], "path string"), folder)
     assert sizes.count() == len(rows)
+
+
+def test_warc_files_are_read_by_a_task_each(spark):
+    folder, files = warc.archive_folder(spark), []
+    for start in (0, 10, 20, 30):
+        pages = spark.range(start, start + 10).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
+        files += warc.write_archives(pages, warc.archive_folder(spark)).collect()
+    found = warc.read_records(spark.createDataFrame(files), folder).select("page", F.spark_partition_id().alias("task"))
+    assert len(files) >= 4 and found.select("task").distinct().count() == len(files) and found.count() == 40
