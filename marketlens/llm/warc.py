@@ -21,7 +21,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marketlens.session import shared_dir
 
@@ -299,10 +299,10 @@ def read_records(files: DataFrame, folder: str) -> DataFrame:
 def _spread(files: DataFrame) -> DataFrame:
     """A task per file: with a number given, adaptive execution does not put the few bytes of all names together.
 
-    Names are dealt in turn from one partition (a row per file), so that no two meet.
+    The numbers that deal them come from a window over one short row per file.
     """
-    names = files.select("path").coalesce(1)
-    return names.repartition(max(1, names.count()))
+    names = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("_task"))
+    return names.repartitionById(max(1, files.count()), "_task").select("path")
 
 
 def archive_folder(spark: SparkSession) -> str:
