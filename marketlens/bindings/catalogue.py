@@ -283,7 +283,7 @@ def nearest_price(spark, sf):
     rows = rows.withColumn("id", key * 1000 + F.col("l_suppkey") % 1000)
     legacy = rows.where(F.col("kind") == "SMALL").select("id", "console_family", "price")
     variants = rows.where(F.col("kind") == "PROMO").select("id", "console_family", "price")
-    out = similarity.nearest_price(legacy, variants, "console_family", "price", step=100.0)
+    out = similarity.nearest_price(legacy, variants, "console_family", "price")
     return out.groupBy("legacy_id").agg(F.min("keep_id").alias("keep_id"))
 
 

@@ -79,6 +79,33 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     return out.drop("_at", "_task", "_before", "_carried", "_prev")
 
 
+def nearest_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, low: str = "low", high: str = "high") -> DataFrame:
+    """Adds the last non-null ``value`` up to a row and the first one from it on, within the key and in ``order`` (unique in a key).
+
+    The two-sided form of :func:`previous_row`: rows are range-sorted by key and order, each task
+    looks both ways among its own rows, and what lies beyond is carried between tasks by a table
+    of one row per task and key. Nulls in the keys are a key of their own.
+    """
+    along = [*keys, *order]
+    sorted_rows = df.repartitionByRange(*along).sortWithinPartitions(*along).withColumn("_at", F.monotonically_increasing_id())
+    fixed = written(sorted_rows, "sorted").withColumn("_task", F.shiftright("_at", 33))
+    known = F.when(F.col(value).isNotNull(), F.col("_at"))
+    ends = fixed.groupBy("_task", *keys).agg(F.max_by(value, known).alias("_last"), F.min_by(value, known).alias("_first"))
+    # Windows run towards the row from either side, so that none is counted anew for each row.
+    before, upto = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
+    tasks, here = Window.partitionBy(*keys), Window.partitionBy("_task", *keys)
+    carried = ends.select(
+        "_task", *keys,
+        F.last("_last", ignorenulls=True).over(tasks.orderBy("_task").rowsBetween(*before)).alias("_below"),
+        F.last("_first", ignorenulls=True).over(tasks.orderBy(F.col("_task").desc()).rowsBetween(*before)).alias("_above"),
+    )
+    local = fixed.withColumn("_l", F.last(value, ignorenulls=True).over(here.orderBy("_at").rowsBetween(*upto))).withColumn(
+        "_h", F.last(value, ignorenulls=True).over(here.orderBy(F.col("_at").desc()).rowsBetween(*upto))
+    )
+    both = null_safe_join(local, carried, ["_task", *keys])
+    return both.withColumns({low: F.coalesce("_l", "_below"), high: F.coalesce("_h", "_above")}).drop("_at", "_task", "_l", "_h", "_below", "_above")
+
+
 def order_statistics(
     df: DataFrame, keys: Sequence[str], value: str, targets: Sequence[tuple[float, Column, Column]],
     *, spread: float = 0.002, accuracy: int = 2000, extra: Sequence[Column] = (), extra_names: Sequence[str] = (),

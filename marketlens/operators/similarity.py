@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marketlens.functions.text import jaccard, tokens
-from marketlens.operators.ordering import null_safe_join
+from marketlens.operators.ordering import nearest_known, null_safe_join
 
 
 def load_anchors(products: DataFrame, source: str = "cex") -> DataFrame:
@@ -67,61 +67,27 @@ def best_anchor(
     return null_safe_join(keyed, best, [family, "_set"], "left").drop("_set")
 
 
-def surrounding(df: DataFrame, keys: Sequence[str], position: str, tie: str, chunk: Column, value: Column) -> DataFrame:
-    """Adds ``_low`` and ``_high``: the last non-null ``value`` up to a row, and the first one from it on.
-
-    Rows are ordered by ``position`` within their chunk only; what lies beyond comes from a
-    table of chunk ends. ``chunk`` must not decrease with ``position``. At one position, rows
-    of smaller ``tie`` come first in both directions.
-    """
-    rows = df.withColumn("_chunk", chunk).withColumn("_val", value)
-    upto = (Window.unboundedPreceding, 0)
-    here = Window.partitionBy(*keys, "_chunk")
-    known = F.last("_val", ignorenulls=True)
-    local = rows.withColumn("_l", known.over(here.orderBy(position, tie).rowsBetween(*upto))).withColumn(
-        "_h", known.over(here.orderBy(F.col(position).desc(), tie).rowsBetween(*upto))
-    )
-    at = F.when(F.col("_val").isNotNull(), F.col(position))
-    ends = rows.groupBy(*keys, "_chunk").agg(F.max_by("_val", at).alias("_last"), F.min_by("_val", at).alias("_first"))
-    before = (Window.unboundedPreceding, -1)
-    along = Window.partitionBy(*keys)
-    carried = ends.select(
-        *keys, "_chunk", F.last("_last", ignorenulls=True).over(along.orderBy("_chunk").rowsBetween(*before)).alias("_from_below"),
-        F.last("_first", ignorenulls=True).over(along.orderBy(F.col("_chunk").desc()).rowsBetween(*before)).alias("_from_above"),
-    )
-    both = null_safe_join(local, carried, [*keys, "_chunk"], "left")
-    return both.withColumn("_low", F.coalesce("_l", "_from_below")).withColumn("_high", F.coalesce("_h", "_from_above")).drop(
-        "_chunk", "_val", "_l", "_h", "_from_below", "_from_above"
-    )
-
-
-def nearest_price(legacy: DataFrame, variants: DataFrame, group: str, price: str, step: float = 25.0) -> DataFrame:
+def nearest_price(legacy: DataFrame, variants: DataFrame, group: str, price: str) -> DataFrame:
     """``keep_id``: the variant of the same group whose price is closest, lowest id on a tie.
 
     Without comparable prices it is the group's first variant; groups without variants drop out.
-    Sorting finds the neighbours, so no pairs of a group are formed.
+    Asked and offered prices become one sorted line of distinct prices per group, along which
+    each price meets its neighbours on both sides: no pairs of a group, and rows that ask for
+    one price are answered once.
     """
     first = variants.groupBy(group).agg(F.min("id").alias("_first"))
-    points = (
-        variants.where(F.col(price).isNotNull()).groupBy(group, price).agg(F.min("id").alias("_vid"))
-        .select(group, F.col(price).cast("double").alias("_p"), "_vid", F.lit(None).cast("long").alias("_lid"))
-    )
-    asked = legacy.where(F.col(price).isNotNull()).select(
-        group, F.col(price).cast("double").alias("_p"), F.lit(None).cast("long").alias("_vid"), F.col("id").alias("_lid")
+    of = lambda rows, vid, asked: rows.where(F.col(price).isNotNull()).select(
+        F.col(group).alias("_grp"), F.col(price).cast("double").alias("_p"), vid.alias("_vid"), F.lit(asked).alias("_asked")
     )
-    line = points.unionByName(asked)
+    line = of(variants, F.col("id"), False).unionByName(of(legacy, F.lit(None).cast(variants.schema["id"].dataType), True))
+    line = line.groupBy("_grp", "_p").agg(F.min("_vid").alias("_vid"), F.max("_asked").alias("_asked"))
     point = F.when(F.col("_vid").isNotNull(), F.struct(F.col("_p").alias("p"), F.col("_vid").alias("v")))
-    sided = line.withColumn("_side", F.when(F.col("_vid").isNotNull(), 0).otherwise(1))
-    both = surrounding(sided, [group], "_p", "_side", F.floor(F.col("_p") / step), point)
+    both = nearest_known(line.withColumn("_point", point), ["_grp"], ["_p"], "_point", "_low", "_high")
 
     def distance(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["p"] - F.col("_p")).alias("d"), F.col(c)["v"].alias("v")))
 
-    chosen = both.where(F.col("_lid").isNotNull()).select("_lid", F.least(distance("_low"), distance("_high"))["v"].alias("_near"))
-    return (
-        legacy.join(first, group)
-        .join(chosen, F.col("id") == F.col("_lid"), "left")
-        .select(legacy["id"].alias("legacy_id"), F.coalesce("_near", "_first").alias("keep_id"))
-    )
-
-
+    chosen = both.where("_asked").select("_grp", "_p", F.least(distance("_low"), distance("_high"))["v"].alias("_near"))
+    asked = legacy.join(first, group).select("id", F.col(group).alias("_g"), F.col(price).cast("double").alias("_q"), "_first")
+    found = asked.join(chosen, (F.col("_g") == F.col("_grp")) & (F.col("_q") == F.col("_p")), "left")
+    return found.select(F.col("id").alias("legacy_id"), F.coalesce("_near", "_first").alias("keep_id"))

@@ -124,13 +124,21 @@ def test_previous_row_of_one_key_at_one_moment(spark):
         last[key] = i * 2 if i % 7 else None
 
 
-@pytest.mark.parametrize("step", [0.5, 40.0, 1e9])
-def test_nearest_price(spark, step):
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_nearest_price(spark, parts):
     rng = random.Random(3)
     variants = [(i, rng.choice("gh"), rng.choice([None, float(rng.randint(0, 60))])) for i in range(80)]
     legacy = [(1000 + i, rng.choice("ghx"), rng.choice([None, float(rng.randint(0, 60))])) for i in range(60)]
     schema = "id long, grp string, price double"
-    got = {r["legacy_id"]: r["keep_id"] for r in similarity.nearest_price(spark.createDataFrame(legacy, schema), spark.createDataFrame(variants, schema), "grp", "price", step).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = similarity.nearest_price(spark.createDataFrame(legacy, schema), spark.createDataFrame(variants, schema), "grp", "price").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r["legacy_id"]: r["keep_id"] for r in found}
     want = {}
     for lid, grp, price in legacy:
         group = sorted(v for v in variants if v[1] == grp)
@@ -141,6 +149,33 @@ def test_nearest_price(spark, step):
     assert got == want
 
 
+def test_nearest_known_of_one_group_over_many_tasks(spark):
+    """A third of the rows in one group: spread over tasks, some of which hold no known value at all."""
+    n = 24_000
+    at = F.col("id")
+    rows = spark.range(n).select(
+        F.when(at % 3 == 0, "hot").when(at % 3 == 1, (at % 100).cast("string")).alias("key"), "id",
+        F.when((at % 997 == 0) | (at > n - 50) & (at % 2 == 0), at * 10).alias("value"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        seen = ordering.nearest_known(rows, ["key"], ["id"], "value")
+        tasks = [r["c"] for r in seen.select("key", F.spark_partition_id().alias("t")).where("key = 'hot'").groupBy("t").agg(F.count("*").alias("c")).collect()]
+        got = {r["id"]: (r["key"], r["value"], r["low"], r["high"]) for r in seen.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == n and len(tasks) > 1 and max(tasks) <= n / 4
+    last, following = {}, {}
+    for i in range(n):
+        key, value, low, _ = got[i]
+        last[key] = last.get(key) if value is None else value
+        assert low == last[key]
+    for i in reversed(range(n)):
+        key, value, _, high = got[i]
+        following[key] = following.get(key) if value is None else value
+        assert high == following[key]
+
+
 def test_best_anchor_equals_comparing_everything(spark):
     rng = random.Random(11)
     words = [f"w{i:02d}" for i in range(14)]
