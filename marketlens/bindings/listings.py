@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from marketlens import catalog
 from marketlens.bindings.roles import ADS_SQL, PLACED_SQL, ads, placed_ads, show_day, show_ts, stamp, table
-from marketlens.functions import times
+from marketlens.functions import text, times
 from marketlens.functions.text import trailing_id
 from marketlens.operators import aggregates, filters, joins, windows
 from marketlens.plans import cascade, verify
@@ -430,11 +430,15 @@ good AS (SELECT ad_id, human, CASE WHEN human = 'other' THEN 'rejected_manual' E
 last_runs AS (SELECT conv_id AS ad_id, max(conv_id * 1000 + turn) AS run_id FROM conversations GROUP BY 1)"""
 
 
+def _content_hash() -> Column:
+    return text.input_hash(F.col("o_orderpriority"), F.col("c_nationkey").cast("string"), F.lit(None).cast("double"), "p1", "t1")
+
+
 def _scored_rows(spark, sf):
     """Listings to score with the hash of what is scored; earlier runs cover urgent orders."""
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     return rows.select(
-        F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("price"), F.concat_ws("-", "o_orderpriority", F.col("c_nationkey").cast("string")).alias("input_hash"),
+        F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("price"), _content_hash().alias("input_hash"),
         F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), "o_orderpriority",
     )
 
@@ -459,7 +463,7 @@ def _bounds(df, _taxonomy):
 def _cascaded(spark, sf):
     rows = _scored_rows(spark, sf)
     runs = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).where(F.col("o_orderpriority") == "1-URGENT").select(
-        F.col("o_orderkey").alias("id"), F.concat_ws("-", "o_orderpriority", F.col("c_nationkey").cast("string")).alias("input_hash"),
+        F.col("o_orderkey").alias("id"), _content_hash().alias("input_hash"),
         F.col("c_nationkey").cast("string").alias("taxonomy_id_final"), F.lit(91).cast("long").alias("confidence_final"),
         F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "pending_review").otherwise("approved_auto").alias("status_final"), F.col("o_orderstatus").alias("selected_model"),
     )

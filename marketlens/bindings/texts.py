@@ -171,11 +171,41 @@ tok AS (
          lambda w: w NOT IN ('xbox', 'console', 'con', 'the', 'and', 'per', 'for', 'edition'))) AS t FROM documents)"""
 
 
+_CLEANED = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '[<>\"''`]', ' ', 'g'), '[\x00-\x1F\x7F]', ' ', 'g'), '\s{2,}', ' ', 'g'))"
+_WEB = f"CASE WHEN regexp_matches({_CLEANED}, '(?i)^https?://') THEN {_CLEANED} ELSE '' END"
+_RECORDS = f"""
+WITH rows AS (SELECT page_id, url, html, CASE WHEN page_id % 2 = 0 THEN ' HTTPS://a<b ' || url ELSE 'javascript:' || url END AS href, string_split(html, chr(10)) AS lines FROM pages)
+SELECT page_id, {_WEB.replace("{}", "href")} AS image_url, md5({_CLEANED.replace("{}", "html")}) AS html, md5(array_to_string(list_transform(lines, lambda l: {_CLEANED.replace("{}", "l")}), chr(10))) AS lines,
+       md5(array_to_string(list_transform(lines, lambda l: {_WEB.replace("{}", "l")}), chr(10))) AS line_urls, len(lines) AS n_lines, {_WEB.replace("{}", "url")} AS page_url,
+       {_CLEANED.replace("{}", "('`x`  ' || url)")} AS note FROM rows"""
+
+
 def sanitize(spark, sf):
     rows = table(spark, sf, "pages")
     return rows.select("page_id", F.md5(text.sanitize_text(F.col("html")).cast("binary")).alias("digest"), text.sanitize_url(F.col("url")).alias("url"))
 
 
+def sanitize_records(spark, sf):
+    """Pages as nested records: a link, a list of records of which each has a line and an address, and a map."""
+    line = F.transform(F.split("html", "\n"), lambda l: F.struct(l.alias("text"), l.alias("Line_URL")))
+    href = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" HTTPS://a<b "), "url")).otherwise(F.concat(F.lit("javascript:"), "url"))
+    rows = table(spark, sf, "pages").select(
+        "page_id", F.struct(href.alias("image_url"), F.struct("html").alias("inner")).alias("link"), line.alias("lines"),
+        F.create_map(F.lit("page_url"), "url", F.lit("note"), F.concat(F.lit("`x`  "), "url")).alias("more"),
+    )
+    clean = text.sanitize_columns(rows)
+    joined = lambda c: F.md5(F.array_join(F.col(c), "\n", "").cast("binary"))
+    return clean.select(
+        "page_id", F.col("link.image_url").alias("image_url"), F.md5(F.col("link.inner.html").cast("binary")).alias("html"), joined("lines.text").alias("lines"),
+        joined("lines.Line_URL").alias("line_urls"), F.size("lines").cast("long").alias("n_lines"), F.col("more")["page_url"].alias("page_url"), F.col("more")["note"].alias("note"),
+    )
+
+
+def input_hash(spark, sf):
+    rows = table(spark, sf, "documents")
+    return rows.select("doc_id", text.input_hash(F.col("source"), F.col("text"), F.col("n_chars") / F.lit(4.0), "p1", "t1").alias("input_hash"))
+
+
 def redact(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "text", text.redact(F.col("text")).alias("clean"))
     return rows.select("doc_id", (F.col("text") != F.col("clean")).alias("changed"), F.length("clean").cast("long").alias("length"))
@@ -405,6 +435,12 @@ QUERIES = {
         sanitize,
         r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '[<>"''`]', ' ', 'g'), '[\x00-\x1F\x7F]', ' ', 'g'), '\s{2,}', ' ', 'g'))) AS digest, CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE '' END AS url FROM pages""",
     ),
+    "sanitize_records": (sanitize_records, _RECORDS),
+    "input_hash": (
+        input_hash,
+        f"""SELECT doc_id, sha256('{{"body":' || CAST(to_json(lower({_SQUEEZED})) AS VARCHAR) || ',"price":' || coalesce(CAST(to_json(CAST(n_chars / 4.0 AS DOUBLE)) AS VARCHAR), 'null')
+            || ',"prompt_version":"p1","taxonomy_version":"t1","title":' || CAST(to_json(lower(coalesce(trim(regexp_replace(source, '\\s+', ' ', 'g')), ''))) AS VARCHAR) || '}}') AS input_hash FROM documents""",
+    ),
     "redact": (
         redact,
         r"""WITH r AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{6,}:[A-Za-z0-9_-]{20,}\b', '***', 'g'), 'sk-[A-Za-z0-9-]{16,}', '***', 'g'), '(?i)(token|api[_-]?key|password)\s*[=:]\s*\S+', '***', 'g'), '(?i)bearer\s+[A-Za-z0-9._\-]+', '***', 'g') AS clean FROM documents) SELECT doc_id, text <> clean AS changed, length(clean) AS length FROM r""",

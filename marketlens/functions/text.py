@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from marketlens import catalog
 
@@ -126,19 +127,33 @@ def sanitize_url(text: Column) -> Column:
     return F.when(clean.rlike("(?i)^https?://"), clean).otherwise(F.lit(""))
 
 
-def sanitize_columns(df: DataFrame) -> DataFrame:
-    """Cleans every text column and list of texts; columns named after addresses keep only web addresses."""
-    out = []
-    for name, kind in df.dtypes:
+def sanitize_value(value: Column, kind: DataType, name: str = "") -> Column:
+    """Cleans every text inside a value of type ``kind``, however deep it lies, in one expression.
+
+    A text named after an address (field or map key) keeps only web addresses; items of a list
+    have no name. Field names, map keys, nulls and values of other types stay as they are.
+    """
+    if isinstance(kind, StringType):
         clean = sanitize_url if "url" in name.lower() else sanitize_text
-        c = F.col(name)
-        if kind == "string":
-            out.append(F.when(c.isNotNull(), clean(c)).alias(name))
-        elif kind == "array<string>":
-            out.append(F.transform(c, sanitize_text).alias(name))
-        else:
-            out.append(c)
-    return df.select(*out)
+        return F.when(value.isNotNull(), clean(value))
+    if isinstance(kind, StructType):
+        fields = [sanitize_value(value.getField(f.name), f.dataType, f.name).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda item: sanitize_value(item, kind.elementType))
+    if isinstance(kind, MapType):
+        plain = lambda v: sanitize_value(v, kind.valueType)
+        if not (isinstance(kind.keyType, StringType) and isinstance(kind.valueType, StringType)):
+            return F.transform_values(value, lambda _, v: plain(v))
+        named = lambda k, v: F.when(F.lower(k).contains("url"), sanitize_value(v, kind.valueType, "url")).otherwise(plain(v))
+        return F.transform_values(value, named)
+    return value
+
+
+def sanitize_columns(df: DataFrame) -> DataFrame:
+    """Every column through :func:`sanitize_value`: nested records, lists of records and maps too."""
+    column = lambda name: df["`" + name.replace("`", "``") + "`"]
+    return df.select(*[sanitize_value(column(f.name), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
 
 
 def redact(text: Column, secrets: Iterable[str] = catalog.SECRETS) -> Column:

@@ -1,3 +1,6 @@
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +72,36 @@ def test_sanitize_columns(spark):
     assert tuple(text.sanitize_columns(df).first()) == ("b", "", ["a b"], 3, None)
 
 
+def test_sanitize_nested_records(spark):
+    kind = (
+        "id int, `a.b` string, rec struct<url: string, inner: struct<t: string, n: int>, none: struct<t: string>>, list array<struct<t: string, image_url: string>>,"
+        " deep array<array<string>>, urls array<string>, named map<string, string>, recs map<string, struct<t: string>>, counts map<int, int>"
+    )
+    row = (
+        1, "<x>", ("ftp://x", ("a'b", 2), None), [("`c", "HTTP://ok <"), None, (None, "no")], [["d>"], None, [None]], ["<ftp"],
+        {"Page_URL": "data:x", "t": "e\x01f"}, {"my_url": ("<g",)}, {1: 2},
+    )
+    got = text.sanitize_columns(spark.createDataFrame([row, (2,) + (None,) * 8], kind))
+    plain = lambda t: t.simpleString()
+    assert [plain(f.dataType) for f in got.schema] == [plain(f.dataType) for f in spark.createDataFrame([], kind).schema]
+    first, empty = (r.asDict(recursive=True) for r in got.orderBy("id").collect())
+    assert first == {
+        "id": 1, "a.b": "x", "rec": {"url": "", "inner": {"t": "a b", "n": 2}, "none": None}, "list": [{"t": "c", "image_url": "HTTP://ok"}, None, {"t": None, "image_url": ""}],
+        "deep": [["d"], None, [None]], "urls": ["ftp"], "named": {"Page_URL": "", "t": "e f"}, "recs": {"my_url": {"t": "g"}}, "counts": {1: 2},
+    }
+    assert empty == {name: 2 if name == "id" else None for name in got.columns}
+
+
+def test_input_hash_is_that_of_sorted_compact_json(one):
+    def wanted(title, body, price):
+        data = {"title": title, "body": body, "price": price, "prompt_version": "p", "taxonomy_version": "t"}
+        return hashlib.sha256(json.dumps(data, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+    made = lambda **v: one(lambda n, b, p: text.input_hash(n, b, p, "p", "t"), **v)
+    assert made(n=" Xbox  ONE ", b='Come\n"nuova" \\ è', p=120.5) == wanted("xbox one", 'come "nuova" \\ è', 120.5)
+    assert made(n=None, b=None, p=80.0) == wanted("", "", 80.0)
+
+
 def test_tokens_and_jaccard(one):
     assert sorted(one(text.tokens, t="Console Xbox One 500GB con Kinect, one!")) == ["500gb", "kinect", "one"]
     assert one(lambda a, b: text.jaccard(F.split(a, " "), F.split(b, " ")), a="x y z", b="y z w") == 0.5
