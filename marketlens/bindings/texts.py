@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlens.bindings.roles import table
-from marketlens.catalog import CONSOLE_PATTERNS, Entry, ModelRule, TitleRules
+from marketlens.catalog import CONSOLE_PATTERNS, STOP_TOKENS, Entry, ModelRule, TitleRules
 from marketlens.functions import money, text, titles, urls
 from marketlens.operators import filters, joins
 from marketlens.plans import cascade, classify
@@ -124,16 +124,50 @@ def search_attributes(spark, sf):
     return classify.search_attributes(_parts(spark, sf), "name", PART_RULES).select("id", "edition_name", "color", "has_kinect")
 
 
-def rules_and_anchor_pass(spark, sf):
+def _ruled(spark, sf):
     rows = table(spark, sf, "part")
     ads = rows.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lower("p_type").alias("body_text"), F.lit(None).cast("string").alias("console_family"))
     anchors = rows.where(F.col("p_size") > 40).select(
         F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"), F.lit("red").alias("console_family"), F.col("p_brand").alias("canonical_model")
     )
-    out, _ = classify.rules_and_anchor_pass(ads, anchors, PART_RULES)
+    return classify.rules_and_anchor_pass(ads, anchors, PART_RULES)
+
+
+def rules_and_anchor_pass(spark, sf):
+    out, _ = _ruled(spark, sf)
     return out.groupBy("console_family", "canonical_model", "classify_method").agg(F.count("*").alias("rows"), F.max("classify_confidence").alias("confidence"))
 
 
+def rules_open_rows(spark, sf):
+    """Rows that rules and anchors leave to a model."""
+    _, left = _ruled(spark, sf)
+    return left.select("id", "console_family", "model_segment", "classify_confidence")
+
+
+def rule_results(spark, sf):
+    """The rule pass written back to the listings it was made for, with its version; all others keep what they had."""
+    before = {c: F.lit("before") for c in ("console_family", "model_segment", "edition_class", "canonical_model", "classify_method", "classify_version")}
+    state = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size").withColumns(before).withColumn("classify_confidence", F.lit(0.1))
+    out, _ = _ruled(spark, sf)
+    wanted = out.join(state.where(F.col("p_size") > 10).select("id"), "id", "left_semi")
+    return cascade.apply_rule_results(state, wanted, "rules:v3").drop("p_size")
+
+
+_STOPPED = ", ".join(f"'{w}'" for w in STOP_TOKENS)
+_RULED = _MODEL_SQL.replace("p_name AS name", "p_name || ' ' || lower(p_type) AS name").lstrip() + f""",
+word_sets AS (
+  SELECT p_partkey AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(p_name, '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOPPED})))) AS t,
+         list_sort(list_distinct(list_filter(regexp_split_to_array(p_name || ' ' || lower(p_type), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOPPED})))) AS anchor, p_size, p_brand FROM part),
+anchor_sets AS (SELECT anchor, min(id) AS aid, arg_min(p_brand, id) AS model FROM word_sets WHERE p_size > 40 GROUP BY 1),
+asked AS (SELECT DISTINCT t FROM word_sets JOIN full_class USING (id) WHERE family = 'red' AND segment = 'base' AND edition = 'standard'),
+weighed AS (SELECT t, aid, model, len(list_intersect(t, anchor)) / len(list_distinct(list_concat(t, anchor)))::DOUBLE AS score FROM asked, anchor_sets),
+closest AS (SELECT t, arg_max(model, (score, -aid)) AS model, round_even(max(score), 3) AS score FROM weighed GROUP BY 1 HAVING round_even(max(score), 3) >= 0.45),
+passed AS (
+  SELECT c.id, family, segment, edition, coalesce(m.model, cid, 'unknown') AS canonical, CASE WHEN m.model IS NULL THEN 'rules:parts' ELSE 'cex-match:v1' END AS method,
+         least(1.0::DOUBLE, greatest(CASE segment WHEN 'unknown' THEN 0.35 WHEN 'premium' THEN 0.88 ELSE 0.9 END::DOUBLE, coalesce(0.65::DOUBLE + m.score * 0.3::DOUBLE, 0))) AS confidence
+  FROM full_class c JOIN word_sets w USING (id) LEFT JOIN closest m ON m.t = w.t AND family = 'red' AND segment = 'base' AND edition = 'standard')"""
+
+
 def console_titles(spark, sf):
     """The console rules over every text there is: documents, conversations and part names."""
     docs = table(spark, sf, "documents").select(F.col("text").alias("name"))
@@ -423,7 +457,22 @@ QUERIES = {
         search_attributes,
         f"WITH {_FAMILY_SQL} SELECT id, CASE WHEN {_pos('plate')} > 0 THEN 'Plate' WHEN {_pos('gear')} > 0 THEN 'Gear' ELSE 'Standard' END AS edition_name, CASE WHEN {_pos('hot')} > 0 THEN 'Hot' WHEN {_pos('cold')} > 0 THEN 'Cold' WHEN {_pos('old')} > 0 THEN 'Old' ELSE '' END AS color, CAST(NULL AS INT) AS has_kinect FROM parts",
     ),
-    "rules_and_anchor_pass": (rules_and_anchor_pass, None),
+    "rules_and_anchor_pass": (
+        rules_and_anchor_pass, f"WITH {_RULED} SELECT family AS console_family, canonical AS canonical_model, method AS classify_method, count(*) AS rows, max(confidence) AS confidence FROM passed GROUP BY 1, 2, 3"
+    ),
+    "rules_open_rows": (
+        rules_open_rows,
+        f"WITH {_RULED} SELECT id, family AS console_family, segment AS model_segment, confidence AS classify_confidence FROM passed WHERE family = 'other' OR segment = 'unknown' OR confidence < 0.6",
+    ),
+    "rule_results": (
+        rule_results,
+        "WITH " + _RULED + " SELECT p.p_partkey AS id, " + ", ".join(
+            f"CASE WHEN p_size > 10 THEN {new} ELSE {old} END AS {name}" for new, old, name in (
+                ("family", "'before'", "console_family"), ("segment", "'before'", "model_segment"), ("edition", "'before'", "edition_class"), ("canonical", "'before'", "canonical_model"),
+                ("method", "'before'", "classify_method"), ("'rules:v3'", "'before'", "classify_version"), ("confidence", "0.1::DOUBLE", "classify_confidence"),
+            )
+        ) + " FROM part p JOIN passed ON passed.id = p.p_partkey",
+    ),
     "console_titles": (console_titles, None),
     "text_hash": (text_hash, f"SELECT doc_id, sha1(lower(trim(source)) || chr(10) || lower({_SQUEEZED})) AS text_hash FROM documents"),
     "tokens": (tokens, f"WITH {_TOKENS} SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS digest FROM tok"),
