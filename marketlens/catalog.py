@@ -361,6 +361,12 @@ LOG_FATAL = (
 LOG_ISSUE = (
     r"\[error\]|\[warning\]|\berrore\b|\bwarn(ing)?\b|\bfailed\b|429|too many requests|timeout|attenzione"
 )
+# A word of every alternative above, in lower case: a line without any of them cannot fit.
+LOG_FATAL_WORDS = (
+    "traceback (most recent call last)", "exit code ", "another job is already running", "unhandledexception", "fatal", "critical",
+    "killed", "oom", "segmentation fault", "modulenotfounderror",
+)
+LOG_ISSUE_WORDS = ("[error]", "[warning]", "errore", "warn", "failed", "429", "too many requests", "timeout", "attenzione")
 LOG_RUN_FAILED = r"##\[error\]|exit code [1-9]|\bfailed\b|\berror:\b"
 LOG_STARTED = r"job\s+\S+\s+started at\s+(\S+)"
 LOG_SEGMENT = r"\] job |\[backup\] start"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -357,14 +358,21 @@ def job_log_status(lines: DataFrame, jobs: DataFrame, line_no: str = "line_no")
     error_re, problem_re, ok_re (null when absent). Order: job error, crash, problem, stale,
     confirmed, unconfirmed, transient issue, ok.
     """
-    def hit(pattern) -> Column:
-        return F.col("line").rlike(pattern)
+    def hit(pattern: str, words: Sequence[str]) -> Column:
+        # Few lines hold a word of the pattern, and only those are looked at a second time.
+        holds = [F.contains(F.lower("line"), F.lit(w)) for w in words]
+        return reduce(Column.__or__, holds) & F.col("line").rlike("(?i)" + pattern)
 
-    own = lambda c: F.when(F.col(c).isNotNull(), F.regexp_like("line", F.concat(F.lit("(?i)"), F.col(c))))
+    def own(pattern: str) -> Column:
+        return F.when(F.col(pattern).isNotNull(), F.regexp_like("line", F.concat(F.lit("(?i)"), F.col(pattern))))
+
+    # What cannot decide a job's status is not looked for.
+    old = F.coalesce(F.col("age_h") > F.col("cadence_h") * 2, F.lit(False))
     # A crash or stop marker lies within one line, so lines are tested one by one.
     marked = lines.join(jobs, "job").select(
-        "job", line_no, F.trim("line").alias("_t"), own("error_re").alias("_error"), hit("(?i)" + catalog.LOG_FATAL).alias("_fatal"),
-        own("problem_re").alias("_problem"), own("ok_re").alias("_ok"), hit("(?i)" + catalog.LOG_ISSUE).alias("_issue"),
+        "job", line_no, F.trim("line").alias("_t"), own("error_re").alias("_error"), hit(catalog.LOG_FATAL, catalog.LOG_FATAL_WORDS).alias("_fatal"),
+        own("problem_re").alias("_problem"), F.when(~old, own("ok_re")).alias("_ok"),
+        F.when(~old & F.col("ok_re").isNull(), hit(catalog.LOG_ISSUE, catalog.LOG_ISSUE_WORDS)).alias("_issue"),
     )
 
     def first_line(test: str) -> Column:

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marketlens.functions.text import jaccard, tokens
 from marketlens.operators.ordering import nearest_known, null_safe_join
 
+#: Word sets that may meet at one word in one task, on either side.
+CELL = 20_000
+
 
 def load_anchors(products: DataFrame, source: str = "cex") -> DataFrame:
     return products.where(
@@ -24,8 +27,10 @@ def best_anchor(
     """Adds ``match_model`` and ``match_score`` of the most similar anchor of the same family.
 
     Equal titles are matched once. Two word sets can only reach the threshold when the rare
-    ends of both share a word, so only those pairs are compared; the result is that of
-    comparing everything. The first anchor (lowest id) wins a tie.
+    ends of both share a word early enough, so only those pairs are compared; the result is that
+    of comparing everything. A word in many sets is split into cells of about ``CELL`` sets a
+    side (:func:`_in_cells`). The first anchor (lowest id) wins a tie; titles without words, and
+    those of a family without anchors, get nulls.
     """
     words = (lambda c: F.sort_array(tokens(c))) if stop is None else (lambda c: F.sort_array(tokens(c, stop)))
     keyed = titles.withColumn("_set", words(F.col(name)))
@@ -47,12 +52,15 @@ def best_anchor(
             F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_w").alias("w")))).alias("_o")
         )
         length = F.size("_o") - F.ceil(F.size("_o") * floor) + 1
-        return ordered.select("_fam", col, F.explode(F.transform(F.slice("_o", 1, length.cast("int")), lambda s: s["w"])).alias("_w"))
+        return ordered.select("_fam", col, F.posexplode(F.transform(F.slice("_o", 1, length.cast("int")), lambda s: s["w"])).alias(f"{col}_at", "_w"))
 
+    asked, known = _in_cells(rare_end(wanted, "_set"), "_set", rare_end(offered.select("_fam", "_aset"), "_aset"), "_aset")
+    # At the first word two sets share, no more words can follow than the shorter rest holds.
+    reach = F.least(F.size("_set") - F.col("_set_at"), F.size("_aset") - F.col("_aset_at"))
+    needed = (F.size("_set") + F.size("_aset")) * (floor / (1 + floor)) - 1e-9
     pairs = (
-        rare_end(wanted, "_set")
-        .join(rare_end(offered.select("_fam", "_aset"), "_aset"), ["_fam", "_w"])
-        .where((F.size("_aset") >= F.size("_set") * floor) & (F.size("_set") >= F.size("_aset") * floor))
+        asked.join(known, ["_fam", "_w", "_i", "_j"])
+        .where((F.size("_aset") >= F.size("_set") * floor) & (F.size("_set") >= F.size("_aset") * floor) & (reach >= needed))
         .select("_fam", "_set", "_aset")
         .distinct()
     )
@@ -67,6 +75,27 @@ def best_anchor(
     return null_safe_join(keyed, best, [family, "_set"], "left").drop("_set")
 
 
+def _in_cells(left: DataFrame, lset: str, right: DataFrame, rset: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with cell numbers ``_i``, ``_j``, for a join on ``_fam``, ``_w`` and the two.
+
+    Sets at a word are dealt to cells of about ``CELL`` by their hash; each goes to all cells of the
+    other side, so every pair still meets once. Words with fewer sets are one cell.
+    """
+    at = ["_fam", "_w"]
+    held = left.groupBy(*at).agg(F.count("*").alias("_l")).join(right.groupBy(*at).agg(F.count("*").alias("_r")), at)
+    hot = held.where((F.col("_l") > CELL) | (F.col("_r") > CELL)).select(
+        *at, F.ceil(F.col("_l") / CELL).alias("_nl"), F.ceil(F.col("_r") / CELL).alias("_nr")
+    )
+
+    def dealt(rows: DataFrame, col: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        known = null_safe_join(rows, hot, at, "left")
+        mine = F.pmod(F.xxhash64(col), F.coalesce(own_n, F.lit(1)))
+        theirs = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other_n, F.lit(1)) - 1))
+        return known.withColumn(own, mine).withColumn(other, theirs).drop("_nl", "_nr")
+
+    return dealt(left, lset, "_i", "_nl", "_j", "_nr"), dealt(right, rset, "_j", "_nr", "_i", "_nl")
+
+
 def nearest_price(legacy: DataFrame, variants: DataFrame, group: str, price: str) -> DataFrame:
     """``keep_id``: the variant of the same group whose price is closest, lowest id on a tie.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marketlens import catalog
 from marketlens.functions.scores import lookup
 from marketlens.functions.urls import simple_url
-from marketlens.operators.ordering import null_safe_join, number_rows, previous_row
+from marketlens.operators.ordering import null_safe_join, number_rows, order_statistics, previous_row
 
 
 # --- numbering ----------------------------------------------------------------------------
@@ -189,10 +189,21 @@ def verification_order() -> list[Column]:
 
 
 def sample_share(rows: DataFrame, ratio: float, seed: int, key: str = "id") -> DataFrame:
-    """``floor(n * ratio)`` rows in a repeatable pseudo-random order."""
-    wanted = rows.agg(F.floor(F.count("*") * F.lit(ratio))).scalar()
-    numbered = number_rows(rows.withColumn("_r", F.xxhash64(F.col(key), F.lit(seed))), [F.col("_r"), F.col(key)], out="_no")
-    return numbered.where(F.col("_no") <= wanted).drop("_r", "_no")
+    """``floor(n * ratio)`` rows in a repeatable pseudo-random order.
+
+    The upper half of the hash at the wanted rank is found by counting, so rows below it are
+    taken by a filter where they are; only those at that very value are numbered.
+    """
+    wanted = F.floor(F.col("_n") * F.lit(ratio))
+    marked = rows.withColumn("_r", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_half", F.shiftright("_r", 32))
+    rank = F.greatest(wanted, F.lit(1))
+    border = order_statistics(marked.select("_half"), [], "_half", [(ratio, rank, rank)]).select(
+        F.col("_at")[0]["low"].cast("long").alias("half"), (wanted - F.col("_at")[0]["low_below"]).alias("left")
+    )
+    at, left = border.select("half").scalar(), border.select("left").scalar()
+    below = marked.where(F.col("_half") < at).drop("_r", "_half")
+    edge = number_rows(marked.where(F.col("_half") == at), [F.col("_r"), F.col(key)], out="_no")
+    return below.unionByName(edge.where(F.col("_no") <= left).drop("_r", "_half", "_no"))
 
 
 def random_probe(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -141,26 +141,27 @@ def extract_cards(pages: DataFrame, spec: CardSpec, key: str = "page_id", html:
 
     With line fields there is also ``lines``, an array of structs.
     """
-    kind = dict(pages.dtypes)[key]
-    schema = f"{key} {kind}, card_no long, " + ", ".join(f"`{f}` string" for f in spec.fields)
-    names = [*spec.fields]
+    card = [f"`{f}`:string" for f in spec.fields]
     if spec.line:
-        schema += ", lines array<struct<" + ",".join(f"`{f}`:string" for f in spec.line_fields) + ">>"
-        names.append("lines")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page, text in zip(batch[key], batch[html]):
-                reader = _CardReader(spec)
-                reader.feed(text or "")
-                reader.close()
-                for i, card in enumerate(reader.cards):
-                    card["lines"] = [{f: line.get(f) for f in spec.line_fields} for line in card["lines"]]
-                    rows.append((page, i, *[card.get(f) for f in names]))
-            yield pd.DataFrame(rows, columns=[key, "card_no", *names])
-
-    return pages.select(key, html).mapInPandas(read, schema)
+        card.append("lines:array<struct<" + ",".join(f"`{f}`:string" for f in spec.line_fields) + ">>")
+
+    @F.pandas_udf(f"array<struct<{','.join(card)}>>")
+    def read(html: pd.Series) -> pd.Series:
+        def cards(text: str | None) -> list[dict]:
+            reader = _CardReader(spec)
+            reader.feed(text or "")
+            reader.close()
+            plain = [{f: c.get(f) for f in spec.fields} for c in reader.cards]
+            if spec.line:
+                for out, c in zip(plain, reader.cards):
+                    out["lines"] = [{f: line.get(f) for f in spec.line_fields} for line in c["lines"]]
+            return plain
+
+        return html.map(cards, na_action=None)
+
+    # Keys stay outside Python.
+    found = pages.select(key, F.posexplode(read(html)).alias("card_no", "_card"))
+    return found.select(key, F.col("card_no").cast("long").alias("card_no"), "_card.*")
 
 
 def cards_to_offers(cards: DataFrame, source: str, *, condition: Column, available: Column, sku: Column, price: str = "price_text") -> DataFrame:

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.operators import ordering, similarity
+from marketlens.operators import ordering, similarity, windows
 from marketlens.plans.statistics import kmeans_1d
 
 
@@ -176,18 +176,8 @@ def test_nearest_known_of_one_group_over_many_tasks(spark):
         assert high == following[key]
 
 
-def test_best_anchor_equals_comparing_everything(spark):
-    rng = random.Random(11)
-    words = [f"w{i:02d}" for i in range(14)]
-    name = lambda: " ".join(rng.sample(words, rng.randint(1, 6)))
-    titles = [(i, name(), rng.choice("ab")) for i in range(150)]
-    anchors = [(i, name(), rng.choice("ab"), f"m{i}") for i in range(60)]
-    got = {
-        r["id"]: (r["match_model"], r["match_score"])
-        for r in similarity.best_anchor(
-            spark.createDataFrame(titles, "id long, name string, console_family string"), spark.createDataFrame(anchors, "id long, name string, console_family string, canonical_model string")
-        ).collect()
-    }
+def _best_of_all(titles, anchors):
+    out = {}
     for i, title, fam in titles:
         best, score = None, 0.0
         for _, other, family, model in anchors:
@@ -197,8 +187,62 @@ def test_best_anchor_equals_comparing_everything(spark):
             s = len(a & b) / len(a | b)
             if s > score:
                 best, score = model, s
-        want = (best, round(score, 3)) if round(score, 3) >= 0.45 else (None, None)
-        assert got[i] == want
+        out[i] = (best, round(score, 3)) if round(score, 3) >= 0.45 else (None, None)
+    return out
+
+
+def _best_anchor(spark, titles, anchors):
+    asked = spark.createDataFrame(titles, "id long, name string, console_family string")
+    known = spark.createDataFrame(anchors, "id long, name string, console_family string, canonical_model string")
+    return {r["id"]: (r["match_model"], r["match_score"]) for r in similarity.best_anchor(asked, known).collect()}
+
+
+@pytest.mark.parametrize("cell", [20_000, 7])
+def test_best_anchor_equals_comparing_everything(spark, monkeypatch, cell):
+    monkeypatch.setattr(similarity, "CELL", cell)
+    rng = random.Random(11)
+    words = [f"w{i:02d}" for i in range(14)]
+    name = lambda: " ".join(rng.sample(words, rng.randint(1, 6)))
+    titles = [(i, name(), rng.choice("ab")) for i in range(150)]
+    anchors = [(i, name(), rng.choice("ab"), f"m{i}") for i in range(60)]
+    assert _best_anchor(spark, titles, anchors) == _best_of_all(titles, anchors)
+
+
+def test_a_word_in_a_third_of_all_titles_is_split(spark, monkeypatch):
+    """Titles at one word are dealt to many tasks, every pair of the word meets once, and the result stays."""
+    monkeypatch.setattr(similarity, "CELL", 20)
+    rng = random.Random(3)
+    words = [f"w{i:03d}" for i in range(200)]
+    # Rare among the anchors, so it stands at the rare end of a third of the titles.
+    titles = [(i, " ".join((["zhot"] if i % 3 == 0 else []) + rng.sample(words, 3)), "a") for i in range(900)]
+    anchors = [(i, " ".join((["zhot"] if i < 2 else []) + rng.sample(words, 3)), "a", f"m{i}") for i in range(120)]
+    assert _best_anchor(spark, titles, anchors) == _best_of_all(titles, anchors)
+    side = lambda n, c: spark.range(n).select(F.lit("a").alias("_fam"), F.lit("zhot").alias("_w"), F.array(F.col("id").cast("string")).alias(c))
+    left, right = similarity._in_cells(side(600, "_set"), "_set", side(90, "_aset"), "_aset")
+    for rows in (left, right):
+        assert rows.groupBy("_i", "_j").count().agg(F.max("count")).first()[0] <= 2 * 20
+    met = left.join(right, ["_fam", "_w", "_i", "_j"])
+    assert met.count() == met.distinct().count() == 600 * 90
+
+
+def test_best_anchor_edges(spark):
+    """Empty names, null names and families, no anchors at all: nulls, and every row stays."""
+    titles = [(1, "", "a"), (2, None, "a"), (3, "w01 w02", None), (4, "w01 w02", "none"), (5, "w01 w02", "a")]
+    got = _best_anchor(spark, titles, [(1, "w01 w02", "a", "m1"), (2, None, "a", "m2")])
+    assert got == {1: (None, None), 2: (None, None), 3: (None, None), 4: (None, None), 5: ("m1", 1.0)}
+    assert set(_best_anchor(spark, titles, []).values()) == {(None, None)}
+
+
+@pytest.mark.parametrize("ratio", [0.0, 0.1, 0.3, 1.0])
+def test_share_of_rows_is_the_first_in_hash_order(spark, ratio):
+    """Repeated ids and ids of one hash half are told apart; the rest of a row stays with it."""
+    df = spark.range(3000).select((F.col("id") % 1000).alias("id"), F.concat(F.lit("x"), F.col("id")).alias("name")).unionByName(
+        spark.range(1000).select(F.lit(7).cast("long").alias("id"), F.lit("hot").alias("name"))
+    )
+    got = [r["id"] for r in windows.sample_share(df, ratio, 5).collect()]
+    order = [r["id"] for r in df.orderBy(F.xxhash64("id", F.lit(5)), "id").select("id").collect()]
+    assert sorted(got) == sorted(order[: int(4000 * ratio)])
+    assert windows.sample_share(df.limit(0), ratio, 5).isEmpty()
 
 
 def _bands(values, k=3):

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from marketlens import catalog
 from marketlens.operators import aggregates, filters, joins, windows
 from marketlens.plans import alerts, cascade, jobs, statistics, valuation, verify
 
@@ -179,6 +180,24 @@ def test_log_status(spark):
     assert got == {"good": "ok", "bad": "error", "quiet": "warn", "none": "unknown"}
 
 
+def test_log_words_cover_their_patterns():
+    """Every alternative of a log pattern holds one of the words that are looked for first."""
+    for pattern, words in ((catalog.LOG_FATAL, catalog.LOG_FATAL_WORDS), (catalog.LOG_ISSUE, catalog.LOG_ISSUE_WORDS)):
+        for alternative in pattern.replace("(ing)?", "").split("|"):
+            plain = alternative.replace(r"\b", "").replace("\\", "")
+            assert any(w in plain for w in words), alternative
+
+
+def test_log_status_by_word_and_pattern(spark):
+    """Words alone are no hit, case does not matter, null and empty lines are none, old jobs stay stale."""
+    texts = {"room": "in the ROOM", "oom": "OOM now", "sub": "unfailed warned", "issue": "a FAILED b", "empty": "", "null": None, "old": "failed"}
+    lines = spark.createDataFrame([(k, 1, v) for k, v in texts.items()], "job string, line_no long, line string")
+    meta = spark.createDataFrame([(k, 10.0, 30.0 if k == "old" else None, None, None, None) for k in texts], "job string, cadence_h double, age_h double, error_re string, problem_re string, ok_re string")
+    got = {r["job"]: (r["status"], r["summary"]) for r in aggregates.job_log_status(lines, meta).collect()}
+    assert got["room"][0] == got["sub"][0] == got["empty"][0] == "ok"
+    assert got["oom"] == ("error", "OOM now") and got["issue"] == ("warn", "a FAILED b") and got["old"] == ("stale", "stale")
+
+
 def test_cutoff_day_counts(spark):
     df = spark.createDataFrame([("2024-01-10 00:00:01",), ("2024-01-09 23:59:59",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
     assert filters.recent(df, "t", F.lit("2024-01-15 12:00:00").cast("timestamp"), 5).count() == 1

@@ -92,6 +92,15 @@ def test_other_layouts(spark):
     assert spark.createDataFrame([(row["url"],)], "u string").select(condition_from_url(F.col("u"))).first()[0] == "Usato"
 
 
+def test_card_keys_stay_exact(spark):
+    """A large id beside a null one, pages without cards, null and empty pages, repeated rows."""
+    html = '<div class="ry-card"><a href="/x"><p class="title">A</p></a></div>'
+    rows = [((1 << 60) + 1, html), (None, html), (5, None), (6, ""), (7, "<p>none</p>"), (8, html), (8, html)]
+    got = pages.extract_cards(spark.createDataFrame(rows, "page_id long, html string").coalesce(1), pages.REBUY).collect()
+    assert sorted(((r["page_id"] or 0, r["card_no"], r["name"], r["url"]) for r in got)) == [(k, 0, "A", "/x") for k in (0, 8, 8, (1 << 60) + 1)]
+    assert pages.extract_cards(spark.createDataFrame([], "page_id long, html string"), pages.GAMELIFE).isEmpty()
+
+
 def test_text_cards(spark):
     html = """<div class="ry-card product--unavailable"><a href="/i,123/xbox"><img src="p.png"><span class="title">Xbox One S 1TB</span></a><p>Molto buono</p><b>da 129,99 €</b></div>"""
     row = pages.extract_cards(spark.createDataFrame([(1, html)], "page_id long, html string"), pages.REBUY).first()
