@@ -382,7 +382,8 @@ def process_snapshot(
 
     Offers are cleaned and applied, every name is classified, the special sources are put in
     order, and products missing from the newest scrape of the sources seen leave with their
-    history. Result: products, change log, counters.
+    history. Result: products, change log, counters; those of the offers and ``removed_stale``, the
+    products that left.
     """
     offers = settle(clean_offers(raw))
     state, fresh, counters = apply_offers(products, offers, as_of)
@@ -391,8 +392,10 @@ def process_snapshot(
     marked, moved = normalize_marker_source(state)
     marked, log = settle(marked), settle(windows.repoint(log, moved, "product_id"))
     variants, log = normalize_variant_source(marked, log)
-    kept, log = prune_stale(settle(variants), log, sources=offers.select("source").distinct())
-    return windows.display_ids(kept), log, counters
+    marked = settle(stale_rows(settle(variants), offers.select("source").distinct()))
+    kept = marked.where(~F.col("stale")).drop("stale")
+    counters = counters.withColumn("removed_stale", marked.agg(F.count_if("stale")).scalar())
+    return windows.display_ids(kept), joins.drop_orphans(log, kept, "product_id"), counters
 
 
 def refilter(ads: DataFrame, block: str, allow: str, floors: dict[str, float] = catalog.PRICE_FLOORS) -> DataFrame:

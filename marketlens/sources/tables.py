@@ -64,5 +64,14 @@ def export_reports(reports: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").json(f"{folder}/{name}")
 
 
+def report_sizes(spark: SparkSession, folder: str, reports: Sequence[str] = REPORTS) -> DataFrame:
+    """Rows of each written report. Reports are read as lines of text, so one without rows needs no columns."""
+    out = None
+    for name in reports:
+        one = spark.read.text(f"{folder}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("report"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def dimension(df: DataFrame, column: str) -> DataFrame:
     return df.select("id", column).orderBy(F.col(column))

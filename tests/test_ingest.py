@@ -167,7 +167,7 @@ def test_whole_snapshot(spark, empty):
     # The next snapshot of one source drops what it no longer lists, and nothing of the others.
     state, log, counters = ingest.process_snapshot(settle(state.drop("display_id", "rank_fits")), settle(log), raw(rows[:1]), ts(LATER))
     assert {r["name"] for r in state.collect()} == {"Xbox One S 1TB", "Xbox One X 1TB usata", "Xbox Series S console"}
-    assert log.count() == 3 and counters.first().asDict() == {"new": 0, "price_changes": 0, "avail_changes": 0, "unchanged": 1}
+    assert log.count() == 3 and counters.first().asDict() == {"new": 0, "price_changes": 0, "avail_changes": 0, "unchanged": 1, "removed_stale": 1}
 
 
 def test_display_ids(spark):

@@ -148,3 +148,46 @@ def test_versions(spark, tmp_path):
     assert tables.latest_version(spark, folder, "t") == 2 and tables.read_version(spark, folder, "t", 1).count() == 3
     with pytest.raises(ValueError):
         tables.export_reports({"nonsense": spark.range(1)}, folder)
+
+
+DOCUMENT = "file string, source string, url string, scraped_at string, total long, products array<struct<name:string,source:string,price:double>>"
+
+
+def _documents(spark, rows):
+    """Documents in the envelope's columns; products are given as (name, source, price)."""
+    df = spark.createDataFrame(rows, DOCUMENT)
+    kind = snapshots.ENVELOPE["products"].dataType.elementType
+    full = lambda p: F.struct(*[p[f.name].alias(f.name) if f.name in ("name", "source", "price") else F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])
+    return df.withColumn("products", F.transform("products", full))
+
+
+def test_documents_round_trip(spark, tmp_path):
+    """Null and empty products, accents, several partitions; writing again replaces, an empty table writes nothing."""
+    folder = str(tmp_path / "docs")
+    rows = [
+        ("a_2024-01.json", "a", "u", "t1", 2, [("Città \"x\"\n", None, 1.5), ("b", "s", None)]), ("a_2024-02.json", "a", None, "t2", 0, []),
+        ("b_2023-01.json", None, None, None, None, [("only", "", 2.0)]), ("c_2023-01.json", "c", "u", "t", 0, None),
+    ]
+    docs = _documents(spark, rows).repartition(3)
+    for _ in range(2):
+        snapshots.write_documents(docs, folder)
+    read = snapshots.read_snapshots(spark, folder)
+    assert sorted(r["file"] for r in read.collect()) == [r[0] for r in rows]
+    got = {(r["file"], r["pos"]): (r["name"], r["source"], r["price"]) for r in snapshots.explode_products(read).collect()}
+    assert got == {("a_2024-01.json", 0): rows[0][5][0], ("a_2024-01.json", 1): rows[0][5][1], ("b_2023-01.json", 0): rows[2][5][0]}
+    # The newest document with products; a source that a product does not name is the file's.
+    combined = {(r["file"], r["source"]) for r in snapshots.combined_latest(read).collect()}
+    assert combined == {("a_2024-01.json", "a"), ("a_2024-01.json", "s"), ("b_2023-01.json", "b")}
+    assert [r["name"] for r in snapshots.history(read, "a").collect()] == [rows[0][5][0][0], "b"]
+    snapshots.write_documents(docs.limit(0), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists() or not list((tmp_path / "none").iterdir())
+
+
+def test_report_sizes(spark, tmp_path):
+    """An empty report counts as none, names outside the export are refused."""
+    rows = spark.range(3)
+    tables.export_reports({"sources": rows, "db-products": rows.limit(0)}, str(tmp_path))
+    sizes = tables.report_sizes(spark, str(tmp_path), ("sources", "db-products"))
+    assert {r["report"]: r["rows"] for r in sizes.collect()} == {"sources": 3, "db-products": 0}
+    with pytest.raises(ValueError, match="unknown reports"):
+        tables.export_reports({"other": rows}, str(tmp_path))
