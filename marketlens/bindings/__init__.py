@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("values", "listings", "catalogue", "texts", "jobs", "streams", "files", "snapshots")
+_MODULES = ("values", "listings", "catalogue", "texts", "jobs", "streams", "files", "snapshots", "reviews")
 
 
 def registry() -> dict:
