@@ -433,7 +433,8 @@ STRIP_PREFIX = {
     "360": r"(?i)^(Microsoft\s+)?(Console\s+)?Xbox\s+(360\s*|250\s*GB\s*)",
     "original": r"(?i)^(Microsoft\s+)?(Console\s+)?Xbox\s*",
 }
-# Manual fixes by display id: (id, storage, colour, edition).
+
+# --- fixed values: manual fixes by display id (id, storage, colour, edition) ---------------
 OVERRIDES = (
     (1122, None, None, "Digital"), (1123, None, None, "Digital"), (1124, None, None, "Digital"),
     (1154, None, None, "Halo Infinite"), (1155, None, None, "Halo Infinite"),

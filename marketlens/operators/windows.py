@@ -70,6 +70,7 @@ def fold_rows(
     return merged, moved.where(F.col("old_id") != F.col("new_id")).select("old_id", "new_id")
 
 
+# --- fixed values: columns that the newest of merged products gives -------------------------
 PRODUCT_NEWEST = (
     "sku", "category_id", "storage_id", "console_family", "model_segment", "edition_class", "canonical_model",
     "classify_confidence", "classify_method", "standard_name", "standard_key", "packaging_state", "url", "image_url",
