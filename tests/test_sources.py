@@ -191,3 +191,23 @@ def test_report_sizes(spark, tmp_path):
     assert {r["report"]: r["rows"] for r in sizes.collect()} == {"sources": 3, "db-products": 0}
     with pytest.raises(ValueError, match="unknown reports"):
         tables.export_reports({"other": rows}, str(tmp_path))
+
+
+def test_reports_of_empty_tables(spark, tmp_path):
+    """Every report is there; those of single figures have their row, the others none."""
+    from marketlens.bindings import catalogue, roles
+    from marketlens.plans import reports
+
+    sf = "/root/testdata/sf0.001"
+    none = lambda df: df.limit(0)
+    rows, categories, sizes = (none(d) for d in catalogue._dims(spark, sf))
+    sales = none(roles.fact(spark, sf).withColumn("first_seen", F.col("ts")).withColumn("id", F.col("l_orderkey")))
+    built = reports.build(
+        products=rows, categories=categories, sizes=sizes, named=none(catalogue._named(spark, sf)), changes=none(roles.change_log(spark, sf)), ads=none(roles.ads(spark, sf)),
+        store_sales=sales, offers=none(roles.offers(spark, sf)), listings=none(roles.active_listings(spark, sf)), documents=none(_documents(spark, [("a_2024.json", "a", "u", "t", 0, [])])).withColumn("file_source", F.col("source")),
+        sources=spark.createDataFrame([], "id string, label string, color string, enabled boolean"), as_of=F.lit("2024-01-01").cast("timestamp"), listing_tie=("l_orderkey",), price="price",
+    )
+    assert set(built) == set(tables.REPORTS)
+    tables.export_reports(built, str(tmp_path))
+    found = {r["report"]: r["rows"] for r in tables.report_sizes(spark, str(tmp_path)).collect()}
+    assert found["subito-stats"] == 1 and {n for n, k in found.items() if k} <= {"subito-stats", "ebay-stats"}
