@@ -276,3 +276,24 @@ def test_kmeans(spark, in_task):
         want = _bands(values)
         assert [n for _, n in sorted(got[key])] == [n for _, n in want], key
         assert [c for c, _ in sorted(got[key])] == pytest.approx([c for c, _ in want])
+
+
+def test_kmeans_reads_only_blocks_on_a_border(spark, monkeypatch):
+    """Rounds over block sums give the bands of all prices, and read single prices of border blocks alone."""
+    from marketlens.plans import statistics
+
+    rng = random.Random(5)
+    data = {k: [round(rng.gauss(m, 300) ** 2 / 100 + 1, 4) for _ in range(600)] for k, m in (("a", 900), ("b", 300), (None, 50))}
+    rows = [(k, v) for k, vs in data.items() for v in vs]
+    tables, plain = {}, statistics.written
+    monkeypatch.setattr(statistics, "written", lambda df, name: tables.setdefault(name, []).append(plain(df, name)) or tables[name][-1])
+    monkeypatch.setattr(statistics, "BLOCK", 16)
+    got: dict = {}
+    for r in kmeans_1d(spark.createDataFrame(rows, "key string, price double"), "key", "price", in_task=5).collect():
+        got.setdefault(r["key"], []).append((r["centroid"], r["size"]))
+    for key, values in data.items():
+        want = _bands(values)
+        assert [n for _, n in sorted(got[key])] == [n for _, n in want], key
+        assert [c for c, _ in sorted(got[key])] == pytest.approx([c for c, _ in want])
+    blocks = tables["blocks"][0]
+    assert blocks.count() < len(rows) / 8 and blocks.agg({"_c": "sum"}).first()[0] == len(rows)
