@@ -16,14 +16,13 @@ import uuid
 import zlib
 from base64 import b32decode, b32encode
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from marketlens.session import shared_dir
+from marketlens.session import batches_of, shared_dir
 
 CHUNK = 1 << 16
 BATCH = 1 << 22  # bytes of chunks that a task holds at once
@@ -148,23 +147,11 @@ def write_archives(
     store, root = arrow_fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     files = chunked(with_references(pages, id_col, url_col, payload_col, least_bytes)).mapInArrow(_write(folder), "path string, records long")
-    with _batches_of(pages.sparkSession, BATCH):
+    with batches_of(pages.sparkSession, BATCH):
         written = files.toPandas()  # one row per file
     return pages.sparkSession.createDataFrame(written, "path string, records long")
 
 
-@contextmanager
-def _batches_of(spark: SparkSession, size: int) -> Iterator[None]:
-    """Batches for Python of at most ``size`` bytes and a row while jobs run inside; by default only rows are bounded."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(size))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 # ---- reading ----------------------------------------------------------------------------
 
 

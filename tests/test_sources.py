@@ -183,6 +183,23 @@ def test_documents_round_trip(spark, tmp_path):
     assert not (tmp_path / "none").exists() or not list((tmp_path / "none").iterdir())
 
 
+def test_documents_are_written_in_batches_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Long documents go to Python a few at a time, however many a task writes."""
+    held, plain = [], snapshots._writes
+
+    def counted(docs, folder):
+        out = plain(docs, folder).persist()
+        held.extend(r["written"] for r in out.collect())
+        return out
+
+    monkeypatch.setattr(snapshots, "_writes", counted)
+    monkeypatch.setattr(snapshots, "BATCH", 100_000)
+    rows = [(f"a_2024-{i:02d}.json", "a", "u", "t", 1, [("x" * 40_000, None, 1.0)]) for i in range(20)]
+    snapshots.write_documents(_documents(spark, rows).coalesce(1), str(tmp_path / "docs"))
+    assert sum(held) == 20 and max(held) <= 4
+    assert snapshots.read_snapshots(spark, str(tmp_path / "docs")).count() == 20
+
+
 def test_report_sizes(spark, tmp_path):
     """An empty report counts as none, names outside the export are refused."""
     rows = spark.range(3)
