@@ -28,21 +28,34 @@ def catalogue_lists(taxonomy: DataFrame, rules: TitleRules = CONSOLE_RULES) -> D
     )
 
 
-def best_row(rows: Column, title: Column, rules: TitleRules) -> Column:
-    """The catalogue row a title means: memory first, then special shell, digital, shell, canonical."""
-    memory = money.title_memory(title, rules.patterns, rules.unit_tb)
-    words = plain_words(title)
-    same = F.filter(rows, lambda r: r["gb"] == memory)
-    pool = F.when(F.size(same) > 0, same).otherwise(rows)
+def best_row(pool: Column, words: Column, digital: Column) -> Column:
+    """The catalogue row a title means: special shell, digital, shell, canonical.
 
+    ``pool`` are its rows of the title's memory, ``words`` the title in plain words. All three are
+    looked at once per catalogue row, so they should be columns, not expressions over the title.
+    """
     def first(test) -> Column:
         return F.get(F.filter(pool, test), 0)
 
     special = first(lambda r: (r["type"] == "Speciale") & titles.shell_in_title(r["shell"], r["words"], words))
-    digital = F.when(matches(title, rules.patterns["digital"]), first(lambda r: F.contains(r["shell"], F.lit("digital"))))
+    of_digital = F.when(digital, first(lambda r: F.contains(r["shell"], F.lit("digital"))))
     shelled = first(lambda r: (r["type"] == "Canonico") & titles.shell_in_title(r["shell"], r["words"], words))
     canonical = first(lambda r: r["type"] == "Canonico")
-    return F.coalesce(special, digital, shelled, canonical, F.get(pool, 0))
+    return F.coalesce(special, of_digital, shelled, canonical, F.get(pool, 0))
+
+
+def _with_best_row(joined: DataFrame, rules: TitleRules) -> DataFrame:
+    """Adds ``_row`` for titles ``_t`` with catalogue rows ``_rows``; each title is read once per pattern, not per catalogue row."""
+    listed = F.col("_rows").isNotNull()
+    read = joined.withColumns({
+        "_memory": F.when(listed, money.title_memory(F.col("_t"), rules.patterns, rules.unit_tb)),
+        "_words": F.when(listed, plain_words(F.col("_t"))),
+        "_digital": F.when(listed, matches(F.col("_t"), rules.patterns["digital"])),
+    })
+    # Rows of the title's memory, or all where there is none; a cut in the plan, or the columns above are put back into each use.
+    same = F.filter("_rows", lambda r: r["gb"] == F.col("_memory"))
+    pooled = read.withColumn("_same", same).withColumn("_pool", F.when(F.size("_same") > 0, F.col("_same")).otherwise(F.col("_rows")))
+    return pooled.withColumn("_row", F.when(listed, best_row(F.col("_pool"), F.col("_words"), F.col("_digital"))))
 
 
 def classify_titles(
@@ -58,8 +71,7 @@ def classify_titles(
     base = base.withColumn("_fam", F.when(F.col("_hf") != "other", F.col("_hf")).otherwise(titles.detect_family(F.col("_t"), rules)))
     base = base.withColumn("_mod", titles.model_of(F.col("_t"), F.col("_fam"), F.col("_hint"), rules))
     joined = base.join(catalogue_lists(taxonomy, rules), ["_fam", "_mod"], "left")
-    row = F.when(F.col("_rows").isNotNull(), best_row(F.col("_rows"), F.col("_t"), rules))
-    joined = joined.withColumn("_row", row)
+    joined = _with_best_row(joined, rules)
     found = F.col("_row").isNotNull()
     edition = F.when(found, F.when(F.col("_row.type") == "Speciale", "special").otherwise("standard")).otherwise(
         titles.edition_class(F.col("_t"), rules)

@@ -115,3 +115,11 @@ def test_parsed_view(spark):
     got = [r["combo_key"] for r in parsed_view(rows).select("name", "combo_key").orderBy("name").collect()]
     assert got == ["360|S|Gears Of War|true|250 GB|—|Imballata", "Serie|X|Halo|false|1 TB|Nuovo|Imballata"]
     assert parsed_view(rows).where(F.col("parsed_color") != "").count() == 0
+
+
+def test_titles_are_read_once_per_pattern(spark, capsys):
+    """The memory pattern and the plain words are columns of the plan, not repeated for each look at a catalogue row."""
+    classify.classify_titles(spark.createDataFrame([("Xbox One S 1TB",)], "name string"), "name").explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count(r"memory\s*unit") == 1
+    assert sum("[^a-z0-9]+" in line and "_t#" in line for line in plan.splitlines()) == 1
