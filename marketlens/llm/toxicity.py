@@ -28,6 +28,8 @@ _LETTERS, _SIZE = 26, 41
 _ENDS = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Subsequences span at most so many characters; longer strings are read in windows.
 SPAN, WINDOW, DECAY = 8, 32, 0.7
+#: Subsequences that are held at once.
+_PART = 1 << 18
 _FLOOR = -1.0
 
 
@@ -80,8 +82,10 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        for i in range(0, len(at), 4096):
-            part = at[i:i + 4096]
+        # Long strings have many subsequences each; a part has at most some _PART of them.
+        step = max(16, min(4096, _PART // max(1, len(_triples(int(n))[1]))))
+        for i in range(0, len(at), step):
+            part = at[i:i + step]
             yield part, [words[j] for j in part]
 
 
@@ -114,7 +118,14 @@ def explicit(words: list[str]) -> np.ndarray:
         triples, weights = _subsequences(part)
         for i, row in zip(at, triples):
             np.add.at(out[i], row, weights)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    return out
+
+
+def _weighted(table: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted sum of the rows of ``table`` in double precision, some columns at a time: the table is large."""
+    step = 1 << 14
+    return np.concatenate([table[:, i:i + step].T @ weights for i in range(0, table.shape[1], step)])
 
 
 def kernel(left: list[str], right: list[str]) -> np.ndarray:
@@ -225,7 +236,9 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 192, rounds: int
     toxic = list(dict.fromkeys(toxic + [v for w in toxic for v in _disguised(w, random)]))
     used = [clean[i] for i in random.permutation(len(clean))[:3000]]
     hard: list[str] = []
+    table = None
     for _ in range(rounds):
+        del table  # one table at a time
         marks = plain[: landmarks // 2]
         marks = marks + list(dict.fromkeys(hard[: landmarks // 4] + used))[: landmarks - len(marks)]
         table = explicit(marks)
@@ -238,7 +251,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 192, rounds: int
         y = np.r_[np.ones(len(toxic)), -np.ones(len(used))]
         weight = np.where(y > 0, cost * len(used) / max(1, len(toxic)) / 4, cost)
         w = _machine(np.hstack([x, np.ones((len(x), 1))]), y, weight)
-        model = Model((table.T @ (root @ w[:-1])).astype(float), float(w[-1]))
+        model = Model(_weighted(table, root @ w[:-1]), float(w[-1]))
         margin = model.margins(clean)
         hard = [clean[i] for i in np.argsort(-margin)[:800] if margin[i] > -0.8]
         used = list(dict.fromkeys(used + hard))

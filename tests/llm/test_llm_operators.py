@@ -546,3 +546,16 @@ def test_warc_files_are_read_by_a_task_each(spark):
         files += warc.write_archives(pages, warc.archive_folder(spark)).collect()
     found = warc.read_records(spark.createDataFrame(files), folder).select("page", F.spark_partition_id().alias("task"))
     assert len(files) >= 4 and found.select("task").distinct().count() == len(files) and found.count() == 40
+
+
+def test_long_strings_are_cut_into_parts_of_bounded_size():
+    """Strings with many subsequences go through the kernel in small parts, short ones in large parts; none is lost."""
+    from marketlens.llm import toxicity
+
+    words = ["".join(chr(97 + (i * 7 + k * k) % 26) for k in range(n)) for i in range(3000) for n in (4, 32)]
+    seen = []
+    for at, part in toxicity._by_length(words):
+        assert [words[i] for i in at] == part
+        assert len(part) * len(toxicity._triples(len(part[0]))[1]) <= 1 << 18
+        seen += at.tolist()
+    assert sorted(seen) == list(range(len(words)))
