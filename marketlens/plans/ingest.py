@@ -18,7 +18,7 @@ from marketlens.operators.filters import invalid_rows, is_console_name, rejected
 from marketlens.operators.ordering import null_safe_join, previous_row
 from marketlens.operators.similarity import nearest_price
 from marketlens.plans import classify
-from marketlens.session import settle
+from marketlens.session import settle, written
 
 
 @dataclass(frozen=True)
@@ -42,13 +42,14 @@ def _kind(price_changed: Column, avail_changed: Column) -> Column:
 
 
 def diff_offers(offers: DataFrame, state: DataFrame, keys: Sequence[str], order: str, price: str, available: str | None) -> DataFrame:
-    """Every offer with the values before it and its ``change_type``.
+    """Every offer's keys, order and values, the values before it and its ``change_type``.
 
     An offer is compared with the one before it in the batch, the first of a key with the
     stored state. Null against null is no change.
     """
     values = [price] + ([available] if available else [])
-    seq = previous_row(offers, keys, [order], values)
+    # The scan writes what it is given, so it gets no other columns.
+    seq = previous_row(offers.select(*keys, order, *values), keys, [order], values)
     stored = state.select(*keys, F.lit(True).alias("_stored"), *[F.col(v).alias(f"_old_{v}") for v in values])
     # One row per key on either side: only a key's first offer meets the stored row.
     first = null_safe_join(seq.where(~F.col("has_prev")), stored, keys, "left")
@@ -78,11 +79,20 @@ def fold_offers(offers: DataFrame, keys: Sequence[str], order: str, policy: Poli
     return folded.select("*", *opened).drop("_last", "_once")
 
 
-def merge_state(state: DataFrame, folded: DataFrame, keys: Sequence[str], policy: Policy, as_of: Column, top: Column | None = None) -> DataFrame:
-    """Stored rows with the batch applied, and new rows under fresh ids. ``touched`` marks rows in the batch.
+def fresh_ids(state: DataFrame, folded: DataFrame, keys: Sequence[str], top: Column | None = None) -> DataFrame:
+    """Keys of the batch that are not stored, with new ids in order of first sight after ``top``, by default the largest id of ``state``."""
+    # Only keys and first positions are sorted and numbered; the rest of a row joins its number.
+    unseen = null_safe_join(folded.select(*keys, "_first"), state.select(*keys), keys, "left_anti")
+    return joins.next_ids(unseen, state, [F.col("_first"), *[F.col(k) for k in keys]], top=top).select(*keys, "id")
 
-    Fresh ids follow ``top``, by default the largest id of ``state``.
-    """
+
+def known_ids(state: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys and ids after a batch, without the work that the other columns of the state need."""
+    return state.select(*keys, "id").unionByName(fresh)
+
+
+def merge_state(state: DataFrame, folded: DataFrame, keys: Sequence[str], policy: Policy, as_of: Column, fresh: DataFrame) -> DataFrame:
+    """Stored rows with the batch applied, and new rows under their ``fresh`` ids. ``touched`` marks rows in the batch."""
     marked = folded.withColumn("_in", F.lit(True))
     cols = [c for c in state.columns if c not in ("id", *keys, "first_seen", "last_seen")]
     joined = null_safe_join(state, marked.select(*keys, "_in", *[F.col(c).alias(f"_b_{c}") for c in cols if c in folded.columns]), keys, "left")
@@ -96,19 +106,16 @@ def merge_state(state: DataFrame, folded: DataFrame, keys: Sequence[str], policy
         else:
             updated.append(F.col(c))
     old = joined.select("id", *keys, *updated, "first_seen", F.when(hit, as_of).otherwise(F.col("last_seen")).alias("last_seen"), hit.alias("touched"))
-    # Only keys and first positions are sorted and numbered; the rest of a row joins its number.
-    unseen = null_safe_join(folded.select(*keys, "_first"), state.select(*keys), keys, "left_anti")
-    ids = joins.next_ids(unseen, state, [F.col("_first"), *[F.col(k) for k in keys]], top=top)
-    numbered = null_safe_join(marked, ids.select(*keys, "id"), keys)
+    numbered = null_safe_join(marked, fresh, keys)
     fill = [F.col(c) if c in folded.columns else F.lit(None).cast(state.schema[c].dataType).alias(c) for c in cols]
     new = numbered.select("id", *keys, *fill, as_of.alias("first_seen"), as_of.alias("last_seen"), F.lit(True).alias("touched"))
     return old.unionByName(new)
 
 
-def change_rows(diffed: DataFrame, merged: DataFrame, keys: Sequence[str], order: str, price: str, available: str | None, as_of: Column, fk: str) -> DataFrame:
-    """Change-log rows of a batch. A key with many changes is the many side of this join."""
+def change_rows(diffed: DataFrame, known: DataFrame, keys: Sequence[str], order: str, price: str, available: str | None, as_of: Column, fk: str) -> DataFrame:
+    """Change-log rows of a batch; ``known`` has the id of every key. A key with many changes is the many side of this join."""
     changed = diffed.where(F.col("change_type") != "unchanged").drop(fk)
-    with_id = null_safe_join(changed, merged.select(*keys, F.col("id").alias(fk)), keys)
+    with_id = null_safe_join(changed, known.select(*keys, F.col("id").alias(fk)), keys)
     avail = [F.col(f"prev_{available}").alias("available_old"), F.col(available).alias("available_new")] if available else []
     return with_id.select(
         fk, order, as_of.alias("changed_at"), F.col(f"prev_{price}").alias("price_old"), F.col(price).alias("price_new"), *avail, "change_type"
@@ -144,8 +151,10 @@ def apply_offers(
     Rule columns are not touched here: they are functions of the name, see ``reclassify``.
     """
     diffed = diff_offers(offers, state, keys, order, "last_price", "last_available")
-    merged = merge_state(state, fold_offers(offers, keys, order, policy), keys, policy, as_of)
-    changes = change_rows(diffed, merged, keys, order, "last_price", "last_available", as_of, "product_id")
+    folded = fold_offers(offers, keys, order, policy)
+    fresh = fresh_ids(state, folded, keys)
+    merged = merge_state(state, folded, keys, policy, as_of, fresh)
+    changes = change_rows(diffed, known_ids(state, fresh, keys), keys, order, "last_price", "last_available", as_of, "product_id")
     return merged.drop("touched"), changes, change_counters(diffed)
 
 
@@ -155,19 +164,21 @@ def resolve_by_url(offers: DataFrame, state: DataFrame, id_col: str, order: str
     """Adds ``entity``: the id under which the row is stored, or will be.
 
     A known id is itself. An unknown id takes over the stored row (lowest id) with the same
-    address, or joins the first unknown id of the batch with that address.
+    address, or joins the first unknown id of the batch with that address. Offers, unknown ids
+    and the result are written once each, for several steps read them.
     """
-    known = state.select(F.col(id_col).alias("_known")).distinct()
+    offers = written(offers, "offers")
+    known = state.select(F.col(id_col).alias("_known"))
     by_url = state.where(F.coalesce("url", F.lit("")) != "").groupBy(F.col("url").alias("_url")).agg(F.min_by(id_col, "id").alias("_stored"))
     ids = offers.where(F.col("url") != "").groupBy(id_col).agg(F.min_by("url", order).alias("_u"), F.min(order).alias("_o"))
-    unknown = ids.join(known, ids[id_col] == F.col("_known"), "left_anti")
+    unknown = written(ids.join(known, ids[id_col] == F.col("_known"), "left_anti"), "unknown")
     leader = unknown.groupBy("_u").agg(F.min_by(id_col, "_o").alias("_leader"))
     taken = (
         unknown.join(leader, "_u").join(by_url, F.col("_u") == F.col("_url"), "left")
         .select(F.col(id_col).alias("_from"), F.coalesce("_stored", "_leader").alias("_entity"))
     )
     joined = offers.join(taken, offers[id_col] == F.col("_from"), "left")
-    return joined.withColumn("entity", F.coalesce("_entity", id_col)).drop("_from", "_entity")
+    return written(joined.withColumn("entity", F.coalesce("_entity", id_col)).drop("_from", "_entity"), "resolved")
 
 
 def _new_id(id_col: str, order: str) -> Column:
@@ -199,7 +210,8 @@ def apply_ads(state: DataFrame, offers: DataFrame, as_of: Column, order: str = "
         F.col("last_seen").alias("_prior_seen"),
     )
     policy = Policy(AD_POLICY.last + ("_was_live", "_last_name", "_new_id"), (), AD_POLICY.keep_if_blank, AD_POLICY.once)
-    merged = merge_state(carried, folded, keys, policy, as_of)
+    fresh = fresh_ids(carried, folded, keys)
+    merged = merge_state(carried, folded, keys, policy, as_of, fresh)
     merged = merged.withColumn(id_col, F.coalesce("_new_id", "entity")).drop("_new_id")
     live = F.col("last_available") == 1
     touched = F.col("touched")
@@ -224,7 +236,7 @@ def apply_ads(state: DataFrame, offers: DataFrame, as_of: Column, order: str = "
         step(F.when(estimate_set, F.col("sold_window_hours")).otherwise(times.sold_window_hours(start, inactive)), "sold_window_hours", F.lit(None).cast("double")),
         F.when(touched, text_hash(F.coalesce("_last_name", "name"), F.col("body_text"))).otherwise(F.col("text_hash")).alias("text_hash"),
     )
-    changes = change_rows(diffed, merged, keys, order, "last_price", "last_available", as_of, "ad_id")
+    changes = change_rows(diffed, known_ids(stored, fresh, keys), keys, order, "last_price", "last_available", as_of, "ad_id")
     return out.select(*state.columns), changes, change_counters(diffed)
 
 
@@ -240,8 +252,9 @@ def apply_sold(state: DataFrame, offers: DataFrame, as_of: Column, order: str =
     folded = fold_offers(seen, keys, order, SOLD_POLICY, [_new_id(id_col, order)])
     carried = stored.drop(id_col).withColumn("_new_id", F.lit(None).cast("string"))
     policy = Policy(("sold_price", "_new_id"), (), SOLD_POLICY.keep_if_blank, SOLD_POLICY.once)
-    merged = merge_state(carried, folded, keys, policy, as_of).withColumn(id_col, F.coalesce("_new_id", "entity"))
-    changes = change_rows(diffed.where(F.col("change_type") != "new"), merged, keys, order, "sold_price", None, as_of, "item_id").drop("change_type")
+    fresh = fresh_ids(carried, folded, keys)
+    merged = merge_state(carried, folded, keys, policy, as_of, fresh).withColumn(id_col, F.coalesce("_new_id", "entity"))
+    changes = change_rows(diffed.where(F.col("change_type") != "new"), known_ids(stored, fresh, keys), keys, order, "sold_price", None, as_of, "item_id").drop("change_type")
     return merged.select(*state.columns), changes, change_counters(diffed)
 
 

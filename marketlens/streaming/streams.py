@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from marketlens.plans.ingest import Policy, change_rows, diff_offers, fold_offers, merge_state
+from marketlens.plans.ingest import Policy, change_rows, diff_offers, fold_offers, fresh_ids, merge_state
 from marketlens.sources import tables
 from marketlens.sources.parts import PartedTable
 
@@ -40,7 +40,8 @@ def stream_changes(
         now = as_of(batch)
         diffed = diff_offers(batch, stored, keys, order, "last_price", "last_available")
         top = F.lit(state.top(spark, batch_id)).cast("long")
-        merged = merge_state(stored, fold_offers(batch, keys, order, policy), keys, policy, now, top)
+        folded = fold_offers(batch, keys, order, policy)
+        merged = merge_state(stored, folded, keys, policy, now, fresh_ids(stored, folded, keys, top))
         state.write(merged, batch_id + 1, touched, before=batch_id)
         known = state.read(spark, batch_id + 1, touched)
         tables.publish(change_rows(diffed, known, keys, order, "last_price", "last_available", now, fk), folder, "changes", batch_id)

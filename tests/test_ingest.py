@@ -112,6 +112,16 @@ def test_listing_found_by_address(spark):
     assert counters.first().asDict() == {"new": 1, "price_changes": 1, "avail_changes": 0, "unchanged": 1}
 
 
+def test_listing_changes_read_the_offers_no_second_time(spark, tmp_path):
+    state = settle(ingest.apply_ads(spark.createDataFrame([], AD), ad_batch(spark, [("A", "ua", 10.0, 1), ("B", "ub", 1.0, 1)]), ts(NOW))[0])
+    ad_batch(spark, [("NEW", "ua", 11.0, 1), ("C", "uc", 5.0, 1), ("D", "uc", 6.0, 0), ("B", "ub", 1.0, 1), ("NEW", "ua", 11.0, 0)]).write.parquet(f"{tmp_path}/offers")
+    state, changes, counters = ingest.apply_ads(state, spark.read.parquet(f"{tmp_path}/offers"), ts(LATER))
+    for result in (state, changes, counters):
+        assert not [f for f in result.inputFiles() if str(tmp_path) in f]
+    got = [tuple(r) for r in changes.orderBy("pos").select("ad_id", "pos", "price_old", "price_new", "available_old", "available_new", "change_type").collect()]
+    assert got == [(1, 0, 10.0, 11.0, 1, 1, "price"), (3, 1, None, 5.0, None, 1, "new"), (3, 2, 5.0, 6.0, 1, 0, "both"), (1, 4, 11.0, 11.0, 1, 0, "availability")]
+
+
 PRODUCT = (
     "id long, name string, source string, condition string, sku string, url string, image_url string, category_id long, storage_id long, is_base_model int, "
     "first_seen timestamp, last_seen timestamp, last_price double, last_available int"
