@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,14 @@ PAIR = 1 << 32
 BATCH = 1 << 22
 
 
+#: What stands behind an id: within a group, at the end of its A ids, at its own end.
+_MARKS = (",", "|", ";")
+
+
 @cache
-def _names(size: int, mark: str) -> np.ndarray:
-    """Decimal ids below ``size`` with a mark behind them."""
-    return np.array([f"{i}{mark}" for i in range(size)], object)
+def _names(size: int) -> np.ndarray:
+    """Decimal ids below ``size`` with each of the marks behind them, mark by mark."""
+    return np.array([f"{i}{mark}" for mark in _MARKS for i in range(size)], object)
 
 
 class Aligned:
@@ -43,27 +48,33 @@ class Aligned:
 
     def __init__(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray):
         self.a, self.b = a, b
-        a_at, b_at = dict(zip(a_ends.tolist(), range(len(a)))), dict(zip(b_ends.tolist(), range(len(b))))
-        # A dictionary keeps its order, so the common ends rise.
-        common = list(filter(a_at.__contains__, b_at))
-        self.a_cuts, self.b_cuts = (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) + 1 for at in (a_at, b_at))
-        # Between neighbouring ends of either side lies one token of each side, and tokens that
-        # overlap do so in one such stretch: the stretches of a group are its links.
-        edges = np.sort(np.r_[a_ends, np.delete(b_ends, self.b_cuts - 1)], kind="stable")
-        self.links = a[np.searchsorted(a_ends, edges)] * PAIR + b[np.searchsorted(b_ends, edges)]
+        a_at = dict(zip(a_ends.tolist(), range(len(a))))
+        # B's ends are looked up in their order, so the index on its side is the place in the row.
+        shared = np.fromiter(map(a_at.get, b_ends.tolist(), repeat(-1)), np.int64, len(b))
+        self._common = shared >= 0
+        self.a_cuts, self.b_cuts = shared[self._common] + 1, np.flatnonzero(self._common) + 1
+        # A B token is linked with the A tokens from the one at its first byte to the one at its
+        # last. Along all links the A token moves on by one, but where the next B token begins
+        # inside of it, it stays.
+        at_end = np.searchsorted(a_ends, b_ends)
+        stays = np.concatenate([[0], np.cumsum(~self._common[:-1])])
+        widths = np.diff(at_end + stays, prepend=-1)
+        steps = np.arange(len(a) + len(b) - len(self.a_cuts)) - np.repeat(stays, widths)
+        self.links = a[steps] * PAIR + np.repeat(b, widths)
 
     def groups_text(self) -> str:
         """``a1,a2|b1;a3|b2,b3``: decimal ids of the groups in order."""
-        parts = np.empty(len(self.a) + len(self.b), object)
         # Behind the A tokens of a group stand its B tokens.
-        a_group, b_group = (np.searchsorted(cuts, np.arange(n), side="right") for cuts, n in ((self.a_cuts, len(self.a)), (self.b_cuts, len(self.b))))
-        a_place = np.arange(len(self.a)) + np.r_[0, self.b_cuts][a_group]
-        b_place = np.arange(len(self.b)) + self.a_cuts[b_group]
+        a_last = np.zeros(len(self.a), np.int64)
+        a_last[self.a_cuts - 1] = 1
+        b_last = self._common.astype(np.int64)
+        a_place = np.arange(len(self.a)) + np.concatenate([[0], self.b_cuts])[np.cumsum(a_last) - a_last]
+        b_place = np.arange(len(self.b)) + self.a_cuts[np.cumsum(b_last) - b_last]
         size = 1 << int(max(self.a.max(), self.b.max())).bit_length()
-        for places, cuts, ids, mark in ((a_place, self.a_cuts, self.a, "|"), (b_place, self.b_cuts, self.b, ";")):
-            parts[places] = _names(size, ",")[ids]
-            parts[places[cuts - 1]] = _names(size, mark)[ids[cuts - 1]]
-        return "".join(parts.tolist())[:-1]
+        named = np.empty(len(self.a) + len(self.b), np.int64)
+        named[a_place] = self.a + a_last * size
+        named[b_place] = self.b + b_last * (2 * size)
+        return "".join(_names(size)[named].tolist())[:-1]
 
 
 class Aligner:
@@ -89,10 +100,12 @@ class Aligner:
         if b"".join(map(self._b_bytes.__getitem__, b)) != raw:
             return None
         a = self._a.plain_ids(" " + text)
-        if self._a.bytes_of(a) != raw:
+        a, b = np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b))
+        a_ends = np.cumsum(self._a_size[a])
+        # Byte-level tokens are the bytes of the text in order: they differ from it only by bytes left out.
+        if a_ends[-1] != len(raw):
             return None
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return Aligned(a, b, np.cumsum(self._a_size[a]), np.cumsum(self._b_size[b]))
+        return Aligned(a, b, a_ends, np.cumsum(self._b_size[b]))
 
 
 @cache
@@ -103,7 +116,7 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 
 def _pack(links: np.ndarray) -> bytes:
     """Two bytes an id where both ids fit, else four."""
-    a, b = links // PAIR, links % PAIR
+    a, b = links >> 32, links & PAIR - 1
     if len(links) == 0 or max(a.max(), b.max()) < 1 << 16:
         return b"\2" + np.stack([a, b]).astype("<u2").tobytes()
     return b"\4" + np.stack([a, b]).astype("<u4").tobytes()

@@ -164,6 +164,18 @@ def test_alignment_equals_brute_force(spark, libraries, odd, frequent):
     same(got, brute_rows(libraries, rows))
 
 
+def test_alignment_needs_no_sort_and_no_decoding(libraries, odd, monkeypatch):
+    both, unwanted = alignment.aligner(BYTE_BPE, PIECES), lambda *_, **__: pytest.fail("not needed")
+    monkeypatch.setattr(alignment.np, "sort", unwanted)
+    monkeypatch.setattr(type(both._a), "bytes_of", unwanted)
+    for text in odd:
+        one, brute = both.align(text), brute_alignment(libraries, text)
+        assert (one is None) == (brute is None)
+        if one is not None:
+            assert (one.a.tolist(), one.b.tolist(), one.groups_text(), len(one.a_cuts)) == (*brute[:3], brute[4])
+            assert one.links.tolist() == [a * alignment.PAIR + b for a, b in brute[3]]
+
+
 def test_alignment_query_equals_brute_force(spark, libraries):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     same([tuple(r) for r in QUERIES["op12_cross_tokenizer_alignment"][0](spark, SF).collect()], brute_rows(libraries, rows))
