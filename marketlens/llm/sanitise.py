@@ -28,8 +28,8 @@ _MAYBE = {
     "email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), "phone": lambda t: F.contains(t, F.lit("+")),
 }
-_EDGE = r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
-_BETWEEN = r"(?<![^\p{L}\p{N}\x20\n\t\r])[^\p{L}\p{N}\x20\n\t\r]*+[\x20\n\t\r][^\p{L}\p{N}]*+"
+# A word between blanks from its first letter or digit to its last. ASCII stands first, where a table decides.
+_WORD = r"[a-zA-Z0-9\p{L}\p{N}](?:[^\x20\n\t\r]*[a-zA-Z0-9\p{L}\p{N}])?"
 _PART = 128
 
 
@@ -127,46 +127,48 @@ def _blanked(text: Column, base: Column) -> Column:
     return F.when(F.size(base) == 0, text).otherwise(blanked)
 
 
-def _term(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, _EDGE, ""))
+def _core(word: Column) -> Column:
+    return F.regexp_extract(word, _WORD, 0)
 
 
 def _terms(blanked: Column) -> Column:
-    """Distinct terms: words between blanks without marks at their edges, in lower case.
+    """Distinct terms: words between blanks without marks at their edges, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(blanked, F.lit(_WORD), F.lit(0)), F.lower))
 
-    Marks around a blank are edges of words, so they part terms together with it.
-    """
-    parted = F.split(F.lower(F.regexp_replace(blanked, _EDGE, "")), _BETWEEN, -1)
-    return F.array_distinct(F.filter(parted, lambda t: t != ""))
-
-
-def _places(words: Column, wanted: Column) -> Column:
-    """(start, end, action, value) of each word whose term is in ``wanted``, an array of (term, action)."""
-    def placed(lengths: Column) -> Column:
-        def total(a: Column) -> Column:
-            return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-
-        def at(totals: Column) -> Column:
-            def row(hit: Column) -> Column:
-                i = hit["i"]
-                part = F.floor(i / _PART).cast("int")
-                start = total(F.slice(totals, F.lit(1), part)) + total(F.slice(lengths, part * _PART + 1, i - part * _PART))
-                word = words[i]
-                skip = F.length(word) - F.length(F.regexp_replace(word, r"^[^\p{L}\p{N}]+", ""))
-                core = F.regexp_replace(word, _EDGE, "")
-                return F.struct(
-                    (start + skip).alias("start"), (start + skip + F.length(core)).alias("end"), hit["action"].alias("action"), core.alias("value")
-                )
-
-            found = F.transform(words, lambda w, i: F.struct(
-                i.alias("i"), F.get(wanted["action"], F.array_position(wanted["term"], _term(w)).cast("int") - 1).alias("action")
-            ))
-            return F.transform(F.filter(found, lambda h: h["action"].isNotNull()), row)
 
-        starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _PART).cast("int"))
-        return _let(F.transform(starts, lambda k: total(F.slice(lengths, k * _PART + 1, F.lit(_PART)))), at)
+def _places(text: Column, wanted: Column) -> Column:
+    """(start, end, action, value) of each word of ``text`` whose term is in ``wanted``, an array of (term, action)."""
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def of_words(words: Column) -> Column:
+        def placed(lengths: Column) -> Column:
+            def at(totals: Column) -> Column:
+                def row(hit: Column) -> Column:
+                    i, word = hit["i"], hit["word"]
+                    part = F.floor(i / _PART).cast("int")
+                    start = total(F.slice(totals, F.lit(1), part)) + total(F.slice(lengths, part * _PART + 1, i - part * _PART))
+                    skip = F.length(word) - F.length(F.regexp_replace(word, r"^[^\p{L}\p{N}]+", ""))
+                    core = _core(word)
+                    return F.struct(
+                        (start + skip).alias("start"), (start + skip + F.length(core)).alias("end"), hit["action"].alias("action"), core.alias("value")
+                    )
+
+                def hits(terms: Column) -> Column:
+                    return F.filter(F.transform(words, lambda w, i: F.struct(
+                        i.alias("i"), w.alias("word"), F.array_position(terms, F.lower(_core(w))).cast("int").alias("of")
+                    )), lambda h: h["of"] > 0)
+
+                found = F.transform(_let(wanted["term"], hits), lambda h: F.struct(h["i"], h["word"], F.get(wanted["action"], h["of"] - 1).alias("action")))
+                return F.transform(found, row)
+
+            starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _PART).cast("int"))
+            return _let(F.transform(starts, lambda k: total(F.slice(lengths, k * _PART + 1, F.lit(_PART)))), at)
+
+        return _let(F.transform(words, lambda w: (F.length(w) + 1).cast("long")), placed)
 
-    return _let(F.transform(words, lambda w: (F.length(w) + 1).cast("long")), placed)
+    # Bound once: each step reads the words, and a step inside of a lambda would split the text again.
+    return _let(F.split(text, r"[\x20\n\t\r]", -1), of_words)
 
 
 _SLOTS = 1 << 16
@@ -246,7 +248,7 @@ def _with_terms(docs: DataFrame, text: str, thresholds: dict) -> DataFrame:
     hashed = docs.withColumn("_hash", F.xxhash64(text))
     joined = with_base_spans(hashed.join(per_text, F.col("_hash") == F.col("text_hash"), "left"), text)
     none = F.array().cast("array<struct<start:bigint,end:bigint,action:string,value:string>>")
-    terms = F.when(F.col("_wanted").isNull(), none).otherwise(_places(F.split(_blanked(F.col(text), F.col("base")), r"[\x20\n\t\r]", -1), F.col("_wanted")))
+    terms = F.when(F.col("_wanted").isNull(), none).otherwise(_places(_blanked(F.col(text), F.col("base")), F.col("_wanted")))
     return joined.withColumn("terms", terms).drop("_wanted", "_hash", "text_hash")
 
 

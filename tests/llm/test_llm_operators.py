@@ -396,6 +396,17 @@ def test_disclosing_terms_are_found_in_whole_documents(spark):
     assert all("Zorbax" not in t for t in cleaned) and cleaned[50] == texts[50]
 
 
+def test_terms_are_read_from_words_and_the_text_is_split_once(spark):
+    # The lower case of the last letter of the name ends in a mark, which is part of the term all the same.
+    texts = ["see al\u0130 x@y.zz, (good-by) one", "the \"al\u0130\" x@y.zz two", "good-by three", "four ...", "", None, "- five"]
+    docs = docs_of(spark, list(enumerate(texts)))
+    found = sanitise.find(docs)
+    assert [[(t["action"], t["value"], t["start"], t["end"]) for t in r["terms"]] for r in found.orderBy("doc_id").collect()] == [
+        [("removed", "al\u0130", 4, 7)], [("removed", "al\u0130", 5, 8)], [], [], [], [], [],
+    ]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1 + len(sanitise.KINDS)
+
+
 def test_copies_do_not_hide_a_disclosing_term(spark):
     texts = ["lorem Zorbax anna@x.org first"] * 400 + ["ipsum Zorbax anna@x.org second"] + [f"lorem ipsum {i} first second" for i in range(300)]
     found = _terms_found(spark, texts)
