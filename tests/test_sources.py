@@ -228,3 +228,76 @@ def test_reports_of_empty_tables(spark, tmp_path):
     tables.export_reports(built, str(tmp_path))
     found = {r["report"]: r["rows"] for r in tables.report_sizes(spark, str(tmp_path)).collect()}
     assert found["subito-stats"] == 1 and {n for n, k in found.items() if k} <= {"subito-stats", "ebay-stats"}
+
+
+def _size(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+
+def _shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_reports_and_steps_leave_no_shuffles_and_little_text(spark, tmp_path):
+    """Sorted, doubled and null rows come back whole from a fraction of their text, and what was shuffled for them is gone."""
+    from marketlens.session import written
+
+    ids = spark.range(20_000).select(F.col("id"), F.lit("a rather long text that every row repeats").alias("text"), F.when(F.col("id") % 3 > 0, F.col("id") * 0.5).alias("price"))
+    rows = ids.unionByName(ids.limit(5)).orderBy(F.col("price").desc(), "id")
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = _shuffle_files(spark), spark.conf.get(setting)
+    tables.export_reports({"sources": rows, "db-products": rows.limit(0)}, str(tmp_path))
+    steps = written(rows.groupBy("price").agg(F.count("*").alias("n")), "steps")
+    assert not _shuffle_files(spark) - before and spark.conf.get(setting) == was
+    assert steps.agg(F.sum("n")).first()[0] == 20_005
+    whole = rows.toPandas().to_json(orient="records", lines=True)
+    assert _size(tmp_path / "sources") < 0.25 * len(whole)
+    read = spark.read.schema(rows.schema).json(f"{tmp_path}/sources")
+    assert read.exceptAll(rows).isEmpty() and read.count() == 20_005
+    assert {r["report"]: r["rows"] for r in tables.report_sizes(spark, str(tmp_path), ("sources", "db-products")).collect()} == {"sources": 20_005, "db-products": 0}
+
+
+def test_documents_under_names_of_packed_files(spark, tmp_path):
+    """A name in .gz is a compressed file with the same document; a document without a name is still written."""
+    rows = [(f"a_2024-{i:02d}.json", "a", "u", "t", 300, [(f"Città {i}", None, 1.5)] * 300) for i in range(4)]
+    docs = _documents(spark, rows)
+    more = _documents(spark, [(None, None, "u", "t", 1, [("x", None, None)])])
+    snapshots.write_documents(docs, str(tmp_path / "plain"))
+    snapshots.write_documents(docs.withColumn("file", F.concat("file", F.lit(".gz"))).unionByName(more), str(tmp_path / "packed"))
+    plain, packed = (snapshots.read_snapshots(spark, str(tmp_path / n)).select("file", "source", "scraped_at", "total", "products") for n in ("plain", "packed"))
+    assert sorted(f.name for f in (tmp_path / "packed").glob("[!.]*")) == ["None", *[f"{r[0]}.gz" for r in rows]]
+    assert _size(tmp_path / "packed") < 0.5 * _size(tmp_path / "plain")
+    named = packed.where("source is not null").withColumn("file", F.regexp_replace("file", r"\.gz$", ""))
+    assert named.exceptAll(plain).isEmpty() and named.count() == plain.count() == 4 and packed.count() == 5
+
+
+def test_documents_of_the_reports_equal_the_plain_ones(spark, tmp_path):
+    """Made in parts and compressed, with lines without order, parts without brand, doubled lines and a block number beyond its digits."""
+    from marketlens.bindings import snapshots as bound
+
+    parts = [(i, f"part {i}", None if i == 3 else f"Brand#{i % 2}", "SMALL", 20, 1.0) for i in range(4)]
+    keys = [1, 2, 4_999, 5_000, 12_345, 60_000, 60_001, 5000 * 123_456_789, 5000 * 123_456_780, None]
+    lines = [(k, p, 1, n, 2.0, 10.0 + n, "R" if n else "A", "O") for k in keys for p in range(4) for n in (0, 1) if k is not None or p == 0] * 2
+    data = tmp_path / "data"
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{data}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").withColumn(
+        "l_shipdate", F.lit("2024-01-01").cast("timestamp")
+    ).write.parquet(f"{data}/lineitem.parquet")
+    plain, packed = snapshots.read_snapshots(spark, bound._documents(spark, str(data))), bound._packed_documents(spark, str(data))
+    assert packed.dtypes == plain.dtypes
+    # Of the documents without a name one stays, whichever it is.
+    assert packed.where("file = 'None'").count() == plain.where("file = 'None'").count() == 1
+    named = [d.where("file <> 'None'") for d in (plain, packed)]
+    assert named[0].exceptAll(named[1]).isEmpty() and named[0].count() == named[1].count() == len(set(r["file"] for r in named[1].collect())) > 8
+
+
+def test_reports_all_writes_compressed_files(spark, tmp_path):
+    """All that is written for the reports and their documents is compressed."""
+    from marketlens.bindings import snapshots as bound
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bound, "shared_dir", lambda spark: str(tmp_path))
+        rows = {r["report"]: r["rows"] for r in bound.reports_all(spark, "/root/testdata/sf0.001").collect()}
+    kept = [f for f in tmp_path.rglob("*") if f.is_file() and not f.name.startswith((".", "_")) and f.stat().st_size]
+    assert len(rows) == 14 and rows["ebay-sold"] > 1000 and kept and all(f.name.endswith(".gz") for f in kept)
