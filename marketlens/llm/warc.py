@@ -22,7 +22,7 @@ from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from marketlens.session import batches_of, shared_dir
+from marketlens.session import batches_of as _batches_of, shared_dir
 
 CHUNK = 1 << 16
 BATCH = 1 << 22  # bytes of chunks that a task holds at once
@@ -147,7 +147,7 @@ def write_archives(
     store, root = arrow_fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     files = chunked(with_references(pages, id_col, url_col, payload_col, least_bytes)).mapInArrow(_write(folder), "path string, records long")
-    with batches_of(pages.sparkSession, BATCH):
+    with _batches_of(pages.sparkSession, BATCH):
         written = files.toPandas()  # one row per file
     return pages.sparkSession.createDataFrame(written, "path string, records long")
 
